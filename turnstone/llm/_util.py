@@ -9,6 +9,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_code
+
 #: Used only where the session names no ``spark.checkpoint.dir`` (tests, laptops).
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -40,6 +42,7 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/turnstone-{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -97,4 +100,5 @@ def join_heavy(left: DataFrame, right: DataFrame, on: list[str], weight: str, to
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
