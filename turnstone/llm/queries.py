@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, lang_id, license_scan, mixing, sharding, toxicity, url_filter
+from . import decontam, exact_dedup, lang_id, license_scan, mixing, ngram_join, sharding, toxicity, url_filter
 
-_MODULES = (mixing, decontam, license_scan, sharding, lang_id, exact_dedup, url_filter, toxicity)
+_MODULES = (mixing, decontam, license_scan, sharding, lang_id, ngram_join, exact_dedup, url_filter, toxicity)
 
 
 def queries() -> dict:
