@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 import weakref
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +103,22 @@ def join_heavy(left: DataFrame, right: DataFrame, on: list[str], weight: str, to
     return done.unionByName(rest)
 
 
+def sliced(batches, rows: int = 1000):
+    """Record batches cut to few rows, so that what is built from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back: it lives on and shares its executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

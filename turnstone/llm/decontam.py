@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ._tokens import _BASE, mix64, word_hashes
-from ._util import Staging, read
+from ._util import Staging, read, sliced
 
 #: Fixed masks: 1 takes a word, 0 ignores it.
 MASKS = ("111111", "1101011", "11100101", "10110011")
@@ -146,7 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
 
 def _hit_rows(matcher: Matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             rows = [(ids[r], matcher.ids[i], lo, agree, int(matcher.lengths[i]), agree / int(matcher.lengths[i])) for r, i, lo, agree in matcher.hits(batch.column(1))]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
@@ -161,7 +161,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     for matcher in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], m: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in m.hits(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))

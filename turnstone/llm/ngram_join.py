@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tokens import mix64, shingles, word_hashes
-from ._util import BROADCAST_ROWS, Staging, join_heavy, maybe_broadcast, read, small
+from ._util import BROADCAST_ROWS, Staging, join_heavy, maybe_broadcast, read, sliced, small
 from .components import connected_components
 
 WORDS = 5
@@ -229,7 +229,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = batch.num_rows
         k1, k2, n, sig = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int32), [b""] * rows
         memo: dict[tuple[int, int], bytes] = {}
@@ -243,7 +243,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         keys, sets = [], []
         for _, s in shingle_sets(batch.column(0)):
             keys.append(set_key(s))
@@ -329,7 +329,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     at = vague.columns.index(text_col)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [set_key(s) for _, s in shingle_sets(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=[*batch.schema.names, "_k1", "_k2"])
 
