@@ -13,7 +13,7 @@ from turnstone.llm._util import Staging, read
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic; the model learns from a bounded sample of this stage's labelled rows."""
-    model = toxicity.fit(toxicity.training_rows(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model, column="_toxicity")
     return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 

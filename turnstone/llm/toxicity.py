@@ -2,16 +2,17 @@
 
 Two zstandard raw-content dictionaries are trained on labelled text: one holds the stems
 and words that toxic documents have and ordinary ones lack, the other the reverse. A
-window (one word with its surrounding spaces; longer ones drown the difference in the
-noise of the entropy coder) is compressed with either. The difference of the two lengths
-says which class the window is closer to. A document's differences are summed up in a few
-figures, and a calibrated logistic threshold turns these into a score.
+window is one word with its surrounding spaces (longer ones drown the difference in the
+noise of the entropy coder), re-coded so that every character takes two bytes that depend
+on the two characters before it: then only matches of five characters or more save space.
+The window is compressed with either dictionary, and the difference of the two lengths
+says which class it is closer to. A document's differences become counts, and a calibrated
+logistic threshold turns these into a score.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,18 +21,23 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import read
+from ._tokens import shingles, word_hashes
+from ._util import Staging, read, sliced
 
 #: Labelled rows used at most: toxic and ordinary ones for the dictionaries, and as many each for calibration.
 DICTIONARY_ROWS = (2000, 4000)
 CALIBRATION_ROWS = (800, 3200)
-#: Bytes of either dictionary.
-DICTIONARY_BYTES = 4096
+#: Bytes of either dictionary, candidates it is chosen from, and how often each document should be covered.
+DICTIONARY_BYTES, CANDIDATES, COVER = 4096, 3000, 3.0
+#: Share of a label's documents that a candidate is in, and that a chosen segment newly covers; least odds.
+LEAST_SHARE, LEAST_GAIN, LEAST_ODDS = 0.004, 0.008, 5.0
+#: Differences that are told apart; larger ones count as the last.
+LEVELS = 9
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Bytes of a word beyond which its window is cut in pieces; bounds the cost of junk without spaces.
 PIECE = 64
-_MEMO = 200_000
+_MEMO = 100_000
 
 #: Lower-cases A-Z; other ASCII characters but digits and letters separate words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,75 +63,93 @@ def _segments(words: set[bytes]) -> set[bytes]:
     return out
 
 
-def train_dictionary(own: Iterable[set[bytes]], other: Iterable[set[bytes]], size: int = DICTIONARY_BYTES) -> bytes:
-    """Segments by excess documents times log odds of own against other; the best stand last, at the shortest offsets."""
-    a: Counter = Counter()
-    b: Counter = Counter()
-    na = nb = 0
-    for words in own:
-        a.update(_segments(words))
-        na += 1
-    for words in other:
-        b.update(_segments(words))
-        nb += 1
-    scored = []
-    for s, n in a.items():
-        odds = (n + 0.5) * (nb + 1) / ((b[s] + 0.5) * (na + 1))
-        if n >= 4 and odds > 3:
-            scored.append(((n - b[s] * na / max(nb, 1)) * np.log(odds) * len(s) ** 0.5, s))
-    scored.sort(reverse=True)
-    parts: list[bytes] = []
-    total = 0
-    kept = b""
-    for _, s in scored:
-        if s in kept:
-            continue
-        parts.append(s)
-        kept += s + b"\n"
-        total += len(s) + 1
-        if total > size:
+def choose_segments(candidates: list[tuple[bytes, float]], holds: list[list[int]], size: int = DICTIONARY_BYTES) -> list[bytes]:
+    """Greedy cover: the segment of the highest weight times newly covered documents, until none covers enough.
+
+    ``holds`` has the indices of the candidates in each document. A segment that begins with
+    a chosen one, or lies inside it, adds nothing and is left out; so are chance finds that
+    only occur in documents already covered.
+    """
+    if not candidates or not holds:
+        return []
+    there = np.zeros((len(candidates), len(holds)), bool)
+    for d, found in enumerate(holds):
+        there[found, d] = True
+    weight = np.array([w for _, w in candidates])
+    open_ = np.ones(len(candidates), bool)
+    need = np.full(len(holds), COVER)
+    chosen: list[bytes] = []
+    while sum(map(len, chosen)) < size:
+        new = there @ np.minimum(need, 1.0)
+        best = int(np.where(open_, new * weight, -1.0).argmax())
+        if not open_[best] or new[best] < max(4.0, LEAST_GAIN * len(holds)):
             break
-    return b"\n".join(reversed(parts)) + b"\n"
+        s = candidates[best][0]
+        chosen.append(s)
+        need = np.maximum(0.0, need - there[best])
+        open_ &= np.array([not (c.startswith(s) or c in s) for c, _ in candidates])
+    return chosen
+
+
+def recode(text: bytes) -> bytes:
+    """Two bytes a character, from it and the two before it on its line."""
+    out = bytearray()
+    before = last = 0
+    for c in text:
+        if c == 10:
+            before = last = 0
+            continue
+        h = ((before << 16 | last << 8 | c) * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+        out += ((h ^ h >> 13) & 0xFFFF).to_bytes(2, "little")
+        before, last = last, c
+    return bytes(out)
+
+
+#: The end of a short dictionary is never matched, so both end in the same bytes that no window has.
+_PADDING = bytes(np.random.default_rng(1).integers(0, 256, 256, dtype=np.uint8))
 
 
-def _compressor(content: bytes) -> zs.ZstdCompressor:
+def _compressor(segments: list[bytes]) -> zs.ZstdCompressor:
     parameters = zs.ZstdCompressionParameters(
-        window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY2,
+        window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=6, target_length=64, strategy=zs.STRATEGY_GREEDY,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS,
     )
-    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content or b"\n" * 8, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+    content = recode(b"\n".join(reversed(segments))) + _PADDING
+    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+
+
+FIGURES = 2 * LEVELS
 
 
 @dataclass
 class Distances:
     """Compression-length differences of windows; a bounded memory of those seen."""
 
-    toxic: bytes
-    ordinary: bytes
-    _memo: dict[bytes, tuple[int, float]] = field(default_factory=dict, repr=False)
+    toxic: list[bytes]
+    ordinary: list[bytes]
+    _memo: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self._toxic, self._ordinary = _compressor(self.toxic), _compressor(self.ordinary)
 
     def of(self, text: str | None) -> np.ndarray:
-        """Figures of a document: largest, mean and share of differences, absolute and by length, and its number of windows."""
+        """Figures of a document: for each level, how many of its windows save as many bytes or more, as a logarithm and as a share."""
         memo = self._memo
         if len(memo) > _MEMO:
             memo.clear()
-        gains = []
+        counts = np.zeros(LEVELS + 1)
+        n = 0
         for w in windows(text or ""):
-            v = memo.get(w)
-            if v is None:
-                x = b" " + w + b" "
+            d = memo.get(w)
+            if d is None:
+                x = recode(b" " + w + b" ")
                 d = len(self._ordinary.compress(x)) - len(self._toxic.compress(x))
-                v = memo[w] = (d, d / len(x))
-            gains.append(v)
-        if not gains:
-            return np.zeros(10)
-        d = np.array(gains, float)
-        top, rel = np.sort(d[:, 0])[::-1], np.sort(d[:, 1])[::-1]
-        n3, r3, r4 = (d[:, 0] >= 3).sum(), (d[:, 1] >= 0.3).sum(), (d[:, 1] >= 0.4).sum()
-        return np.array([top[0], top[:3].mean(), rel[0], rel[:3].mean(), d[:, 0].mean(), n3 / len(d), r3 / len(d), np.log1p(n3), np.log1p(r3), np.log1p(r4)])
+                d = memo[w] = min(max(d, 0), LEVELS)
+            counts[d] += 1
+            n += 1
+        at_least = counts[:0:-1].cumsum()[::-1]
+        return np.concatenate([np.log1p(at_least), np.sqrt(at_least / max(n, 1))])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,8 +179,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    toxic: list[bytes]
+    ordinary: list[bytes]
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -166,42 +190,103 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit(rows: list[tuple[str | None, int, bool]]) -> Model:
-    """From (text, label, for calibration). Without rows of both labels the model scores the share of label 1."""
-    sets = {y: [windows(t or "") for t, label, cal in rows if label == y and not cal] for y in (0, 1)}
-    toxic, ordinary = train_dictionary(sets[1], sets[0]), train_dictionary(sets[0], sets[1])
-    held = [r for r in rows if r[2]]
-    if len({r[1] for r in held}) < 2:
-        held = rows
-    y = np.array([r[1] for r in held], float)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the smallest five-word shingle hash, which near copies share, so that copies count once."""
+    for batch in sliced(batches, 500):
+        keys = np.zeros(batch.num_rows, np.int64)
+        for row, h, at in word_hashes(batch.column(0)):
+            s, out = shingles(h, at, 5)
+            for i in range(len(at) - 1):
+                if out[i + 1] > out[i]:
+                    keys[row + i] = int(s[out[i] : out[i + 1]].min() >> np.uint64(1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, documents of label 1, of label 0) of a slice of the sample."""
+    for batch in sliced(batches, 100):
+        counts: dict[bytes, list[int]] = {}
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for s in _segments(windows(text.as_py() or "")):
+                counts.setdefault(s, [0, 0])[1 - label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["segment", "toxic", "ordinary"])
+
+
+def train_dictionaries(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """(toxic, ordinary) segments from (text, label): candidates by excess documents times log odds, then a greedy cover.
+
+    Documents are counted on the executors; the driver gets the best candidates, and which
+    of them each document of the bounded sample has.
+    """
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    counts = sample.select("text", "label").mapInArrow(_counted, "segment binary, toxic long, ordinary long").groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where("greatest(toxic, ordinary) >= 4")
+    out = []
+    for own, other, k in (("toxic", "ordinary", 1), ("ordinary", "toxic", 0)):
+        a, b = F.col(own), F.col(other)
+        na, nb = n.get(k, 0), n.get(1 - k, 0)
+        odds = (a + 0.5) * (nb + 1) / ((b + 0.5) * (na + 1))
+        gain = (a - b * (na / max(nb, 1))) * F.ln(odds) * F.pow(F.length("segment"), F.lit(0.25))
+        best = counts.where((a >= max(4.0, LEAST_SHARE * na)) & (odds > LEAST_ODDS)).select("segment", F.ln(odds).alias("weight"), gain.alias("gain")).orderBy(F.desc("gain"), F.desc("segment")).limit(CANDIDATES)
+        candidates = [(bytes(r.segment), r.weight) for r in best.collect()]
+        index = {s: i for i, (s, _) in enumerate(candidates)}
+
+        def held(batches: Iterator[pa.RecordBatch], index: dict[bytes, int] = index) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 100):
+                found = [sorted(index[s] for s in _segments(windows(t.as_py() or "")) if s in index) for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
+
+        holds = [r.held for r in sample.where(F.col("label") == k).select("text").mapInArrow(held, "held array<int>").collect()] if candidates else []
+        out.append(choose_segments(candidates, holds))
+    return out[0], out[1]
+
+
+def figures_of(sample: DataFrame, toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(figures, labels) of a bounded sample, computed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(toxic, ordinary)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([distances.of(t.as_py()).tolist() for t in batch.column(0)], pa.list_(pa.float64()))], names=["label", "figures"])
+
+    rows = sample.select("text", "label").mapInArrow(run, "label int, figures array<double>").collect()
+    rows.sort(key=lambda r: (r.label, r.figures))
+    return np.array([r.figures for r in rows]).reshape(-1, FIGURES), np.array([r.label for r in rows], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Dictionaries and threshold from a bounded sample of labelled rows. Without rows of both labels the model scores the share of label 1."""
+    scope = Staging(docs.sparkSession, "toxicity")
+    rows = training_rows(docs, labels).mapInArrow(_keyed, "text string, label int, cal boolean, key long")
+    sample = scope.write(rows.dropDuplicates(["label", "key"]).drop("key"), "sample")
+    toxic, ordinary = train_dictionaries(sample.where("not cal"))
+    x, y = figures_of(sample.where("cal"), toxic, ordinary)
+    if len(set(y.tolist())) < 2:
+        x, y = figures_of(sample, toxic, ordinary)
+    scope.drop(sample)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         bias = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(toxic, ordinary, np.zeros(10), np.ones(10), np.array([bias, *np.zeros(10)]))
-    distances = Distances(toxic, ordinary)
-    return Model(toxic, ordinary, *fit_logistic(np.array([distances.of(r[0]) for r in held]), y))
+        return Model(toxic, ordinary, np.zeros(FIGURES), np.ones(FIGURES), np.array([bias, *np.zeros(FIGURES)]))
+    return Model(toxic, ordinary, *fit_logistic(x, y))
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int, bool]]:
-    """A bounded sample of labelled rows that aren't held out, in an order that only depends on the ids."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, label, cal): a bounded sample of labelled rows that aren't held out, picked by an order that only depends on the ids."""
     usable = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    picks = []
+    picks: list[tuple[int, int, bool]] = []
     for y in (1, 0):
         first, more = DICTIONARY_ROWS[1 - y], CALIBRATION_ROWS[1 - y]
         ids = usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(first + more).select("doc_id").collect()
         # Where labels are few, the last quarter calibrates.
         cut = min(first, len(ids) * 3 // 4)
         picks += [(r.doc_id, y, i >= cut) for i, r in enumerate(ids)]
-    if not picks:
-        return []
     wanted = docs.sparkSession.createDataFrame(picks, "doc_id long, label int, cal boolean")
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "label", "cal")
-    return [(r.text, r.label, r.cal) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.label, r.text or ""))]
+    return docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "label", "cal")
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score") -> DataFrame:
@@ -212,8 +297,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
-        for batch in batches:
-            figures = np.array([distances.of(t.as_py()) for t in batch.column(at)]).reshape(-1, 10)
+        for batch in sliced(batches):
+            figures = np.array([distances.of(t.as_py()) for t in batch.column(at)]).reshape(-1, FIGURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(figures))], names=[*batch.schema.names, column])
 
     from pyspark.sql import types as T
@@ -223,7 +308,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", colum
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(training_rows(docs, read(spark, sf_dir, "labels")))
+    model = fit(docs, read(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
