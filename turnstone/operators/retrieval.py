@@ -100,7 +100,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, i
         raise ValueError(f"a search takes at most {MAX_QUERIES} queries; split the set")
     src = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     schema = T.StructType([queries.schema["query_id"], src.schema["id"], T.StructField("score", T.DoubleType())])
-    matrix = np.array([r.embedding for r in asked], float).reshape(len(asked), -1)
+    matrix = np.array([r.embedding for r in asked], float).reshape(len(asked), len(asked[0].embedding) if asked else 0)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
     names = [r.query_id for r in asked]

@@ -79,7 +79,7 @@ def read_texts(spark: SparkSession, root: str, include: str = "*", exclude: Sequ
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Numbers between white space."""
-    return spark.read.text(path).select(F.explode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).cast("double").alias("value"))
+    return spark.read.text(path).select(F.explode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("value")).select(F.col("value").cast("double").alias("value"))
 
 
 def bundle_listing(spark: SparkSession, root: str) -> DataFrame:

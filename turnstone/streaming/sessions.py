@@ -16,6 +16,14 @@ FEATURES = "session string, event_ts double, turn_count long, avg_user_utterance
 _STATE = "turns long, heard long, heard_ms double, answered long, answered_ms double, intent string, accent string, ts double"
 
 
+def _in_order(rows: Iterator[pd.DataFrame]):
+    """The rows of a micro-batch in ``seq`` order."""
+    got = [r for r in rows if len(r)]
+    if not got:
+        return ()
+    return pd.concat(got).sort_values("seq", kind="stable").itertuples(index=False)
+
+
 class SessionFold(StatefulProcessor):
     """Running sums of one session; a row each time a turn ends. Rows of a batch are folded in ``_seq`` order."""
 
@@ -26,7 +34,7 @@ class SessionFold(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         turns, heard, heard_ms, answered, answered_ms, intent, accent, ts = held if held else (0, 0, 0.0, 0, 0.0, None, None, 0.0)
         out = []
-        for r in pd.concat(list(rows)).sort_values("_seq", kind="stable").itertuples():
+        for r in _in_order(rows):
             if pd.notna(r.ts):
                 ts = max(ts, r.ts)
             if r.event == "listen.end" and pd.notna(r.ms):
@@ -55,7 +63,7 @@ def stream_session_features(trace: DataFrame) -> DataFrame:
     micro-batch are folded when they arrive.
     """
     rows = trace.where(F.col("session").isNotNull() & (F.col("session") != "") & F.col("event").isNotNull())
-    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(), outputStructType=FEATURES, outputMode="Append", timeMode="None")
+    return rows.withColumnRenamed("_seq", "seq").groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(), outputStructType=FEATURES, outputMode="Append", timeMode="None")
 
 
 class TokenSegmenter(StatefulProcessor):
@@ -67,7 +75,7 @@ class TokenSegmenter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         text, n = self.state.get() if self.state.exists() else ("", 0)
         splitter, out, over = SentenceSplitter(text or ""), [], False
-        for r in pd.concat(list(rows)).sort_values("_seq", kind="stable").itertuples():
+        for r in _in_order(rows):
             found = splitter.feed(r.token or "")
             if r.last:
                 found, over = found + splitter.flush(), True
@@ -87,7 +95,7 @@ class TokenSegmenter(StatefulProcessor):
 
 def stream_segments(tokens: DataFrame) -> DataFrame:
     """(session, turn, n, sentence) of a stream of tokens (session, turn, _seq, token, last)."""
-    return tokens.groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(), outputStructType="session string, turn long, n long, sentence string", outputMode="Append", timeMode="None")
+    return tokens.withColumnRenamed("_seq", "seq").groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(), outputStructType="session string, turn long, n long, sentence string", outputMode="Append", timeMode="None")
 
 
 def stream_sliding_ratio(rows: DataFrame, ts: str, bad: Column, total: Column, window: str, slide: str, late: str = "10 minutes") -> DataFrame:
