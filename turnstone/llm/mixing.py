@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: str = "mix",
 
 def row_draws(docs: DataFrame, seed: str, doc_weight: Column | None, id_col: str, *keep: Column) -> DataFrame:
     text = F.col("text")
-    u = draw(seed, F.col(id_col), F.xxhash64(text))
+    u = draw(seed, F.col(id_col), F.md5(text))
     w = F.lit(1.0) if doc_weight is None else F.greatest(F.coalesce(doc_weight.cast("double"), F.lit(0.0)), F.lit(0.0))
     return docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), text.alias("_text"), u.alias("u"), w.alias("w"), *keep)
 
@@ -144,8 +144,28 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim, decisions, scope = mix(read(spark, sf_dir, "documents"))
     out = copies_of(slim, decisions)
-    return scope.bind(out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source"))
-
-
-ORACLE: dict[str, str] = {}
+    return scope.bind(out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source"))
+
+
+#: Water filling in closed form: sources in order of the unit at which they are full, then Pareto order within a source.
+ORACLE = {
+    "op1_mixing": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || coalesce(md5(text), '~')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+c AS (SELECT *, 3 * source_size / weight AS full_at, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM w),
+r AS (SELECT *, (budget - coalesce(sum(3 * source_size) OVER (ORDER BY full_at, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM c),
+t AS (SELECT source, source_size, least(3 * source_size, weight * (SELECT arg_min(unit, full_at) FROM r WHERE unit <= full_at)) AS target FROM r),
+e AS (SELECT doc_id, d.source, size, u, source_size, target, least(target / nullif(source_size, 0), 3.0::DOUBLE) AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, floor(coalesce(expected, 0) + 0.000000001::DOUBLE) AS certain FROM e),
+v AS (SELECT *, CASE WHEN expected - certain > 0.000000001::DOUBLE THEN u * (1 - (expected - certain)) / (u * (1 - (expected - certain)) + (expected - certain) * (1 - u)) END AS v,
+             target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM f),
+o AS (SELECT *, CASE WHEN v IS NOT NULL THEN sum(size) OVER (PARTITION BY source, v IS NULL ORDER BY v RANGE UNBOUNDED PRECEDING) END AS upto, sum(size) OVER (PARTITION BY source, v) AS own FROM v),
+k AS (SELECT *, certain + CASE WHEN v IS NOT NULL AND rest > 0 AND (upto <= rest OR upto - own < rest AND upto - rest <= rest - (upto - own)) THEN 1 ELSE 0 END AS n FROM o)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(n * size AS BIGINT) AS taken, CAST(n AS INTEGER) AS copies, source FROM k
+"""
+}
 QUERIES = {"op1_mixing": op1_mixing}
