@@ -61,6 +61,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
 
 
+def count_of(df: DataFrame) -> Column:
+    """The number of rows, as a scalar subquery."""
+    return df.agg(F.count("*")).scalar()
+
+
 def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, fraction: float = MAX_DF_FRACTION) -> DataFrame:
     """(query_id, gram, chunk_id, df, n): matches of the queries' rare and informative grams.
 
@@ -69,9 +74,8 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
     """
     asked = queries.select("query_id", F.explode(X.grams(F.col("text"))).alias("gram")).where(X.informative(F.col("gram")))
     held = postings(chunks).join(asked.select("gram").distinct(), "gram", "left_semi")
-    n = chunks.agg(F.count("*").alias("n"))
     limit = F.greatest(F.lit(1), F.least(F.lit(max_df), F.floor(F.col("n") * fraction)))
-    df = held.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n)).where(F.col("df") <= limit)
+    df = held.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", count_of(chunks)).where(F.col("df") <= limit)
     return asked.join(df, "gram").join(held, "gram")
 
 

@@ -59,8 +59,7 @@ def grams_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of grams in over 20 chunks."""
     c = chunks(spark, sf_dir)
     df = R.postings(c).groupBy("gram").agg(F.count("*").alias("df")).where("df > 20")
-    n = c.agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(n)).select("gram", "df", F.round(F.ln(1 + F.col("n") / F.col("df")), 6).alias("idf"))
+    return df.withColumn("n", R.count_of(c)).select("gram", "df", F.round(F.ln(1 + F.col("n") / F.col("df")), 6).alias("idf"))
 
 
 @query("WITH " + _CHUNKS + "," + _GRAMS + "," + _ASKED + " SELECT DISTINCT query_id, gram, df FROM rare")
@@ -239,8 +238,9 @@ def bundle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A promotion history: each order is a version of its customer's model, and is staged and released in turn."""
     o = load(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
-    stages = spark.createDataFrame([(0, "candidate"), (1, "staging"), (2, "production")], "i int, to string")
-    return o.select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("version"), "o_orderkey").join(F.broadcast(stages)).select("name", "version", "to", (F.col("o_orderkey") * 3 + F.col("i")).alias("seq"))
+    stages = F.posexplode(F.array(*[F.lit(s) for s in ("candidate", "staging", "production")])).alias("i", "to")
+    named = o.select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("version"), "o_orderkey", stages)
+    return named.select("name", "version", "to", (F.col("o_orderkey") * 3 + F.col("i")).alias("seq"))
 
 
 @query(
