@@ -91,19 +91,27 @@ def choose_segments(candidates: list[tuple[bytes, float]], holds: list[list[int]
     return chosen
 
 
+_codes: dict[int, bytes] = {}
+
+
 def recode(text: bytes) -> bytes:
     """Two bytes a character, from it and the two before it on its line."""
-    out = bytearray()
-    before = last = 0
+    out = []
+    key = 0
     for c in text:
         if c == 10:
-            before = last = 0
+            key = 0
             continue
-        h = ((before << 16 | last << 8 | c) * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF
-        h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
-        out += ((h ^ h >> 13) & 0xFFFF).to_bytes(2, "little")
-        before, last = last, c
-    return bytes(out)
+        key = (key << 8 | c) & 0xFFFFFF
+        code = _codes.get(key)
+        if code is None:
+            h = (key * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+            if len(_codes) > _MEMO:
+                _codes.clear()
+            code = _codes[key] = ((h ^ h >> 13) & 0xFFFF).to_bytes(2, "little")
+        out.append(code)
+    return b"".join(out)
 
 
 #: The end of a short dictionary is never matched, so both end in the same bytes that no window has.
