@@ -73,3 +73,17 @@ def test_wav(spark):
     head = b"RIFF" + (36 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\1\0\1\0" + (16000).to_bytes(4, "little") + (32000).to_bytes(4, "little") + b"\2\0\x10\0data" + len(data).to_bytes(4, "little")
     d = spark.createDataFrame([(head + data,), (b"no",), (None,)], "c binary")
     assert [r.s for r in d.select(wav_duration_s("c").alias("s")).collect()] == [1.0, None, None]
+
+
+def test_manifests_and_plug_ins(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from turnstone.functions.udfs import batch_function
+
+    (tmp_path / "m" / "a").mkdir(parents=True)
+    (tmp_path / "m" / "a" / "config.json").write_text('{"r": 8}')
+    (tmp_path / "m" / "config.json").write_text("broken")
+    got = sorted((r.problem or "", r.manifest.r if r.manifest else None) for r in S.read_manifests(spark, str(tmp_path / "m"), "config.json", "r int").collect())
+    assert got == [("", 8), ("invalid JSON", None)]
+    length = batch_function(lambda texts: [len(t) for t in texts], T.IntegerType())
+    assert [r.n for r in spark.createDataFrame([("ab",), ("c",)], "t string").select(length("t").alias("n")).collect()] == [2, 1]

@@ -93,3 +93,10 @@ def test_ks(spark, a, b, want):
 def test_drift_report(spark):
     r = D.drift_report(samples(spark, range(100), range(50, 150))).first()
     assert r.drifted and r.mean_shift == 50 and r.reasons == "psi,ks"
+
+
+def test_turn_metrics(spark):
+    t = spark.createDataFrame([({"stt": 5.0, "llm": 60.0},), ({"stt": 20.0005},)], "stages map<string,double>")
+    got = {(r.stage, r.le): r.bucket_count for r in T.turn_metrics(t, (10.0, 50.0)).collect()}
+    assert got[("stt", 10.0)] == 1 and got[("stt", 50.0)] == 2 and got[("llm", 50.0)] == 0 and got[("llm", math.inf)] == 1
+    assert t.select(T.round_stages(F.col("stages")).alias("s")).collect()[1].s == {"stt": 20.0}

@@ -30,6 +30,26 @@ def flatten_sessions(sessions: DataFrame) -> DataFrame:
     return rows.select("t.user.id", "t.user.text", F.map_concat(own, extra).alias("meta"))
 
 
+def scrub_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The named text fields without personal data, and ``pii``: the replacements of each kind over these fields, those that occur."""
+    total: dict[str, Column] = {}
+    out = rows
+    for f in fields:
+        text, counts = X.scrub(F.col(f))
+        for kind, n in counts.items():
+            total[kind] = total[kind] + F.coalesce(n, F.lit(0)) if kind in total else F.coalesce(n, F.lit(0))
+        out = out.withColumn(f"_clean_{f}", text)
+    out = out.withColumn("pii", X.pii_map(total))
+    for f in fields:
+        out = out.withColumn(f, F.col(f"_clean_{f}")).drop(f"_clean_{f}")
+    return out
+
+
+def pii_totals(scrubbed: DataFrame) -> DataFrame:
+    """(kind, n) over all rows of ``scrub_fields``."""
+    return scrubbed.select(F.explode("pii").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
 def filter_category(utterances: DataFrame, category: str) -> DataFrame:
     return utterances.where(F.col("meta")["category"] == category)
 
@@ -90,6 +110,22 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("problem", problem)
 
 
+def validate_audio(rows: DataFrame) -> DataFrame:
+    """Adds ``problem``: the required fields that an audio row lacks, null if it has both."""
+    lacks = [F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(c)) for c in ("audio_path", "text")]
+    return rows.withColumn("problem", F.nullif(F.concat_ws(",", *lacks), F.lit("")))
+
+
+def missing_audio(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows whose audio file is not in the listing (path)."""
+    return rows.join(listing.select(F.col("path").alias("audio_path")).distinct(), "audio_path", "left_anti")
+
+
+def preference_rows(pairs: DataFrame) -> DataFrame:
+    """Pairs with their numbers of words, as training reads them."""
+    return pairs.select("prompt", "chosen", "rejected", X.n_words(F.col("chosen")).alias("chosen_words"), X.n_words(F.col("rejected")).alias("rejected_words"))
+
+
 def preference_stats(pairs: DataFrame) -> DataFrame:
     c, r = X.n_words(F.col("chosen")), X.n_words(F.col("rejected"))
     share = lambda x: F.avg(x.cast("double"))

@@ -13,6 +13,18 @@ STAGES = ("listen", "stt", "retrieve", "llm", "segment.emit", "tts", "playback",
 BUCKETS_MS = (10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 3000.0, 5000.0, 10000.0)
 BURN_ALERTS = (("fast", "1 hour", "5 minutes", 14.4), ("slow", "6 hours", "30 minutes", 6.0))
 ERROR_BUDGET = 0.005
+#: Metrics of the platform: name, kind, labels.
+METRICS = (
+    ("turns_total", "counter", ("status",)),
+    ("stage_ms", "histogram", ("stage",)),
+    ("ttfa_ms", "histogram", ()),
+    ("errors_total", "counter", ("stage",)),
+    ("wer", "gauge", ("set",)),
+    ("llm_ttft_ms", "histogram", ()),
+    ("drift_psi", "gauge", ("feature",)),
+    ("edge_bundle_verify_failed_total", "counter", ("device",)),
+    ("edge_bundle_info", "gauge", ("version",)),
+)
 
 
 @dataclass(frozen=True)
@@ -179,6 +191,16 @@ def histogram(df: DataFrame, labels: Sequence[str], value: str, buckets: Sequenc
     return wide.select(*labels, "sum", "count", F.explode(F.array(*cells)).alias("c")).select(*labels, "c.le", F.col("c.n").alias("bucket_count"), "sum", "count")
 
 
+def turn_metrics(turns: DataFrame, buckets: Sequence[float] = BUCKETS_MS) -> DataFrame:
+    """The stage histogram of turns with ``stages``, a map of durations."""
+    return histogram(turns.select(F.explode("stages").alias("stage", "ms")), ["stage"], "ms", buckets)
+
+
+def round_stages(stages: Column, digits: int = 3) -> Column:
+    """Durations rounded half to even."""
+    return F.transform_values(stages, lambda k, v: F.bround(v, digits))
+
+
 def histogram_quantile(hist: DataFrame, labels: Sequence[str], q: float) -> DataFrame:
     """The quantile that cumulative buckets suggest: linear inside the bucket that reaches its rank, the last finite edge beyond."""
     cells = F.array_sort(F.collect_list(F.struct("le", "bucket_count")))

@@ -123,8 +123,9 @@ def hashing_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     embed = hashing_embedder()
-    c = chunks(spark, sf_dir).withColumn("embedding", embed("text"))
-    return c, R.mentions(c), asked(spark, sf_dir).withColumn("embedding", embed("text"))
+    # An index is built once and read by three searches.
+    c = chunks(spark, sf_dir).withColumn("embedding", embed("text")).persist()
+    return c, R.mentions(c).persist(), asked(spark, sf_dir).withColumn("embedding", embed("text"))
 
 
 @query()
@@ -252,3 +253,24 @@ SELECT name, CAST(o_orderkey AS VARCHAR) AS version, CASE WHEN o_orderkey = max(
 def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version's stage after the history: the last of a name is in production, the others were retired by it."""
     return G.current_stage(G.registry_log(_requests(spark, sf_dir))).select("name", "version", "stage")
+
+
+@query(
+    "SELECT page_id, kind, CASE kind WHEN 'network' THEN CASE WHEN page_id % 3 = 0 THEN 'offline only' WHEN host = 'example.org' OR ends_with(host, '.example.org') OR host = 'm.therou.example.com' THEN NULL ELSE 'host not allowed' END "
+    "WHEN 'cloud_fallback' THEN CASE WHEN page_id % 3 = 0 THEN 'offline only' WHEN page_id % 2 = 0 THEN NULL ELSE 'fallback is not cloud' END ELSE CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'audio is not kept' END END AS refused "
+    "FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, unnest(['network', 'cloud_fallback', 'store_audio']) AS kind FROM pages)"
+)
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of edge devices, one of each kind a page, under policies that vary with the page."""
+    p = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.explode(F.array(*[F.lit(k) for k in ("network", "cloud_fallback", "store_audio")])).alias("kind"))
+    allowed = F.array(F.lit("*.example.org"), F.lit("example.org"), F.lit("m.therou.example.com"))
+    refused = G.policy_decision(F.col("kind"), F.col("host"), F.col("page_id") % 3 == 0, allowed, F.when(F.col("page_id") % 2 == 0, "cloud").otherwise("degrade"), F.when(F.col("page_id") % 5 == 0, "local").otherwise("none"))
+    return p.select("page_id", "kind", refused.alias("refused"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS name, arg_max(CAST(n_nationkey AS VARCHAR), n_nationkey) AS version, CAST(max(n_nationkey) AS DOUBLE) AS created_at FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey")
+def latest_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest nation of each region among those in a stage."""
+    n = load(spark, sf_dir, "nation")
+    a = n.select(F.col("n_regionkey").cast("string").alias("name"), F.col("n_nationkey").cast("string").alias("version"), F.when(F.col("n_nationkey") % 2 == 0, "production").otherwise("staging").alias("stage"), F.col("n_nationkey").cast("double").alias("created_at"))
+    return G.latest_by_stage(a, "production")

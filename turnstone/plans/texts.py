@@ -74,6 +74,11 @@ def pii_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[n.cast("bigint").alias(k) for k, n in counts.items()], F.md5(text).alias("text_md5"))
 
 
+@query()
+def pii_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pii_totals(C.scrub_fields(load(spark, sf_dir, "documents").select("text"), ["text"]))
+
+
 _SPLIT = "CASE WHEN x < 0.8::DOUBLE THEN 'train' WHEN x < 0.8::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END"
 _FRACTION = "('0x' || substr(sha256(':' || {key}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE"
 

@@ -127,6 +127,17 @@ def stage_mean_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("event_type", F.round(F.col("sum") / F.col("count"), 6).alias("mean_ms"))
 
 
+@query(
+    f"""WITH {TRACE_SQL}, le(le) AS (VALUES {_BUCKETS}), t AS (SELECT session, turn, event AS stage, sum(ms) AS ms FROM trace GROUP BY 1, 2, 3)
+SELECT stage, CAST(le AS BIGINT) AS le, count(CASE WHEN ms <= le THEN 1 END) AS bucket_count FROM t CROSS JOIN le GROUP BY 1, 2"""
+)
+def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of turns' stage times."""
+    stages = trace(spark, sf_dir).groupBy("session", "turn", "event").agg(F.sum("ms").alias("ms"))
+    turns = stages.groupBy("session", "turn").agg(F.map_from_entries(F.collect_list(F.struct("event", "ms"))).alias("stages"))
+    return T.turn_metrics(turns).where(F.col("le") != float("inf")).select("stage", F.col("le").cast("bigint").alias("le"), "bucket_count")
+
+
 @query("SELECT event_type, count(*)::DOUBLE AS value FROM events GROUP BY event_type")
 def event_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.counter(load(spark, sf_dir, "events"), ["event_type"])

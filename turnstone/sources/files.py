@@ -87,6 +87,13 @@ def bundle_listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+def read_manifests(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """(path, manifest, problem) of every JSON file of this name under a folder; one that can't be read is a row with a problem."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return df.select("path", F.from_json(text, schema).alias("manifest"), F.when(F.try_parse_json(text).isNull(), "invalid JSON").alias("problem"))
+
+
 def load_config(path: str, env: dict[str, str] | None = None, prefix: str = "TURNSTONE_") -> dict:
     """A TOML file; variables PREFIX_A__B=value override a.b."""
     config = tomllib.loads(Path(path).read_text(encoding="utf-8"))
