@@ -18,6 +18,9 @@ from ..session import ship_code
 #: Used only where the session names no ``spark.checkpoint.dir`` (tests, laptops).
 FALLBACK_DIR = "/tmp/checkpoints"
 
+#: Files of a slim scratch table for each core of the cluster.
+FILES_PER_CORE = 3
+
 #: Rows up to which a table of short keys may be broadcast (tens of bytes a row).
 BROADCAST_ROWS = 200_000
 
@@ -53,10 +56,12 @@ class Staging:
         weakref.finalize(self, _delete, spark, self.path)
         _recent.append(self)
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", slim: bool = False) -> DataFrame:
+        """Writes and rereads a table; ``slim`` ones (ids, keys and counts) get no more files than a few a core."""
         self._n += 1
         path = f"{self.path}/{self._n}-{name}"
-        df.write.parquet(path)
+        out = df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism) if slim else df
+        out.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._turnstone_path = path
         return out

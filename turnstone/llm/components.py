@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Staging
+from ._util import Staging, join_heavy
 
 MAX_ROUNDS = 60
 
@@ -21,19 +21,21 @@ def connected_components(edges: DataFrame, scope: Staging) -> DataFrame:
     ``edges`` has a and b (bigint); direction, repeats and loops don't matter. Every round is
     a few shuffles of pairs of ids, written to the shared folder; nothing meets on the driver.
     """
-    now = scope.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = scope.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", slim=True)
     state = _sum_of(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # Nodes with many neighbours join by broadcast: a component's centre may have a third of all edges.
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("d")).select("x", F.least("x", "m").alias("m"), "d")
         # Large star: every larger neighbour moves to the smallest node around x.
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = scope.write(join_heavy(both.where("y > x"), least, ["x"], "d", 2 * state[0]).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large", slim=True)
         # Small star: the smaller neighbours of u, and u, move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scope.write(small, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = join_heavy(large, low, ["u"], "d", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        after = scope.write(small, "edges", slim=True)
+        scope.drop(large)
         scope.drop(now)
         now, before = after, state
         state = _sum_of(now)

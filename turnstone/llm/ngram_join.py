@@ -268,33 +268,33 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = rows.select("id", "k1", "k2", "n", "rid")
     total = slim.count()
     head = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("head")
-    classes = scope.write(rows.groupBy("k1", "k2").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = scope.write(rows.groupBy("k1", "k2").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()), "classes", slim=True)
 
     # Buckets: bands that several classes share. Bands with the same members are one bucket.
     width = 2 * BAND_ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sig, {b * width + 1}, {width})")) for b in range(BANDS)])
     dealt = classes.where("n > 0").select("cid", F.explode(bands).alias("band"))
     members = dealt.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("h1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2")).where("m > 1")
-    buckets = scope.write(members.groupBy("m", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "buckets")
+    buckets = scope.write(members.groupBy("m", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "buckets", slim=True)
     met = dealt.join(maybe_broadcast(buckets), "band")
     signed = met.join(classes.select("cid", "sig"), "cid")
     candidates = _blocked(signed, "band", "blocks").mapInArrow(_prune, "a long, b long")
-    groups = scope.write(connected_components(candidates, scope).select(F.col("node").alias("cid"), "component"), "groups")
+    groups = scope.write(connected_components(candidates, scope).select(F.col("node").alias("cid"), "component"), "groups", slim=True)
 
     # The shingle sets of the classes in a group, once each.
-    wanted = scope.write(classes.join(groups, "cid").select("cid", "component", "k1", "k2", "n", "copies", "sig", F.col("head.id").alias("head_id")), "wanted")
+    wanted = scope.write(classes.join(groups, "cid").select("cid", "component", "k1", "k2", "n", "copies", "sig", F.col("head.id").alias("head_id")), "wanted", slim=True)
     ids = wanted.select(F.col("head_id").alias("id")).distinct()
     ids = F.broadcast(ids) if small(ids, 10 * BROADCAST_ROWS) else ids
     sets = src.join(ids, src["id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(_sets, "k1 long, k2 long, sets binary")
     sizes = wanted.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     full = wanted.join(sets, ["k1", "k2"]).dropDuplicates(["cid"]).join(sizes, "component").select("component", "cid", "n", "copies", "sig", "sets", "blocks")
-    verified = scope.write(_blocked(full, "component", "blocks").mapInArrow(_verify, VERIFIED), "verified")
+    verified = scope.write(_blocked(full, "component", "blocks").mapInArrow(_verify, VERIFIED), "verified", slim=True)
     counts = verified.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     linked = connected_components(verified.where("b is not null").select("a", "b"), scope).withColumnRenamed("node", "cid")
 
     named = linked.join(classes.select("cid", "head"), "cid").groupBy("component").agg(F.min("head").alias("first"))
     info = classes.select("cid", "k1", "k2", "head", "copies").join(linked.join(named, "component").select("cid", "first"), "cid", "left").join(counts, "cid", "left")
-    info = scope.write(info.where("copies > 1 or first is not null").select("k1", "k2", "copies", F.coalesce("first", "head").alias("first"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("documents", F.lit(0)).alias("documents")), "info")
+    info = scope.write(info.where("copies > 1 or first is not null").select("k1", "k2", "copies", F.coalesce("first", "head").alias("first"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("documents", F.lit(0)).alias("documents")), "info", slim=True)
     out = join_heavy(slim, info, ["k1", "k2"], "copies", total)
     alone = F.col("copies").isNull()
     return out.select(
@@ -310,7 +310,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each similarity class, with the columns it had."""
     found, scope = similarity_classes(docs, id_col, text_col)
-    found = scope.write(found.select("id", "k1", "k2", "kept"), "kept")
+    found = scope.write(found.select("id", "k1", "k2", "kept"), "kept", slim=True)
     # Ids that don't name one row (null, repeated) are told apart by their texts.
     shared = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     blank = found.where("id is null").limit(1).count() > 0
