@@ -141,16 +141,17 @@ def exact_dedup(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col
     digests = scope.write(
         slim.groupBy("digest", "batch").agg(first, F.count("*").alias("n")).select("*", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")),
         "digests",
+        slim=True,
     )
     sides = digests.select("shard", "batch", "key", "digest")
     filters = sides.drop("digest").groupBy("shard").applyInPandas(_build, FILTERS)
     positives = sides.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_probe, POSITIVES)
     held = digests.select("digest", F.col("batch").alias("snapshot"))
-    shared = scope.write(positives.join(held, ["digest", "snapshot"]).select("digest").distinct(), "shared")
+    shared = scope.write(positives.join(held, ["digest", "snapshot"]).select("digest").distinct(), "shared", slim=True)
 
     across = digests.join(shared, "digest").groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     alone = digests.join(shared, "digest", "left_anti").where("n > 1").select("digest", "first", "n")
-    groups = scope.write(across.unionByName(alone), "groups")
+    groups = scope.write(across.unionByName(alone), "groups", slim=True)
 
     # Byte check: the texts behind each repeated digest, one row for each different text.
     repeated = groups.select("digest")

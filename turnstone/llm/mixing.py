@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: str = "mix",
 
     ranked = _with_odds(slim.withColumn("tilt", F.col("w")), plan)
     binned = ranked.withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
-    sums = scope.write(binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure")), "bins")
+    sums = scope.write(binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure")), "bins", slim=True)
     # At most BINS rows a source meet in a window, whatever its documents number.
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     run = sums.withColumn("sure", F.sum("sure").over(W.partitionBy("source"))).where(F.col("bin").isNotNull()).withColumn("upto", upto)

@@ -79,7 +79,7 @@ def shard_slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (text_bytes(F.col(text_col)) + 1).alias("size"), F.crc32(text).alias("crc"))
     counted = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
-    placed = scope.write(counted.select("*", descend(F.col("id"), topology(shards)).alias("shard"), descend(F.col("id"), topology(shards + 1)).alias("grown")), "rows")
+    placed = scope.write(counted.select("*", descend(F.col("id"), topology(shards)).alias("shard"), descend(F.col("id"), topology(shards + 1)).alias("grown")), "rows", slim=True)
     buckets = max(MIN_BUCKETS, -(-placed.count() // (BUCKET_ROWS * shards)))
     cut = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets)))
     # One row a shard and bucket: as many as there are windows.
