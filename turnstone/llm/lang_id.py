@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._util import read, sliced
 
-#: Labelled rows used at most for each language.
-ROWS_PER_LANGUAGE = 1200
+#: Labelled rows used at most: for each language, and for all.
+ROWS_PER_LANGUAGE, ROWS = 800, 3200
 #: Hash buckets of the n-grams; bytes worked on at a time.
 DIM, SLICE = 1 << 12, 1 << 16
 
@@ -57,14 +57,14 @@ def features(text: str) -> np.ndarray:
             inside = b[3:] > 0 if n == 0 else np.ones(len(h), bool)
             key = (h * np.uint32(0x9E3779B1)) >> np.uint32(20)
             counts += np.bincount(key[inside], minlength=DIM)
-    counts = np.sqrt(counts)
+    counts = np.sqrt(counts).astype(np.float32)
     norm = np.linalg.norm(counts)
     return counts / norm if norm else counts
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> np.ndarray:
     """Weights with a bias at the end; squared hinge loss, accelerated gradient steps, classes weighed alike."""
-    z = np.c_[x, np.ones(len(x))].astype(np.float32)
+    z = np.c_[x, np.ones(len(x), np.float32)]
     y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c * 10
     w = v = np.zeros(z.shape[1], np.float32)
@@ -140,20 +140,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most ROWS_PER_LANGUAGE rows of each language that aren't held out, in an order that only depends on the ids."""
+    """At most ROWS_PER_LANGUAGE rows of each language, and ROWS in all, that aren't held out, in an order that only depends on the ids."""
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = usable.groupBy("lang").count().collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS // 8).collect()
+    each = min(ROWS_PER_LANGUAGE, ROWS // max(1, len(sizes)))
     # A share of each language by its own count, so that one pass collects about as many rows of each.
     share = F.lit(0.0)
     for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.15 * ROWS_PER_LANGUAGE / r["count"]))).otherwise(share)
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.15 * each / r["count"]))).otherwise(share)
     u = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     found = usable.where(u < share).select("doc_id", "text", "lang").collect()
     taken: dict[str, int] = {}
     out = []
     for r in sorted(found, key=lambda r: (r.doc_id, r.lang, r.text)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= ROWS_PER_LANGUAGE:
+        if taken[r.lang] <= each:
             out.append((r.text, r.lang))
     return out
 
