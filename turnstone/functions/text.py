@@ -6,6 +6,7 @@ line feed ends a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -156,10 +157,14 @@ def bigrams(found: Column) -> Column:
     return F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def once(f: Callable[[Column], Column], value: Column) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def grams(text: Column) -> Column:
-    """Distinct tokens and pairs of neighbours, stopwords included."""
-    found = tokens(text)
-    return F.array_distinct(F.concat(found, bigrams(found)))
+    """Tokens and pairs of neighbours, stopwords included; repeats stay."""
+    return once(lambda found: F.concat(found, bigrams(found)), tokens(text))
 
 
 def informative(gram: Column) -> Column:

@@ -24,6 +24,8 @@ CHUNK_LINES, OVERLAP = 20, 4
 TOP_K, CANDIDATES, MIN_COSINE, MIN_FUSED = 5, 20, 0.15, 0.0
 #: Queries of one vector search.
 MAX_QUERIES = 10_000
+#: Grams of a query set up to which they travel to the chunks; more are joined by a shuffle.
+BROADCAST_GRAMS = 500_000
 MAX_DF, MAX_DF_FRACTION, RRF_K, KEYWORD_WEIGHT, MAX_ENTITIES = 3, 0.2, 60, 1.5, 40
 BACKTICK = r"`([^`\n]{1,80})`"
 CAPITALS = r"(?U)\b[A-Z][A-Za-z0-9]*(?:[ \t]+[A-Z][A-Za-z0-9]*)*\b"
@@ -58,7 +60,7 @@ def chunk_lines(docs: DataFrame, lines: int = CHUNK_LINES, overlap: int = OVERLA
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(gram, chunk_id), each once."""
-    return chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
+    return chunks.select("chunk_id", F.explode(F.array_distinct(X.grams(F.col("text")))).alias("gram"))
 
 
 def count_of(df: DataFrame) -> Column:
@@ -72,8 +74,12 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
     Only grams of the query set leave the chunks, and each gram's document frequency is
     counted before any pair is made; a gram in more chunks than the limit makes none.
     """
-    asked = queries.select("query_id", F.explode(X.grams(F.col("text"))).alias("gram")).where(X.informative(F.col("gram")))
-    held = postings(chunks).join(asked.select("gram").distinct(), "gram", "left_semi")
+    asked = queries.select("query_id", F.explode(F.array_distinct(X.grams(F.col("text")))).alias("gram")).where(X.informative(F.col("gram")))
+    # Repeats go after the semi-join, when few rows are left; both uses below share that shuffle.
+    every = chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
+    held = every.join(wanted, "gram", "left_semi").distinct()
     limit = F.greatest(F.lit(1), F.least(F.lit(max_df), F.floor(F.col("n") * fraction)))
     df = held.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", count_of(chunks)).where(F.col("df") <= limit)
     return asked.join(df, "gram").join(held, "gram")
