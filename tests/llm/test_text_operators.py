@@ -192,6 +192,21 @@ def test_site_tree_drops_what_pages_share(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_site_tree_counts_pages_by_one_identity(spark):
+    menu, legal = "<div class='m'>Home and news</div>", "<div class='x'>" + "A long paragraph of terms that stands on every page. " * 5 + "</div>"
+    story = lambda i: f"Story number {i} of its own"
+    # Shared text longer than each story; and many variants of few stories, by markup alone, by a counter, and mostly of one story.
+    rows = [(i, f"http://a.com/{i}", f"<body>{menu}<p>{story(i)}</p>{legal}") for i in range(20)]
+    rows += [(100 + i, f"http://b.com/{i}", f"<body data-i='{i}'>{menu}<p>{story(i % 10)}</p>") for i in range(200)]
+    rows += [(300 + i, f"http://c.com/{i}", f"<body>{menu}<p>{story(i % 10) * 9}</p><div>{i}</div>") for i in range(200)]
+    rows += [(500 + i, f"http://d.com/{i}", f"<body>{menu}<p>{story(max(0, i - 180)) * 9}</p><div>{i}</div>") for i in range(200)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == story(i) for i in range(20))
+    assert all(got[100 + i] == story(i % 10) for i in range(200))
+    assert all(got[300 + i] == f"{story(i % 10) * 9} {i}" for i in range(200))
+    assert all(got[500 + i] == f"{story(max(0, i - 180)) * 9} {i}" for i in range(200))
+
+
 def test_html_on_whole_table(spark, sf_dir):
     from html import unescape
 

@@ -13,7 +13,7 @@ whatever their entropy, and inside a page's article element entropy alone remove
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from ._util import Staging, read, sliced
 from .url_filter import url_host
 
-#: Pages with different main text that must share a branch before entropy may remove it.
+#: Different pages that must share a branch before entropy may remove it.
 MIN_PAGES = 5
 #: Content importance 1 - log_m(df), and mean of it and the node's entropy, below which a branch goes.
 CONTENT_IMPORTANCE, IMPORTANCE = 0.35, 0.5
-#: Removed branches of all hosts up to which their table is broadcast; larger ones are joined by a shuffle.
+#: Share of a host's pages on which a block is frequent, and of a page's text that is too little to identify it.
+FREQUENT, OWN = 0.5, 0.1
+#: Branches of all hosts up to which their table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BRANCHES = 500_000
 
 #: Fixed values of HTML: elements without content, of raw text, that break lines, and that an open p or li ends at.
@@ -58,6 +60,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
+BLOCKS = "array<struct<style: long, branch: long, size: long>>"
+_BLOCKS = pa.list_(pa.struct([("style", pa.int64()), ("branch", pa.int64()), ("size", pa.int64())]))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -184,33 +188,86 @@ def main_text(html: str | None, removed: frozenset[int]) -> str:
     return " ".join(text for path, text, _ in blocks if not removed or branch(path, text) not in removed)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash of the page's blocks, its distinct blocks as style, branch and length), once a page."""
+    for batch in sliced(batches):
+        hosts: list[str] = []
+        pages: list[int] = []
+        found: list[list[dict[str, int]]] = []
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks = {branch(p, t): (style(p), len(t)) for p, t, _ in parse(html or "")} if host else {}
+            if blocks:
+                hosts.append(host)
+                pages.append(_digest(blocks))
+                found.append([{"style": s, "branch": b, "size": n} for b, (s, n) in blocks.items()])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, _BLOCKS)], names=["host", "page", "blocks"])
+
+
+def _digest(branches: Iterable[int]) -> int:
+    return xxhash.xxh64_intdigest(np.array(sorted(branches), np.int64).tobytes()) >> 1
+
+
+def identity(sizes: dict[int, int], frequent: frozenset[int] = frozenset()) -> int:
+    """What makes a page different from others of its host, given its branches and their lengths.
+
+    The longest blocks that are not frequent, up to most of such text, so that a date or a
+    counter makes no new page. Where next to nothing is left beside frequent blocks, the
+    page is a copy of them, and they identify it.
+    """
+    own = {b: n for b, n in sizes.items() if b not in frequent}
+    if sum(own.values()) < OWN * sum(sizes.values()):
+        own = sizes
+    want, got = (1 - OWN) * sum(own.values()), 0
+    chosen: list[int] = []
+    for b in sorted(own, key=lambda b: (-own[b], b)):
+        if got >= want:
+            break
+        chosen.append(b)
+        got += own[b]
+    return _digest(chosen)
+
+
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, style, branch, fingerprint of the page's longest block), once a page."""
+    """(host, style, branch, the page's identity) of pages with their blocks and the host's frequent branches."""
     for batch in sliced(batches):
         out: list[tuple[str, int, int, int]] = []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = parse(html or "")
-            if host and blocks:
-                longest = xxhash.xxh64_intdigest(max((t for _, t, _ in blocks), key=len)) >> 1
-                out += [(host, s, b, longest) for s, b in {(style(p), branch(p, t)) for p, t, _ in blocks}]
+        known: dict[str, frozenset[int]] = {}
+        for host, blocks, frequent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if host not in known:
+                known[host] = frozenset(frequent.as_py() or ())
+            page = identity({x["branch"]: x["size"] for x in blocks}, known[host])
+            out += [(host, x["style"], x["branch"], page) for x in blocks]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns[1:])], names=["host", "style", "branch", "page"])
 
 
+def _small(lists: DataFrame, column: str) -> DataFrame:
+    """A host's list, broadcast where the lists of all hosts are short."""
+    entries = lists.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("n")).first().n
+    return F.broadcast(lists) if entries <= BROADCAST_BRANCHES else lists
+
+
 def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
     """(host, removed): the branches of low importance of each host.
 
     A content on df of a host's m pages has importance 1 - log_m(df); a style node's
-    importance is the entropy of its contents to base m. Pages with the same longest block
-    count once, so copies of a page don't make its text look common. A branch that goes is
+    importance is the entropy of its contents to base m. Both df and m count identities,
+    so copies of a page don't make its text look common. A branch that goes is
     on at least m ** (1 - CONTENT_IMPORTANCE) pages, which bounds a host's list.
     """
     hosts = pages.select(url_host(F.col("url")).alias("host"), "html")
-    seen = hosts.mapInArrow(_branches, "host string, style long, branch long, page long")
-    # Counts of different pages: equal rows meet first, so a hot branch is a small number a task.
-    nodes = scope.write(seen.distinct().groupBy("host", "style", "branch").agg(F.count("*").alias("df")), "nodes", slim=True)
-    sizes = scope.write(seen_pages(hosts), "sizes", slim=True).where(F.col("m") >= MIN_PAGES)
+    # Pages with the same blocks are one row from here on.
+    parsed = scope.write(hosts.mapInArrow(_parsed, f"host string, page long, blocks {BLOCKS}").dropDuplicates(["host", "page"]), "parsed", slim=True)
     df = F.col("df")
+    count = parsed.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    shares = parsed.select("host", F.explode("blocks.branch").alias("branch")).groupBy("host", "branch").agg(F.count("*").alias("df")).where(df >= MIN_PAGES / 2)
+    frequent = shares.join(count, "host").where(df > FREQUENT * F.col("n")).groupBy("host").agg(F.collect_list("branch").alias("frequent"))
+    known = scope.write(frequent, "frequent", slim=True)
+    seen = parsed.join(_small(known, "frequent"), "host", "left").select("host", "blocks", "frequent").mapInArrow(_branches, "host string, style long, branch long, page long")
+    # Counts of different pages: equal rows meet first, so a hot branch is a small number a task.
+    seen = scope.write(seen.distinct(), "seen", slim=True)
+    nodes = scope.write(seen.groupBy("host", "style", "branch").agg(F.count("*").alias("df")), "nodes", slim=True)
+    sizes = scope.write(seen_pages(seen), "sizes", slim=True).where(F.col("m") >= MIN_PAGES)
     styles = nodes.groupBy("host", "style").agg(F.sum("df").alias("s"), F.sum(df * F.ln(df)).alias("l"))
     common = nodes.where(df >= MIN_PAGES).join(sizes, "host").join(styles, ["host", "style"])
     content = F.lit(1.0) - F.ln(df) / F.ln("m")
@@ -219,9 +276,9 @@ def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
     return low.groupBy("host").agg(F.collect_list("branch").alias("removed"))
 
 
-def seen_pages(hosts: DataFrame) -> DataFrame:
-    """Different pages of each host."""
-    return hosts.where("host <> ''").select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("m"))
+def seen_pages(seen: DataFrame) -> DataFrame:
+    """Different pages of each host, by the identity that df counts."""
+    return seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -234,9 +291,8 @@ def extract(pages: DataFrame) -> DataFrame:
     scope = Staging(pages.sparkSession, "site-tree")
     src = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
     removed = scope.write(unimportant_branches(src, scope), "removed", slim=True)
-    entries = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first().n
     site = removed.withColumnRenamed("host", "_host")
-    joined = src.join(F.broadcast(site) if entries <= BROADCAST_BRANCHES else site, url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "removed")
+    joined = src.join(_small(site, "removed"), url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
