@@ -207,6 +207,20 @@ def test_site_tree_counts_pages_by_one_identity(spark):
     assert all(got[500 + i] == f"{story(max(0, i - 180)) * 9} {i}" for i in range(200))
 
 
+def test_importance_decides_inside_and_outside_articles(spark):
+    body = lambda i: f"The text of page {i}, which stands in a plain element, outside the article"
+    page = lambda i: f"<body><div class='t'>Home and news</div><article><h2>Card {i}</h2><p>Read on our site</p></article><div><p>{body(i)}</p></div>"
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(20)] + [(50, "http://b.com/", page(50))]
+    # Copies count once: four different pages are too few to judge, and the copied story of ten is on one.
+    rows += [(100 + i, f"http://c.com/{i}", f"<body data-i='{i}'><article><p>{body(max(0, i - 16))}</p></article><p>out</p>") for i in range(20)]
+    rows += [(200 + i, f"http://d.com/{i}", f"<body data-i='{i}'><article><p>{body(max(0, i - 10))}</p></article><p>out</p>") for i in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == f"Card {i} {body(i)}" for i in range(20))
+    assert got[50] == f"Home and news Card 50 Read on our site {body(50)}"
+    assert all(got[100 + i] == body(max(0, i - 16)) for i in range(20))
+    assert all(got[200 + i] == body(max(0, i - 10)) for i in range(20))
+
+
 def test_html_on_whole_table(spark, sf_dir):
     from html import unescape
 

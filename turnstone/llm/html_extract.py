@@ -6,8 +6,9 @@ measures importance: what every page repeats carries nothing about any of them.
 of low importance are removed from each page. The tree cannot see boilerplate that
 differs from page to page, or that is on a host's only page, so elements whose tag, role
 or class says that they are menus, adverts, comments and the like have no importance
-whatever their entropy, and inside a page's article element entropy alone removes nothing
-(copies of an article on a host would otherwise erase each other).
+whatever their entropy. A page's article element is a prior: inside it only what most pages
+of the host share goes, and on hosts of too few pages to judge, it decides where it holds
+at least half of the page's text.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .url_filter import url_host
 MIN_PAGES = 5
 #: Content importance 1 - log_m(df), and mean of it and the node's entropy, below which a branch goes.
 CONTENT_IMPORTANCE, IMPORTANCE = 0.35, 0.5
+#: Share of a host's different pages from which a branch of low importance goes inside articles too.
+SHARED = 0.5
 #: Share of a host's pages on which a block is frequent, and of a page's text that is too little to identify it.
 FREQUENT, OWN = 0.5, 0.1
 #: Branches of all hosts up to which their table is broadcast; larger ones are joined by a shuffle.
@@ -179,13 +182,23 @@ def style(path: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(path)).view(np.int64))
 
 
-def main_text(html: str | None, removed: frozenset[int]) -> str:
-    """The blocks inside articles where a page has any, else all; without the site's unimportant branches."""
+def main_text(html: str | None, removed: frozenset[int], shared: frozenset[int] = frozenset(), judged: bool = False) -> str:
+    """The page's blocks without the site's unimportant branches, in order.
+
+    On a judged site importance decides inside and outside articles; being inside is a
+    prior, so only what is shared by most pages goes there. Elsewhere the article alone
+    decides where it holds at least half of the text, and nothing does where it doesn't.
+    """
     blocks = parse(html or "")
-    inside = [text for _, text, main in blocks if main]
-    if inside:
-        return " ".join(inside)
-    return " ".join(text for path, text, _ in blocks if not removed or branch(path, text) not in removed)
+    inside = sum(len(text) for _, text, main in blocks if main)
+    if not judged and inside and 2 * inside >= sum(len(text) for _, text, _ in blocks):
+        return " ".join(text for _, text, main in blocks if main)
+    kept = []
+    for path, text, main in blocks:
+        gone = shared if main else removed
+        if not gone or branch(path, text) not in gone:
+            kept.append(text)
+    return " ".join(kept)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +255,13 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(lists: DataFrame, column: str) -> DataFrame:
-    """A host's list, broadcast where the lists of all hosts are short."""
-    entries = lists.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("n")).first().n
+    """A host's list, broadcast where the lists of all hosts, a row counting as one entry more, are short."""
+    entries = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0)).alias("n")).first().n
     return F.broadcast(lists) if entries <= BROADCAST_BRANCHES else lists
 
 
 def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
-    """(host, removed): the branches of low importance of each host.
+    """(host, removed, shared): of each host with enough pages to judge, the branches of low importance, and those on most pages.
 
     A content on df of a host's m pages has importance 1 - log_m(df); a style node's
     importance is the entropy of its contents to base m. Both df and m count identities,
@@ -273,7 +286,10 @@ def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
     content = F.lit(1.0) - F.ln(df) / F.ln("m")
     entropy = (F.ln("s") - F.col("l") / F.col("s")) / F.ln("m")
     low = common.where((content < CONTENT_IMPORTANCE) & ((content + F.least(entropy, F.lit(1.0))) / 2 < IMPORTANCE))
-    return low.groupBy("host").agg(F.collect_list("branch").alias("removed"))
+    most = F.when(df >= SHARED * F.col("m"), F.col("branch"))
+    lists = low.groupBy("host").agg(F.collect_list("branch").alias("removed"), F.collect_list(most).alias("shared"))
+    empty = F.lit([]).cast("array<long>")
+    return sizes.select("host").join(lists, "host", "left").select("host", *[F.coalesce(c, empty).alias(c) for c in ("removed", "shared")])
 
 
 def seen_pages(seen: DataFrame) -> DataFrame:
@@ -284,23 +300,23 @@ def seen_pages(seen: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null html is an empty page; a page without an article keeps every block that is not
-    boilerplate. Null urls belong to no site. Repeated rows stay repeated; an empty table
+    Null html is an empty page; a page keeps every block that is not boilerplate, inside an
+    article or not, except outside one that decides (see main_text). Null urls belong to no site. Repeated rows stay repeated; an empty table
     gives an empty result. Other columns are ignored.
     """
     scope = Staging(pages.sparkSession, "site-tree")
     src = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
     removed = scope.write(unimportant_branches(src, scope), "removed", slim=True)
     site = removed.withColumnRenamed("host", "_host")
-    joined = src.join(_small(site, "removed"), url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "removed")
+    joined = src.join(_small(site, "removed"), url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "removed", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             gone: dict[tuple, frozenset[int]] = {}
             texts = []
-            for html, removed in zip(batch.column(2), batch.column(3), strict=True):
-                key = tuple(removed.as_py() or ())
-                texts.append(main_text(html.as_py(), gone.setdefault(key, frozenset(key))))
+            for html, *lists in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                removed, shared = (gone.setdefault(key, frozenset(key)) for key in (tuple(x.as_py() or ()) for x in lists))
+                texts.append(main_text(html.as_py(), removed, shared, lists[0].is_valid))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return scope.bind(joined.mapInArrow(run, "page_id long, url string, text string, n_chars long"))
