@@ -122,6 +122,24 @@ def test_license_expressions():
     assert s[5] == "apache-2.0,mit" and s[7] == "apache-2.0 | mit"
 
 
+def test_license_expressions_of_any_length():
+    many = " AND ".join(f"(a{i} OR b{i})" for i in range(1, 10))
+    want = sorted(x + str(i) for x in "ab" for i in range(1, 10))
+    for text in (many, f"({many})"):
+        s = N.Scanner().scan(f"SPDX-License-Identifier: {text}\ncode")
+        assert s[5].split(",") == want and s[6] == N.STRENGTH["tag"] and s[7] == ""
+    names = [f"LicenseRef-{i:05}" for i in range(20_000)]
+    for word in (" AND ", " OR "):
+        s = N.Scanner().scan("License-Identifier: " + word.join(names) + "\ncode")
+        assert s[5].split(",") == [x.lower() for x in names]
+    # A further tag of the same line is read too, however far away.
+    for gap in (10, 5000):
+        s = N.Scanner().scan("License-Identifier: MIT, " + "x " * gap + "License-Identifier: ISC\nLicense-Identifier: Zlib")
+        assert s[5] == "isc,mit,zlib"
+    s = N.Scanner().scan("License-Identifier: (MIT OR GPL-2.0 WITH x) AND " + many)
+    assert s[5].split(",") == sorted([*want, "mit", "gpl-2.0 with x"])
+
+
 def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     got = L.op6_language_id(spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/documents.parquet"), on="doc_id")
     held = got[got.held_out]

@@ -52,10 +52,11 @@ TAGS = ("spdx license identifier", "license identifier", "license expression")
 STRENGTH = {"tag": 0.95, "base": 0.9, "notice": 0.6}
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAG = re.compile(r"(?i)(?:spdx[-\s]*)?licen[sc]e[-\s]*(?:identifier|expression)\s*[:=]\s*([^\r\n]{0,2000})")
+_TAG = re.compile(r"(?i)(?:spdx[-\s]*)?licen[sc]e[-\s]*(?:identifier|expression)\s*[:=]\s*")
+_LINE_END = re.compile(r"[\r\n]")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-#: Alternatives kept of an expression; one with more is left unevaluated, its identifiers still count.
+#: Alternatives kept of an expression; the choices of one with more are left unevaluated, its identifiers still count.
 MAX_CHOICES = 256
 
 
@@ -99,30 +100,73 @@ def to_postfix(tokens: list[str]) -> list[str]:
 
 def evaluate(postfix: list[str]) -> set[frozenset[str]]:
     """The sets of licenses that satisfy the expression: or joins choices, and combines them, with ties an exception to a license."""
-    stack: list[set[frozenset[str]]] = []
+    # An operand of the stack is a list of factors, multiplied only where an or, a with or the end needs it.
+    stack: list[list[set[frozenset[str]]]] = []
     for t in postfix:
         if t not in _PRECEDENCE:
-            stack.append({frozenset([t.lower()])})
+            stack.append([{frozenset([t.lower()])}])
             continue
         b, a = stack.pop(), stack.pop()
-        if t == "or":
-            made = a | b
-        elif t == "and":
-            made = {x | y for x in a for y in b}
+        if t == "and":
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a.extend(b)
+            stack.append(a)
+        elif t == "or":
+            stack.append([_bounded(_product(a) | _product(b))])
         else:
-            made = {frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b}
-        if len(made) > MAX_CHOICES:
-            raise ValueError("too many choices")
-        stack.append(made)
-    return stack[0]
+            stack.append([_bounded({frozenset(f"{p} with {q}" for p in x for q in y) for x in _product(a) for y in _product(b)})])
+    return _product(stack[0])
+
+
+def _bounded(made: set[frozenset[str]]) -> set[frozenset[str]]:
+    if len(made) > MAX_CHOICES:
+        raise ValueError("too many choices")
+    return made
+
+
+def _product(factors: list[set[frozenset[str]]]) -> set[frozenset[str]]:
+    """Every combination of the factors' choices; those of one choice are joined first, so that a long chain takes no quadratic time."""
+    made = {frozenset()}
+    for f in factors:
+        if len(f) > 1:
+            made = _bounded({x | y for x in made for y in f})
+    always = frozenset(x for f in factors if len(f) == 1 for c in f for x in c)
+    return {x | always for x in made}
+
+
+def identifiers(postfix: list[str]) -> set[str]:
+    """The labels of an expression, whatever its number of choices: its operands, those of a with as one (or apart, where they have too many pairs)."""
+    stack: list[list[str]] = []
+    for t in postfix:
+        if t not in _PRECEDENCE:
+            stack.append([t.lower()])
+            continue
+        b, a = stack.pop(), stack.pop()
+        if t == "with":
+            a = [f"{p} with {q}" for p in a for q in b] if len(a) * len(b) <= MAX_CHOICES else a + b
+        else:
+            # The shorter list goes into the longer one, so that a long chain takes no quadratic time.
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a.extend(b)
+        stack.append(a)
+    return set(stack[0])
 
 
 def parse_expression(raw: str) -> tuple[set[frozenset[str]], int]:
-    """Choices of the longest expression at the start of a line, and its number of tokens; none: (set(), 0)."""
+    """Choices of the longest expression at the start of a line, and its number of tokens; none: (set(), 0).
+
+    One with too many choices has tokens but no choices.
+    """
+    choices, _, n = read_expression(raw)
+    return choices, n
+
+
+def read_expression(raw: str, at: int = 0, stop: int | None = None) -> tuple[set[frozenset[str]], set[str], int]:
+    """Choices, labels and number of tokens of the longest expression at a place in a line that ends at ``stop``."""
     tokens: list[str] = []
-    at, depth, operand = 0, 0, True
-    ends: list[int] = []
-    for m in _TOKEN.finditer(raw):
+    depth, operand = 0, True
+    end = 0
+    for m in _TOKEN.finditer(raw, at, len(raw) if stop is None else stop):
         if raw[at : m.start()].strip():
             break
         t = m.group()
@@ -134,16 +178,18 @@ def parse_expression(raw: str) -> tuple[set[frozenset[str]], int]:
         operand = t == "(" or trimmed.lower() in _PRECEDENCE
         tokens.append(t if t in "()" else trimmed)
         if not operand and not depth:
-            ends.append(len(tokens))
+            end = len(tokens)
         at = m.end()
         if not word and t != trimmed:
             break
-    for n in reversed(ends):
-        try:
-            return evaluate(to_postfix(tokens[:n])), n
-        except ValueError:
-            continue
-    return set(), 0
+    if not end:
+        return set(), set(), 0
+    postfix = to_postfix(tokens[:end])
+    try:
+        choices = evaluate(postfix)
+    except ValueError:
+        choices = set()
+    return choices, identifiers(postfix), end
 
 
 class Scanner:
@@ -177,12 +223,16 @@ class Scanner:
                 tagged = True
         choices: set[frozenset[str]] = set()
         if tagged:
+            stop = -1
             for m in _TAG.finditer(text or ""):
-                found, _ = parse_expression(m.group(1))
-                if found:
+                if m.end() > stop:
+                    end = _LINE_END.search(text, m.end())
+                    stop = end.start() if end else len(text)
+                found, names, n = read_expression(text, m.end(), stop)
+                if n:
                     choices |= found
                     doubt *= 1 - STRENGTH["tag"]
-                    labels.update(x for c in found for x in c)
+                    labels |= names
         shown = " | ".join(sorted(" + ".join(sorted(c)) for c in choices))
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, shown
 
