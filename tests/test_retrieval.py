@@ -56,6 +56,17 @@ def test_vectors(spark):
     assert abs((e * e).sum() - 1) < 1e-9 and not embed_text("", 32).any()
 
 
+def test_vectors_in_blocks_of_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(50)], "chunk_id int, embedding array<double>")
+    q = v.withColumnRenamed("chunk_id", "query_id").where("query_id < 11")
+    rows = lambda: sorted(tuple(r) for r in R.vector_search(v, q, 3).collect())
+    whole = rows()
+    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    monkeypatch.setattr(R, "AT_ONCE", 3)
+    got = rows()
+    assert len(got) == 33 and [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in whole] and [a[2] for a in got] == pytest.approx([a[2] for a in whole])
+
+
 def test_entities_and_graph(spark):
     c = R.chunk_lines(docs(spark, "The Gate A test calls `check_wer` in pkg.eval for WER. Then gate a again: GateHouse.", "check_wer and WER"))
     m = R.mentions(c)

@@ -6,11 +6,12 @@ stated set; documents are never collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ from ..functions import vector as V
 # Defaults of the retriever, entity patterns, sentence-initial words that name nothing.
 CHUNK_LINES, OVERLAP = 20, 4
 TOP_K, CANDIDATES, MIN_COSINE, MIN_FUSED = 5, 20, 0.15, 0.0
-#: Queries of one vector search.
-MAX_QUERIES = 10_000
+#: Queries of one block of a vector search, and those scored at once in a task.
+MAX_QUERIES, AT_ONCE = 10_000, 500
 #: Grams of a query set up to which they travel to the chunks; more are joined by a shuffle.
 BROADCAST_GRAMS = 500_000
 MAX_DF, MAX_DF_FRACTION, RRF_K, KEYWORD_WEIGHT, MAX_ENTITIES = 3, 0.2, 60, 1.5, 40
@@ -99,17 +100,26 @@ def ranked(rows: DataFrame, score: Column, id_col: str, k: int | None) -> DataFr
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, id_col: str = "chunk_id") -> DataFrame:
-    """(query_id, id, score, rank): exhaustive cosine top-k for a stated set of queries.
+    """(query_id, id, score, rank): exhaustive cosine top-k for a set of queries.
 
-    The queries are at most MAX_QUERIES and travel to the tasks as one matrix; a batch of
-    vectors meets them in one product, and only its k best a query go on to the shuffle.
+    Blocks of at most MAX_QUERIES queries travel to the tasks as one matrix each; a batch of
+    vectors meets a block in one product, and only its k best a query go on to the shuffle.
     A vector of another dimension raises; one without length scores 0.
     """
-    asked = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"a search takes at most {MAX_QUERIES} queries; split the set")
+    src = queries.select("query_id", "embedding")
+    first = src.limit(MAX_QUERIES + 1).collect()
+    blocks = [first] if len(first) <= MAX_QUERIES else batched(src.toLocalIterator(), MAX_QUERIES)
+    scored = None
+    for asked in blocks:
+        part = _scores(vectors, asked, queries.schema["query_id"], k, id_col)
+        scored = part if scored is None else scored.unionByName(part)
+    return ranked(scored, F.round("score", 9).desc(), id_col, k)
+
+
+def _scores(vectors: DataFrame, asked: Sequence[Row], query_id: T.StructField, k: int, id_col: str) -> DataFrame:
+    """(query_id, id, score): of each batch of vectors the k best for each query of a block."""
     src = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    schema = T.StructType([queries.schema["query_id"], src.schema["id"], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([query_id, src.schema["id"], T.StructField("score", T.DoubleType())])
     matrix = np.array([r.embedding for r in asked], float).reshape(len(asked), len(asked[0].embedding) if asked else 0)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
@@ -124,18 +134,19 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, i
                 raise ValueError("vectors differ in dimension")
             v = found.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             n = np.linalg.norm(v, axis=1, keepdims=True)
-            scores = np.divide(v, n, out=np.zeros_like(v), where=n > 0) @ matrix.T
+            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
             ids = np.array(batch.column(0).to_pylist())
             order = np.argsort(ids, kind="stable")
-            rows: list[tuple] = []
-            for q, name in enumerate(names):
-                best = order[np.argsort(-np.round(scores[order, q], 9), kind="stable")[:k]]
-                rows += [(name, ids[b].item(), float(scores[b, q])) for b in best]
-            table = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(table, to_arrow_schema(schema).types, strict=True)], names=["query_id", "id", "score"])
-
-    scored = src.mapInArrow(run, T.StructType([T.StructField("query_id", schema[0].dataType), T.StructField("id", schema[1].dataType), schema[2]])).withColumnRenamed("id", id_col)
-    return ranked(scored, F.round("score", 9).desc(), id_col, k)
+            for at in range(0, len(names), AT_ONCE):
+                scores = v @ matrix[at : at + AT_ONCE].T
+                rows: list[tuple] = []
+                for q, name in enumerate(names[at : at + AT_ONCE]):
+                    best = order[np.argsort(-np.round(scores[order, q], 9), kind="stable")[:k]]
+                    rows += [(name, ids[b].item(), float(scores[b, q])) for b in best]
+                table = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(table, to_arrow_schema(schema).types, strict=True)], names=["query_id", "id", "score"])
+
+    return src.mapInArrow(run, T.StructType([T.StructField("query_id", schema[0].dataType), T.StructField("id", schema[1].dataType), schema[2]])).withColumnRenamed("id", id_col)
 
 
 def cosine_spread(hits: DataFrame) -> DataFrame:
