@@ -67,17 +67,15 @@ def test_session_features(spark):
     assert got[3].avg_response_ms is None and got[3].last_intent is None
 
 
-def test_views():
-    with pytest.raises(ValueError):
-        O.Feature("x", "bytes")
-    with pytest.raises(ValueError):
-        O.FeatureView("v", "e", 0, ())
-    with pytest.raises(ValueError):
-        O.FeatureView("v", "e", 1, (O.Feature("x"), O.Feature("x")))
+def test_views(spark):
+    for bad in (lambda: O.view("e", 1, ("x", "bytes")), lambda: O.view("e", 0), lambda: O.view("e", 1, ("x", "int"), ("x", "int"))):
+        with pytest.raises((KeyError, ValueError)):
+            bad()
     c = O.ViewCatalog.from_config({"views": [{"name": "v", "entity": "e", "ttl_s": 5, "features": [{"name": "x", "dtype": "int"}]}]})
-    assert c.names() == ["v"] and c.get("v").to_ddl() == "entity_id string, event_ts double, x bigint"
+    assert list(c) == ["v"] and c["v"].ddl() == "entity_id string, event_ts double, x bigint"
+    assert c.declare("v", O.view("e", 5, ("x", "int"))) == c["v"]
     with pytest.raises(ValueError):
-        c.register(O.FeatureView("v", "e", 6, ()))
+        c.declare("v", O.view("e", 6, ("x", "int")))
     with pytest.raises(KeyError):
-        c.get("w")
-    assert c.remove("v") and not c.remove("v")
+        c["w"]
+    assert [r.name for r in O.DEFAULT_VIEWS.table(spark).collect()] == ["device_features", "session_features", "speaker_features"]

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions.udfs import wav_duration_s
-from turnstone.operators.features import Feature, FeatureView
+from turnstone.operators.features import view
 from turnstone.sources import files as S
 from turnstone.sources.golden import golden_set
 
-VIEW = FeatureView("v", "e", 5, (Feature("x"), Feature("n", "int"), Feature("s", "str")))
+VIEW = view("e", 5, ("x", "float"), ("n", "int"), ("s", "str"))
 
 
 def test_jsonl(spark, tmp_path):

@@ -198,16 +198,20 @@ def error_rate(errors: Column, n_ref: Column, n_hyp: Column) -> Column:
     return F.when(n_ref == 0, n_hyp.cast("double")).otherwise(errors / n_ref)
 
 
-def rubric(text: Column, max_sentences: int = 3, max_words: int | None = None, phrases: tuple[str, ...] = ()) -> dict[str, Column]:
-    """The enabled checks of a spoken answer, in order."""
-    checks = {"nonempty": strip(text) != "", "max_sentences": count_sentences(text) <= max_sentences}
-    if max_words is not None:
-        checks["max_words"] = n_words(text) <= max_words
-    checks["no_markdown"] = ~text.rlike(JUDGE_MARKDOWN)
-    checks["no_urls"] = ~text.rlike(JUDGE_URL)
-    if phrases:
-        checks["no_forbidden_phrases"] = ~reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p.lower())) for p in phrases])
-    return checks
+def rubric(
+    text: Column, max_sentences: int = 3, max_words: int | None = None, phrases: tuple[str, ...] = (), *, require_nonempty: bool = True, forbid_markdown: bool = True, forbid_urls: bool = True
+) -> dict[str, Column]:
+    """The enabled checks of a spoken answer, in order; each forbidden phrase is a check of its own."""
+    every = (
+        (require_nonempty, "nonempty", strip(text) != ""),
+        (True, "max_sentences", count_sentences(text) <= max_sentences),
+        (max_words is not None, "max_words", n_words(text) <= F.lit(max_words)),
+        (forbid_markdown, "no_markdown", ~text.rlike(JUDGE_MARKDOWN)),
+        (forbid_urls, "no_urls", ~text.rlike(JUDGE_URL)),
+    )
+    checks = {name: check for on, name, check in every if on}
+    lower = F.lower(text)
+    return checks | {f"without {p}": ~F.contains(lower, F.lit(p.lower())) for p in phrases}
 
 
 def rubric_score(text: Column, **options: object) -> Column:
@@ -241,3 +245,11 @@ def host_allowed(host: Column, patterns: Column) -> Column:
 def version_tuple(version: Column) -> Column:
     """Numeric parts of a dotted version; arrays compare part by part."""
     return F.transform(F.split(version, r"\."), lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "[^0-9]", ""), F.lit("")).cast("int"), F.lit(0)))
+
+
+def noisy(text: Column, seed: int = 0, drop: float = 0.1, swap: float = 0.0) -> Column:
+    """A transcript with errors: each word has a draw of its own, from the seed, the text and its place, that drops it, reverses it or leaves it."""
+    share = float(1 << 30)
+    drawn = F.transform(words(text), lambda w, i: F.struct(w.alias("w"), (F.pmod(F.xxhash64(F.lit(seed), text, i), F.lit(1 << 30)) / F.lit(share)).alias("u")))
+    kept = F.filter(drawn, lambda x: x["u"] >= F.lit(drop))
+    return F.array_join(F.transform(kept, lambda x: F.when(x["u"] < F.lit(drop + swap), F.reverse(x["w"])).otherwise(x["w"])), " ")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.features import FeatureView, in_window
+from ..operators.features import View, in_window
 
 TRACE = "ts double, session string, turn int, event string, span string, seq int, ms double, payload string"
 UTTERANCE = "id string, text string, audio_path string, speaker string, duration_s double, meta map<string,string>"
@@ -54,13 +54,13 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str = TRAC
     return reader.load().select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
 
 
-def read_features(spark: SparkSession, path: str, view: FeatureView, start: float | None = None, end: float | None = None, fmt: str = "parquet") -> DataFrame:
+def read_features(spark: SparkSession, path: str, view: View, start: float | None = None, end: float | None = None, fmt: str = "parquet") -> DataFrame:
     """A view's rows in a closed time range; columns that the files lack are null; the range reaches the scan."""
-    return in_window(spark.read.schema(view.schema()).format(fmt).load(path), start, end)
+    return in_window(spark.read.schema(view.schema).format(fmt).load(path), start, end)
 
 
-def append_features(df: DataFrame, path: str, view: FeatureView, fmt: str = "parquet") -> None:
-    df.select(*[f.name for f in view.schema().fields]).write.mode("append").format(fmt).save(path)
+def append_features(df: DataFrame, path: str, view: View, fmt: str = "parquet") -> None:
+    df.select(*view.schema.names).write.mode("append").format(fmt).save(path)
 
 
 def read_texts(spark: SparkSession, root: str, include: str = "*", exclude: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.udfs import SentenceSplitter
+from ..functions.udfs import split_sentences
 from ..operators.trace import sliding_ratio
 
 FEATURES = "session string, event_ts double, turn_count long, avg_user_utterance_s double, avg_response_ms double, last_intent string, accent_profile string"
@@ -19,9 +19,7 @@ _STATE = "turns long, heard long, heard_ms double, answered long, answered_ms do
 def _in_order(rows: Iterator[pd.DataFrame]):
     """The rows of a micro-batch in ``seq`` order."""
     got = [r for r in rows if len(r)]
-    if not got:
-        return ()
-    return pd.concat(got).sort_values("seq", kind="stable").itertuples(index=False)
+    return list(pd.concat(got).sort_values("seq", kind="stable").itertuples(index=False)) if got else []
 
 
 class SessionFold(StatefulProcessor):
@@ -74,18 +72,14 @@ class TokenSegmenter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         text, n = self.state.get() if self.state.exists() else ("", 0)
-        splitter, out, over = SentenceSplitter(text or ""), [], False
-        for r in _in_order(rows):
-            found = splitter.feed(r.token or "")
-            if r.last:
-                found, over = found + splitter.flush(), True
-            for s in found:
-                out.append((*key, n, s))
-                n += 1
+        got = _in_order(rows)
+        over = any(r.last for r in got)
+        found, rest = split_sentences((text or "") + "".join(r.token or "" for r in got), over)
+        out = [(*key, i, s) for i, s in enumerate(found, n)]
         if over:
             self.state.clear()
         else:
-            self.state.update((splitter.text, n))
+            self.state.update((rest, n + len(found)))
         if out:
             yield pd.DataFrame(out, columns=["session", "turn", "n", "sentence"])
 
