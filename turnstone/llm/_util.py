@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import uuid
-import weakref
-from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_code
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests, laptops).
+#: Used only on a local master whose session names no ``spark.checkpoint.dir`` (tests, laptops).
 FALLBACK_DIR = "/tmp/checkpoints"
 
 #: Files of a slim scratch table for each core of the cluster.
@@ -24,28 +24,23 @@ FILES_PER_CORE = 3
 #: Rows up to which a table of short keys may be broadcast (tens of bytes a row).
 BROADCAST_ROWS = 200_000
 
-_recent: deque = deque(maxlen=1)
+_open: list[Staging] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own setting, or the fallback."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is scratch space
-        pass
+    """The folder that driver and executors share: the session's own setting; only a local master may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: executors must share the scratch tables")
+    return (found or FALLBACK_DIR).rstrip("/")
 
 
 class Staging:
     """Scratch tables of one operator call, in the shared folder.
 
-    A written table cuts the lineage, is computed once and outlives any executor.
-    The folder goes when neither a result bound to it nor the latest call needs it.
+    A written table cuts the lineage, is computed once and outlives any executor. Results
+    read from these tables, and so does whatever is made from a result; they stay until
+    ``close``, the end of a ``scratch`` block around the call, or the driver's end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,8 +48,10 @@ class Staging:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/turnstone-{name}-{uuid.uuid4().hex}"
         self._n = 0
-        weakref.finalize(self, _delete, spark, self.path)
-        _recent.append(self)
+        jvm = spark._jvm
+        self._folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str = "t", slim: bool = False) -> DataFrame:
         """Writes and rereads a table; ``slim`` ones (ids, keys and counts) get no more files than a few a core."""
@@ -68,12 +65,39 @@ class Staging:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of this call that no later step reads."""
-        _delete(self.spark, df._turnstone_path)
+        self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._turnstone_path), True)
+
+    def close(self) -> None:
+        """Deletes every table of this call, whoever still reads them."""
+        if self in _open:
+            _open.remove(self)
+            self._files.delete(self._folder, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Closes at its end what operators called in the block have staged: for results that were written or collected inside it."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for s in [s for s in _open if s not in before]:
+            s.close()
+
+
+@atexit.register
+def _close_all() -> None:
+    for s in list(_open):
+        with contextlib.suppress(Exception):  # the JVM may be gone before the driver's Python
+            s.close()
+
 
-    def bind(self, df: DataFrame) -> DataFrame:
-        """Keeps the scratch tables as long as the result lives."""
-        df._turnstone_staging = self
-        return df
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def draw(seed: str, *parts: Column) -> Column:

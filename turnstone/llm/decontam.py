@@ -141,7 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     for m in blocks(benchmark):
         part = scope.write(src.mapInArrow(_hit_rows(m), HITS), "hits")
         out = part if out is None else out.unionByName(part)
-    return scope.bind(out) if out is not None else docs.sparkSession.createDataFrame([], HITS)
+    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
 
 
 def _hit_rows(matcher: Matcher):

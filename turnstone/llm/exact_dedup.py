@@ -163,7 +163,7 @@ def exact_dedup(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col
 
     out = join_heavy(slim, groups, ["digest"], "n", total)
     keep = F.coalesce(F.col("first.id"), F.when(F.col("n").isNull(), F.col("id")))
-    return scope.bind(
+    return (
         out.select(
             F.col("id").alias(id_col),
             keep.alias("keep_id"),

@@ -319,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(html.as_py(), removed, shared, lists[0].is_valid))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return scope.bind(joined.mapInArrow(run, "page_id long, url string, text string, n_chars long"))
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

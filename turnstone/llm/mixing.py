@@ -1,30 +1,30 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every document has an expected number of copies: its source's target over its source's
-size, tilted by an optional document weight. The whole part is certain. The fraction is
-an inclusion probability: documents are ranked by random odds over inclusion odds
+size, tilted by the document's weight (longer texts weigh more), at most MAX_REPEATS. The
+whole part is certain. The fraction is an inclusion probability, which therefore differs
+from document to document: documents are ranked by random odds over inclusion odds
 (Pareto order sampling) and taken from the front until the words that the certain copies
 leave open are filled. The rank is cut without sorting a source: a histogram of the
 ranking value finds the bin that holds the cut, and only that bin's rows are sorted.
+Nothing but numbers of rows reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._util import Staging, draw, read
+from ._util import Staging, draw, join_heavy, read, small
 
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Words from which a document weighs one more: short ones carry less, and are repeated less or left out first.
+STEPS = (16, 64, 256)
 BINS = 4096
-#: A mix names its sources; more than these are refused, so that their table may be broadcast.
-MAX_SOURCES = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,134 +33,156 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float, cap: float = MAX_REPEATS) -> list[float]:
-    """Shares the budget by weight; what exceeds cap times a size is shared again among the others."""
-    target = [0.0] * len(sizes)
-    open_, left = list(range(len(sizes))), float(budget)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = unit * weights[i]
-            break
-        for i in full:
-            target[i] = float(cap * sizes[i])
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return target
-
-
-def _plan(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("ratio", T.DoubleType())])
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def _with_odds(slim: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds certain copies, and v in (0, 1): Q / (1 + Q) of the Pareto ranking value Q; null where nothing is open."""
-    expected = F.least(F.col("ratio") * F.col("tilt"), F.lit(float(MAX_REPEATS)))
-    share = F.col("expected") - F.col("certain")
-    return (
-        slim.join(plan, slim["source"].eqNullSafe(plan["source"]), "left")
-        .drop(plan["source"])
-        .withColumn("expected", F.coalesce(expected, F.lit(0.0)))
-        .withColumn("certain", F.floor(F.col("expected") + F.lit(1e-9)))
-        .withColumn("lambda", F.when(share > 1e-9, share))
-        .withColumn("v", F.expr("u * (1 - lambda) / (u * (1 - lambda) + lambda * (1 - u))"))
-    )
+def length_weight(size: Column) -> Column:
+    """1 to 4, by the document's words."""
+    weight = F.lit(1.0)
+    for n in STEPS:
+        weight = weight + F.when(size >= n, 1.0).otherwise(0.0)
+    return weight
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: str = "mix", doc_weight: Column | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, Staging]:
-    """(sizes of every row, decisions of every source, scratch tables).
+def _filled(cells: DataFrame, by: list[str], order: list[str], weight: str, size: str, budget: Column) -> DataFrame:
+    """Adds ``unit``: a cell's share of the budget is weight times unit, but at most MAX_REPEATS times its size.
 
-    Decisions: source, source_size, target, ratio, cut. A row takes ``certain`` copies, and
-    one more if its v is at most the source's cut. Sources are in code-point order, null
-    last; weights repeat along them. Draws depend on seed, id and text, so reruns agree;
-    rows equal in id and text share one draw and are taken together. Null text has no
-    words. An empty table gives empty results.
+    Cells are full in order of the unit at which they are; the unit is what the others
+    leave, over the weights still open. Null where every cell of a group is full.
     """
-    spark = docs.sparkSession
-    scope = Staging(spark, "mix")
-    slim = scope.write(row_draws(docs, seed, doc_weight, id_col).select("id", "source", word_count(F.col("_text")).alias("size"), "u", "w"), "rows")
-    totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("w")).alias("tilted")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes)) if sum(sizes) else [0.0] * len(sizes)
-    rows = [(r.source, r["size"], t, t / r.tilted if r.tilted else 0.0) for r, t in zip(totals, targets, strict=True)]
-    plan = _plan(spark, rows)
-
-    ranked = _with_odds(slim.withColumn("tilt", F.col("w")), plan)
-    binned = ranked.withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
-    sums = scope.write(binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure")), "bins", slim=True)
+    full_at = F.col(size) * float(MAX_REPEATS) / F.col(weight)
+    w = W.partitionBy(*by) if by else W.partitionBy()
+    w = w.orderBy("_full", *order)
+    before = F.coalesce(F.sum(F.col(size) * float(MAX_REPEATS)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum(weight).over(w.rowsBetween(0, W.unboundedFollowing))
+    tried = cells.where(F.col(weight) > 0).withColumn("_full", full_at).withColumn("_unit", (budget - before) / open_)
+    unit = F.min_by("_unit", "_full").alias("unit")
+    return tried.where(F.col("_unit") <= F.col("_full")).groupBy(*by).agg(unit)
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
+
+
+def targets(cells: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """(key, source_size, target): sources in code-point order, null last, weigh ``weights`` in turn and share all words.
+
+    One row a source meets in a window: as many as there are sources, not documents.
+    """
+    sizes = cells.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
+    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    sizes = sizes.withColumn("at", place).withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("at") % len(weights) + 1).cast("int")))
+    sizes = sizes.withColumn("budget", F.sum("source_size").over(W.partitionBy()).cast("double"))
+    unit = _filled(sizes, [], ["at"], "weight", "source_size", F.col("budget")).first()
+    share = F.lit(unit.unit) * F.col("weight") if unit and unit.unit is not None else F.lit(float("inf"))
+    return sizes.select("key", "source_size", F.least(F.col("source_size") * float(MAX_REPEATS), share).alias("target"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: str = "mix", doc_weight: Column | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, Staging]:
+    """(every row: id, source, size, u, w, key; decisions of every source and weight; scratch tables).
+
+    Decisions: key, w, n, source_size, target, expected, edge, last. A row takes the whole
+    part of ``expected`` as certain copies, and one more if its ranking value lies in a bin
+    before ``edge`` or is at most ``last`` (see ``copies_of``). A document weighs by its
+    length, or ``doc_weight`` (few different values; null and negative ones count as 0 and
+    are never taken). Draws depend on seed, id and text, so reruns agree; rows equal in id
+    and text share one draw and are taken together. Null text has no words. Other columns
+    are ignored; an empty table gives empty results.
+    """
+    scope = Staging(docs.sparkSession, "mix")
+    slim = scope.write(row_draws(docs, seed, doc_weight, id_col), "rows", slim=True)
+    cells = scope.write(slim.groupBy("key", "w").agg(F.min("source").alias("source"), F.sum("size").alias("size"), F.count("*").alias("n")), "cells", slim=True)
+    goal = scope.write(targets(cells, weights), "targets", slim=True)
+    within = cells.join(goal, "key").withColumn("share", F.col("w") * F.col("size"))
+    units = _filled(within, ["key"], ["w"], "share", "size", F.col("target"))
+    expected = F.least(F.lit(float(MAX_REPEATS)), F.col("w") * F.coalesce("unit", F.lit(float("inf"))))
+    plan = scope.write(within.join(units, "key", "left").select("key", "w", "n", "source_size", "target", F.when(F.col("w") > 0, expected).otherwise(0.0).alias("expected")), "plan", slim=True)
+
+    ranked = _ranked(slim, plan)
+    sums = scope.write(ranked.groupBy("key", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.min("target").alias("target")), "bins", slim=True)
     # At most BINS rows a source meet in a window, whatever its documents number.
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    run = sums.withColumn("sure", F.sum("sure").over(W.partitionBy("source"))).where(F.col("bin").isNotNull()).withColumn("upto", upto)
-    open_ = run.join(plan, run["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("rest", F.col("target") - F.col("sure") - (F.col("upto") - F.col("words")))
-    edge = (F.col("rest") > 0) & (F.col("rest") <= F.col("words"))
-    found = open_.groupBy("source").agg(F.min("rest").alias("past"), F.max(F.when(edge, F.col("bin"))).alias("bin"), F.max(F.when(edge, F.col("rest"))).alias("rest")).collect()
+    upto = F.sum("words").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    run = sums.withColumn("sure", F.sum("sure").over(W.partitionBy("key"))).where("bin is not null").withColumn("upto", upto)
+    run = run.withColumn("rest", F.col("target") - F.col("sure") - (F.col("upto") - F.col("words")))
+    inside = (F.col("rest") > 0) & (F.col("rest") <= F.col("words"))
+    found = run.groupBy("key").agg(F.min("rest").alias("past"), F.max(F.when(inside, F.col("bin"))).alias("edge"), F.max(F.when(inside, F.col("rest"))).alias("rest"))
     # No bin holds the cut: every open row is taken, or none.
-    cuts = {r.source: 1.0 if r.past > 0 else 0.0 for r in found if r.bin is None}
-    edges = [(r.source, r.bin, float(r.rest)) for r in found if r.bin is not None]
-    cuts |= {s: max(0.0, math.nextafter(k / BINS, 0.0)) for s, k, _ in edges}
-    if edges:
-        schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("rest", T.DoubleType())])
-        at = F.broadcast(spark.createDataFrame(edges, schema))
-        inside = binned.join(at, binned["source"].eqNullSafe(at["source"]) & (binned["bin"] == at["bin"])).select(binned["source"], "v", "size", "rest")
-        # Rows of one draw are taken together: one row a draw, and the words up to it.
-        drawn = inside.groupBy("source", "v", "rest").agg(F.sum("size").alias("size"))
-        upto = F.sum("size").over(W.partitionBy("source").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-        before = F.col("upto") - F.col("size")
-        nearer = (F.col("upto") <= F.col("rest")) | ((before < F.col("rest")) & (F.col("upto") - F.col("rest") <= F.col("rest") - before))
-        cuts |= {r.source: r.v for r in drawn.withColumn("upto", upto).where(nearer).groupBy("source").agg(F.max("v").alias("v")).collect()}
-    schema = T.StructType([*plan.schema.fields, T.StructField("cut", T.DoubleType())])
-    decisions = spark.createDataFrame([(*r, cuts.get(r[0], 0.0)) for r in rows], schema)
-    return slim, decisions, scope
+    edges = scope.write(found.select("key", F.coalesce("edge", F.when(F.col("past") > 0, BINS + 1).otherwise(0)).cast("int").alias("edge"), "rest"), "edges", slim=True)
+    at = edges.where("rest is not null")
+    at = F.broadcast(at) if small(at) else at
+    rows = ranked.select("key", "bin", "v", "size").join(at.withColumnRenamed("edge", "bin"), ["key", "bin"])
+    # Rows of one draw are taken together: one row a draw, and the words up to it.
+    drawn = rows.groupBy("key", "v", "rest").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    before = F.col("upto") - F.col("size")
+    nearer = (F.col("upto") <= F.col("rest")) | ((before < F.col("rest")) & (F.col("upto") - F.col("rest") <= F.col("rest") - before))
+    last = drawn.withColumn("upto", upto).where(nearer).groupBy("key").agg(F.max("v").alias("last"))
+    decisions = plan.join(edges.drop("rest"), "key", "left").join(last, "key", "left")
+    decisions = decisions.withColumn("edge", F.coalesce("edge", F.lit(0))).withColumn("last", F.coalesce("last", F.lit(-1.0)))
+    return slim, scope.write(decisions, "decisions", slim=True), scope
 
 
 def row_draws(docs: DataFrame, seed: str, doc_weight: Column | None, id_col: str, *keep: Column) -> DataFrame:
-    text = F.col("text")
-    u = draw(seed, F.col(id_col), F.md5(text))
-    w = F.lit(1.0) if doc_weight is None else F.greatest(F.coalesce(doc_weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), text.alias("_text"), u.alias("u"), w.alias("w"), *keep)
+    size = word_count(F.col("text"))
+    w = length_weight(size) if doc_weight is None else F.greatest(F.coalesce(doc_weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+    source = F.col("source").cast("string")
+    return docs.select(F.col(id_col).alias("id"), source.alias("source"), size.alias("size"), draw(seed, F.col(id_col), F.md5("text")).alias("u"), w.alias("w"), _key(source).alias("key"), *keep)
+
+
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds what the plan says of a row's source and weight, certain copies, and v in (0, 1): Q / (1 + Q) of the Pareto ranking value Q, with its bin; null where nothing is open."""
+    joined = rows.join(F.broadcast(plan.drop("n")), ["key", "w"], "left") if small(plan) else join_heavy(rows, plan, ["key", "w"], "n", rows.count()).drop("n")
+    share = F.col("expected") - F.col("certain")
+    ranked = joined.withColumn("certain", F.floor(F.col("expected") + F.lit(1e-9))).withColumn("lambda", F.when(share > 1e-9, share))
+    ranked = ranked.withColumn("v", F.expr("u * (1 - lambda) / (u * (1 - lambda) + lambda * (1 - u))"))
+    return ranked.withColumn("bin", F.floor(F.col("v") * BINS).cast("int"))
 
 
 def copies_of(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Adds copies (0 to 3) to rows that have source, u and w."""
-    plan = F.broadcast(decisions)
-    return _with_odds(rows.withColumn("tilt", F.col("w")), plan).withColumn("copies", (F.col("certain") + F.when(F.col("v") <= F.col("cut"), 1).otherwise(0)).cast("int"))
+    """Adds copies (0 to 3), source_size and target to rows that have key, u and w."""
+    one_more = (F.col("bin") < F.col("edge")) | (F.col("v") <= F.col("last"))
+    return _ranked(rows, decisions).withColumn("copies", (F.col("certain") + F.when(one_more, 1).otherwise(0)).cast("int"))
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixed documents: each row repeated as often as the mix takes it, with the columns it had."""
-    slim, decisions, scope = mix(docs, **options)
+    """The mixed documents: each row repeated as often as the mix takes it, with the columns it had, whatever their names.
+
+    Nulls, ties, repeated rows, long texts and empty tables are as in ``mix``; a document
+    without words is taken as its expected copies say, and fills nothing.
+    """
+    _, decisions, _ = mix(docs, **options)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    rows = row_draws(docs, options.get("seed", "mix"), options.get("doc_weight"), options.get("id_col", "doc_id"), whole).drop("_text")
+    rows = row_draws(docs, options.get("seed", "mix"), options.get("doc_weight"), options.get("id_col", "doc_id"), whole)
     taken = copies_of(rows, decisions).where("copies > 0")
-    return scope.bind(taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*"))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim, decisions, scope = mix(read(spark, sf_dir, "documents"))
-    out = copies_of(slim, decisions)
-    return scope.bind(out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source"))
+    rows, decisions, _ = mix(read(spark, sf_dir, "documents"))
+    out = copies_of(rows, decisions)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source")
 
 
-#: Water filling in closed form: sources in order of the unit at which they are full, then Pareto order within a source.
+#: Water filling in closed form, over sources and then over the weights within a source; then Pareto order within a source.
 ORACLE = {
     "op1_mixing": """
-WITH d AS (
+WITH b AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || coalesce(md5(text), '~')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
+d AS (SELECT *, 1.0::DOUBLE + (size >= 16)::INT + (size >= 64)::INT + (size >= 256)::INT AS w FROM b),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
-w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
-c AS (SELECT *, 3 * source_size / weight AS full_at, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM w),
-r AS (SELECT *, (budget - coalesce(sum(3 * source_size) OVER (ORDER BY full_at, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM c),
-t AS (SELECT source, source_size, least(3 * source_size, weight * (SELECT arg_min(unit, full_at) FROM r WHERE unit <= full_at)) AS target FROM r),
-e AS (SELECT doc_id, d.source, size, u, source_size, target, least(target / nullif(source_size, 0), 3.0::DOUBLE) AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-f AS (SELECT *, floor(coalesce(expected, 0) + 0.000000001::DOUBLE) AS certain FROM e),
+c AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM s),
+r AS (SELECT *, source_size * 3.0::DOUBLE / weight AS full_at,
+        (budget - coalesce(sum(source_size * 3.0::DOUBLE) OVER (ORDER BY source_size * 3.0::DOUBLE / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY source_size * 3.0::DOUBLE / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM c),
+t AS (SELECT source, source_size, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(unit, full_at) FROM r WHERE unit <= full_at), 'inf'::DOUBLE) * weight) AS target FROM r),
+g AS (SELECT d.source, w, sum(size) AS words, w * sum(size) AS share FROM d GROUP BY d.source, w),
+h AS (SELECT g.*, t.target, words * 3.0::DOUBLE / share AS full_at,
+        (t.target - coalesce(sum(words * 3.0::DOUBLE) OVER (PARTITION BY g.source ORDER BY words * 3.0::DOUBLE / share, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(share) OVER (PARTITION BY g.source ORDER BY words * 3.0::DOUBLE / share, w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+      FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source WHERE share > 0),
+q AS (SELECT source, arg_min(unit, full_at) AS unit FROM h WHERE unit <= full_at GROUP BY source),
+e AS (SELECT doc_id, d.source, size, u, source_size, target, least(3.0::DOUBLE, w * coalesce(q.unit, 'inf'::DOUBLE)) AS expected
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+f AS (SELECT *, floor(expected + 0.000000001::DOUBLE) AS certain FROM e),
 v AS (SELECT *, CASE WHEN expected - certain > 0.000000001::DOUBLE THEN u * (1 - (expected - certain)) / (u * (1 - (expected - certain)) + (expected - certain) * (1 - u)) END AS v,
              target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM f),
 o AS (SELECT *, CASE WHEN v IS NOT NULL THEN sum(size) OVER (PARTITION BY source, v IS NULL ORDER BY v RANGE UNBOUNDED PRECEDING) END AS upto, sum(size) OVER (PARTITION BY source, v) AS own FROM v),

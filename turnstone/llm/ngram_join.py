@@ -322,7 +322,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if some:
         plain = plain.join(shared, F.col(id_col).cast("long") == shared["id"], "left_anti")
     if not (some or blank):
-        return scope.bind(plain)
+        return plain
     vague = docs.where(F.col(id_col).isNull())
     if some:
         vague = vague.unionByName(docs.join(shared, F.col(id_col).cast("long") == shared["id"], "left_semi"))
@@ -337,12 +337,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = vague.mapInArrow(keyed, schema)
     stay = found.where("kept")
     stay = marked.join(stay, marked[id_col].cast("long").eqNullSafe(stay["id"]) & (marked["_k1"] == stay["k1"]) & (marked["_k2"] == stay["k2"]), "left_semi")
-    return scope.bind(plain.unionByName(stay.dropDuplicates([id_col, "_k1", "_k2"]).drop("_k1", "_k2")))
+    return plain.unionByName(stay.dropDuplicates([id_col, "_k1", "_k2"]).drop("_k1", "_k2"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, scope = similarity_classes(read(spark, sf_dir, "documents"))
-    return scope.bind(found.select(F.col("id").alias("doc_id"), "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copies", "kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copies", "kept")
 
 
 ORACLE: dict[str, str] = {}

@@ -1,11 +1,10 @@
 """Sharding by a hierarchical weighted hash tree of regions, racks and shards.
 
-A document draws an exponential of the shard's weight at every shard. A node's draw is
-the smallest of its children's, which is an exponential of the summed weight: a weighted
-hash draw for the whole subtree. The descent takes the region with the smallest draw,
-then the rack, then the shard. Draws elsewhere don't change with a weight, so documents
-move only into or out of the subtree that was changed, and a new shard takes rows only
-into itself.
+A document draws an exponential at every region, of the region's summed weight, and goes
+to the smallest; there it draws at the region's racks only, and then at the rack's shards.
+A node's draw depends on the document and the node's name, so a changed weight moves
+documents only into or out of the subtree that holds it. A shard that is added opens a
+region of its own: documents move into that region and nowhere else.
 """
 
 from __future__ import annotations
@@ -16,11 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Staging, draw, read
+from ._util import Staging, draw, fresh, read
 
 #: Rows numbered by one window; buckets follow the number of rows.
 BUCKET_ROWS = 200_000
 MIN_BUCKETS = 8
+#: Equal rows that one generator row makes; more are made from several rows, dealt to several tasks.
+RUN = 10_000
 
 
 @dataclass(frozen=True)
@@ -31,27 +32,65 @@ class Leaf:
     weight: float = 1.0
 
 
-def topology(shards: int, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
-    """Shards in order, ``per_rack`` to a rack and ``racks`` to a region."""
-    return [Leaf(s // (racks * per_rack), s // per_rack % racks, s) for s in range(shards)]
+def topology(shards: int) -> list[Leaf]:
+    """Shards in order, with about as many shards a rack as racks a region and regions."""
+    side = 1
+    while side**3 < shards:
+        side += 1
+    return [Leaf(s // side**2, s // side % side, s) for s in range(shards)]
 
 
-def descend(key: Column, leaves: Sequence[Leaf], seed: str = "shard") -> Column:
-    """The shard of a key: region, rack and shard with the smallest weighted draw, level by level."""
+def grow(leaves: Sequence[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """One more shard, in a region of its own."""
+    return [*leaves, Leaf(max((x.region for x in leaves), default=-1) + 1, 0, max((x.shard for x in leaves), default=-1) + 1, weight)]
 
-    def least(nodes: list[Column]) -> Column:
-        return nodes[0] if len(nodes) == 1 else F.least(*nodes)
 
-    def leaf(x: Leaf) -> Column:
-        return F.struct((-F.ln(draw(f"{seed}:{x.shard}", key)) / F.lit(x.weight)).alias("d"), F.lit(x.shard).alias("s"))
+Path = tuple[int, ...]
 
-    tree: dict[int, dict[int, list[Leaf]]] = {}
+
+def levels(leaves: Sequence[Leaf]) -> list[dict[Path, dict[int, float]]]:
+    """For each level, the children's names and summed weights of every node above it; nodes without weight are left out."""
+    out: list[dict[Path, dict[int, float]]] = [{}, {}, {}]
     for x in leaves:
-        if x.weight > 0:
-            tree.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
-    if not tree:
+        path = (x.region, x.rack, x.shard)
+        for depth in range(3) if x.weight > 0 else ():
+            children = out[depth].setdefault(path[:depth], {})
+            children[path[depth]] = children.get(path[depth], 0.0) + x.weight
+    if not out[0]:
         raise ValueError("a tree needs a shard of positive weight")
-    return least([least([least([leaf(x) for x in rack]) for rack in racks.values()]) for racks in tree.values()])["s"].cast("int")
+    return out
+
+
+def _drawn(seed: str, key: Column, above: list[Column], children: dict[Path, dict[int, float]]) -> Column:
+    """The child with the smallest draw among those of the node that ``above`` names.
+
+    As many draws as a node has children at most: the i-th child's name and weight come from
+    constant arrays, at the node's place.
+    """
+    nodes = sorted(children)
+    width = max(len(c) for c in children.values())
+    cells = [(sorted(children[n].items()) + [(None, None)] * width)[:width] for n in nodes]
+    if above:
+        place = F.element_at(F.create_map(*[y for i, n in enumerate(nodes) for y in (F.lit("/".join(map(str, n))), F.lit(i))]), F.concat_ws("/", *above))
+    draws = []
+    for i in range(width):
+        if above:
+            name = F.get(F.array(*[F.lit(c[i][0]).cast("int") for c in cells]), place)
+            weight = F.get(F.array(*[F.lit(c[i][1]).cast("double") for c in cells]), place)
+        else:
+            name, weight = (F.lit(x) for x in cells[0][i])
+        d = -F.ln(draw(seed, F.lit(len(above)), *above, name, key)) / weight
+        draws.append(F.when(weight.isNotNull(), F.struct(d.alias("d"), name.alias("n"))))
+    return (draws[0] if width == 1 else F.least(*draws))["n"].cast("int")
+
+
+def descend(docs: DataFrame, key: Column, leaves: Sequence[Leaf], column: str, seed: str = "shard") -> DataFrame:
+    """Adds the shard of a key: region, then rack of that region, then shard of that rack. A column of the same name gives way to it."""
+    region, rack = fresh(docs.columns, "_region"), fresh(docs.columns, "_rack")
+    regions, racks, shards = levels(leaves)
+    docs = docs.withColumn(region, _drawn(seed, key, [], regions))
+    docs = docs.withColumn(rack, _drawn(seed, key, [F.col(region)], racks))
+    return docs.withColumn(column, _drawn(seed, key, [F.col(region), F.col(rack)], shards)).drop(region, rack)
 
 
 def text_bytes(text: Column) -> Column:
@@ -59,11 +98,21 @@ def text_bytes(text: Column) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", column: str = "shard") -> DataFrame:
-    """Adds the shard; an expression on the id, without a shuffle. Null ids share one shard.
+    """Adds the shard; an expression on the id, without a shuffle.
 
-    A column of the same name gives way to it.
+    Null ids share one shard, rows of one id too; texts don't matter. A column of the same
+    name gives way to it; an empty table stays empty.
     """
-    return docs.withColumn(column, descend(F.col(id_col), topology(shards)))
+    return descend(docs, F.col(id_col), topology(shards), column)
+
+
+def _each(counted: DataFrame) -> DataFrame:
+    """A row, with ``i`` from 0, for each of the n rows that a row counts; bounded arrays, large counts over several tasks."""
+    few = counted.where(F.col("n") <= RUN).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))
+    runs = counted.where(F.col("n") > RUN).withColumn("_first", first).repartition("_first")
+    many = runs.withColumn("i", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + RUN, F.col("n")) - 1))).drop("_first")
+    return few.unionByName(many)
 
 
 def shard_slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,14 +121,15 @@ def shard_slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     Null text counts as empty. Slots number the rows of a shard from 0 without gaps:
     identical rows are counted before the shuffle, each shard is cut into hash buckets
     that windows number side by side, and bucket totals shift them. Null and repeated
-    ids are ordinary keys; an empty table gives an empty result.
+    ids are ordinary keys; an empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scope = Staging(spark, "shard-slots")
+    scope = Staging(docs.sparkSession, "shard-slots")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (text_bytes(F.col(text_col)) + 1).alias("size"), F.crc32(text).alias("crc"))
     counted = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
-    placed = scope.write(counted.select("*", descend(F.col("id"), topology(shards)).alias("shard"), descend(F.col("id"), topology(shards + 1)).alias("grown")), "rows", slim=True)
+    leaves = topology(shards)
+    both = descend(descend(counted, F.col("id"), leaves, "shard"), F.col("id"), grow(leaves), "grown")
+    placed = scope.write(both, "rows", slim=True)
     buckets = max(MIN_BUCKETS, -(-placed.count() // (BUCKET_ROWS * shards)))
     cut = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets)))
     # One row a shard and bucket: as many as there are windows.
@@ -87,17 +137,14 @@ def shard_slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     before = totals.alias("a").join(totals.alias("b"), F.expr("a.shard = b.shard AND b.bucket < a.bucket"), "left").groupBy("a.shard", "a.bucket").agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("before"))
     run = "sum(n) OVER (PARTITION BY shard, bucket ORDER BY id, crc, size ROWS UNBOUNDED PRECEDING) - n"
     at = cut.withColumn("at", F.expr(run)).join(F.broadcast(before) if buckets * shards <= 100_000 else before, ["shard", "bucket"])
-    each = at.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return scope.bind(
-        each.select(
-            F.col("id").alias(id_col),
-            "size",
-            F.col("crc").cast("long").alias("text_crc32"),
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("before") + F.col("at") + F.col("i")).cast("long").alias("slot"),
-            F.col("grown").alias("grown_shard"),
-        )
+    return _each(scope.write(at, "numbered", slim=True)).select(
+        F.col("id").alias(id_col),
+        "size",
+        F.col("crc").cast("long").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        (F.col("before") + F.col("at") + F.col("i")).cast("long").alias("slot"),
+        F.col("grown").alias("grown_shard"),
     )
 
 

@@ -1,18 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard raw-content dictionaries are trained on labelled text: one holds the stems
-and words that toxic documents have and ordinary ones lack, the other the reverse. A
-window is one word with its surrounding spaces (longer ones drown the difference in the
-noise of the entropy coder), re-coded so that every character takes two bytes that depend
-on the two characters before it: then only matches of five characters or more save space.
-The window is compressed with either dictionary, and the difference of the two lengths
-says which class it is closer to. A document's differences become counts, and a calibrated
-logistic threshold turns these into a score.
+zstandard's trainer makes dictionaries of toxic and of ordinary text; a window is
+compressed with either, and the difference of the two lengths says which class it is
+closer to. A window is one word with its surrounding spaces (longer ones drown the
+difference in noise, see the README), re-coded so that every character takes two bytes
+that depend on the two characters before it: then only matches of five characters or
+more save space. Dictionaries are trained in pairs of several sizes and segment lengths,
+and a window's difference is summed over the pairs, which averages out what the trainer
+picked by chance. A document's differences become counts, and a calibrated logistic
+threshold turns these into a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,19 +21,23 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._tokens import shingles, word_hashes
+from ._tokens import mix64, shingles, word_hashes
 from ._util import Staging, read, sliced
 
 #: Labelled rows used at most: toxic and ordinary ones for the dictionaries, and as many each for calibration.
 DICTIONARY_ROWS = (2000, 4000)
 CALIBRATION_ROWS = (800, 3200)
-#: Bytes of either dictionary, candidates it is chosen from, and how often each document should be covered.
-DICTIONARY_BYTES, CANDIDATES, COVER = 4096, 3000, 3.0
-#: Share of a label's documents that a candidate is in, and that a chosen segment newly covers; least odds.
-LEAST_SHARE, LEAST_GAIN, LEAST_ODDS = 0.004, 0.008, 5.0
-#: Differences that are told apart; larger ones count as the last.
-LEVELS = 9
+#: Windows of either label that dictionaries are trained on at most.
+TRAINING_WINDOWS = 500_000
+#: (bytes, bytes of a segment) of the toxic dictionaries; bytes and segment of the ordinary one of each pair.
+PAIRS = ((1536, 24), (1536, 32), (2048, 20), (2048, 28))
+ORDINARY_BYTES = 2048
+#: What a trained dictionary has besides content at most: entropy tables, which only add noise to short windows.
+TABLE_BYTES = 300
+#: Summed differences that are told apart; larger ones count as the last.
+LEVELS = 48
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Bytes of a word beyond which its window is cut in pieces; bounds the cost of junk without spaces.
@@ -43,54 +48,14 @@ _MEMO = 100_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def windows(text: str) -> set[bytes]:
-    """The different windows of a whole text."""
-    words = set(text.encode("utf-8", "replace").translate(_TABLE).split())
-    long = {w for w in words if len(w) > PIECE}
-    if long:
-        words = (words - long) | {w[i : i + PIECE] for w in long for i in range(0, len(w), PIECE)}
+def words_of(text: str) -> list[bytes]:
+    """The windows of a whole text, without their spaces, in order."""
+    words = text.encode("utf-8", "replace").translate(_TABLE).split()
+    if any(len(w) > PIECE for w in words):
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
     return words
 
 
-def _segments(words: set[bytes]) -> set[bytes]:
-    """Words and their stems, with the space before them."""
-    out = set()
-    for w in words:
-        w = b" " + w + b" "
-        if len(w) > 5:
-            out.add(w)
-            out.update(w[:n] for n in range(5, min(11, len(w))))
-    return out
-
-
-def choose_segments(candidates: list[tuple[bytes, float]], holds: list[list[int]], size: int = DICTIONARY_BYTES) -> list[bytes]:
-    """Greedy cover: the segment of the highest weight times newly covered documents, until none covers enough.
-
-    ``holds`` has the indices of the candidates in each document. A segment that begins with
-    a chosen one, or lies inside it, adds nothing and is left out; so are chance finds that
-    only occur in documents already covered.
-    """
-    if not candidates or not holds:
-        return []
-    there = np.zeros((len(candidates), len(holds)), bool)
-    for d, found in enumerate(holds):
-        there[found, d] = True
-    weight = np.array([w for _, w in candidates])
-    open_ = np.ones(len(candidates), bool)
-    need = np.full(len(holds), COVER)
-    chosen: list[bytes] = []
-    while sum(map(len, chosen)) < size:
-        new = there @ np.minimum(need, 1.0)
-        best = int(np.where(open_, new * weight, -1.0).argmax())
-        if not open_[best] or new[best] < max(4.0, LEAST_GAIN * len(holds)):
-            break
-        s = candidates[best][0]
-        chosen.append(s)
-        need = np.maximum(0.0, need - there[best])
-        open_ &= np.array([not (c.startswith(s) or c in s) for c, _ in candidates])
-    return chosen
-
-
 _codes: dict[int, bytes] = {}
 
 
@@ -114,17 +79,28 @@ def recode(text: bytes) -> bytes:
     return b"".join(out)
 
 
-#: The end of a short dictionary is never matched, so both end in the same bytes that no window has.
+#: The end of a short dictionary is never matched, so all end in the same bytes that no window has.
 _PADDING = bytes(np.random.default_rng(1).integers(0, 256, 256, dtype=np.uint8))
 
 
-def _compressor(segments: list[bytes]) -> zs.ZstdCompressor:
+def train_dictionary(samples: Sequence[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary that zstandard's trainer picks from re-coded windows, in the order given.
+
+    Where there is too little to train on, the last bytes of the windows themselves.
+    """
+    try:
+        trained = zs.train_dictionary(size, samples, k=segment, d=8, level=3, steps=4).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+    return trained[-max(1, min(len(trained), size) - TABLE_BYTES) :]
+
+
+def _compressor(content: bytes) -> zs.ZstdCompressor:
     parameters = zs.ZstdCompressionParameters(
         window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=6, target_length=64, strategy=zs.STRATEGY_GREEDY,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS,
     )
-    content = recode(b"\n".join(reversed(segments))) + _PADDING
-    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content + _PADDING, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
 
 FIGURES = 2 * LEVELS
@@ -132,32 +108,38 @@ FIGURES = 2 * LEVELS
 
 @dataclass
 class Distances:
-    """Compression-length differences of windows; a bounded memory of those seen."""
+    """Compression-length differences of windows by (toxic, ordinary) dictionaries; a bounded memory of those seen."""
 
-    toxic: list[bytes]
-    ordinary: list[bytes]
+    pairs: list[tuple[bytes, bytes]]
     _memo: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        self._toxic, self._ordinary = _compressor(self.toxic), _compressor(self.ordinary)
+        # Equal dictionaries are compressed with once.
+        times: dict[bytes, int] = {}
+        for toxic, ordinary in self.pairs:
+            times[toxic] = times.get(toxic, 0) - 1
+            times[ordinary] = times.get(ordinary, 0) + 1
+        self._weighed = [(n, _compressor(content)) for content, n in times.items() if n]
+
+    def difference(self, word: bytes) -> int:
+        """How many bytes the toxic dictionaries save more than the ordinary ones; at least 0, at most LEVELS."""
+        x = recode(b" " + word + b" ")
+        return min(max(sum(n * len(c.compress(x)) for n, c in self._weighed), 0), LEVELS)
 
     def of(self, text: str | None) -> np.ndarray:
-        """Figures of a document: for each level, how many of its windows save as many bytes or more, as a logarithm and as a share."""
+        """Figures of a document: for each level, how many of its different windows save as many bytes or more, as a logarithm and as a share."""
         memo = self._memo
         if len(memo) > _MEMO:
             memo.clear()
         counts = np.zeros(LEVELS + 1)
-        n = 0
-        for w in windows(text or ""):
+        found = set(words_of(text or ""))
+        for w in found:
             d = memo.get(w)
             if d is None:
-                x = recode(b" " + w + b" ")
-                d = len(self._ordinary.compress(x)) - len(self._toxic.compress(x))
-                d = memo[w] = min(max(d, 0), LEVELS)
+                d = memo[w] = self.difference(w)
             counts[d] += 1
-            n += 1
         at_least = counts[:0:-1].cumsum()[::-1]
-        return np.concatenate([np.log1p(at_least), np.sqrt(at_least / max(n, 1))])
+        return np.concatenate([np.log1p(at_least), np.sqrt(at_least / max(len(found), 1))])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,8 +169,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 
 @dataclass
 class Model:
-    toxic: list[bytes]
-    ordinary: list[bytes]
+    pairs: list[tuple[bytes, bytes]]
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -198,6 +179,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+SAMPLE = "text string, label int, cal boolean, at int, key long"
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest five-word shingle hash, which near copies share, so that copies count once."""
     for batch in sliced(batches, 500):
@@ -210,49 +194,34 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, documents of label 1, of label 0) of a slice of the sample."""
-    for batch in sliced(batches, 100):
-        counts: dict[bytes, list[int]] = {}
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            for s in _segments(windows(text.as_py() or "")):
-                counts.setdefault(s, [0, 0])[1 - label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["segment", "toxic", "ordinary"])
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, draw, window) of every window of the sample; the draw depends on the document's place in the sample and the window's in the document."""
+    for batch in sliced(batches, 20):
+        for text, label, at in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            words = words_of(text.as_py() or "")
+            draws = mix64(np.arange(len(words), dtype=np.uint64) + (np.uint64(at) << np.uint64(32))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.repeat(label, len(words)), pa.array(draws), pa.array(words, pa.binary())], names=["label", "draw", "word"])
 
 
-def train_dictionaries(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """(toxic, ordinary) segments from (text, label): candidates by excess documents times log odds, then a greedy cover.
-
-    Documents are counted on the executors; the driver gets the best candidates, and which
-    of them each document of the bounded sample has.
-    """
-    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    counts = sample.select("text", "label").mapInArrow(_counted, "segment binary, toxic long, ordinary long").groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where("greatest(toxic, ordinary) >= 4")
-    out = []
-    for own, other, k in (("toxic", "ordinary", 1), ("ordinary", "toxic", 0)):
-        a, b = F.col(own), F.col(other)
-        na, nb = n.get(k, 0), n.get(1 - k, 0)
-        odds = (a + 0.5) * (nb + 1) / ((b + 0.5) * (na + 1))
-        gain = (a - b * (na / max(nb, 1))) * F.ln(odds) * F.pow(F.length("segment"), F.lit(0.25))
-        best = counts.where((a >= max(4.0, LEAST_SHARE * na)) & (odds > LEAST_ODDS)).select("segment", F.ln(odds).alias("weight"), gain.alias("gain")).orderBy(F.desc("gain"), F.desc("segment")).limit(CANDIDATES)
-        candidates = [(bytes(r.segment), r.weight) for r in best.collect()]
-        index = {s: i for i, (s, _) in enumerate(candidates)}
-
-        def held(batches: Iterator[pa.RecordBatch], index: dict[bytes, int] = index) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, 100):
-                found = [sorted(index[s] for s in _segments(windows(t.as_py() or "")) if s in index) for t in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
-
-        holds = [r.held for r in sample.where(F.col("label") == k).select("text").mapInArrow(held, "held array<int>").collect()] if candidates else []
-        out.append(choose_segments(candidates, holds))
-    return out[0], out[1]
+def train_pairs(sample: DataFrame) -> list[tuple[bytes, bytes]]:
+    """(toxic, ordinary) dictionaries from (text, label, at); the driver gets a bounded draw of windows, the same however rows are dealt."""
+    drawn = sample.select("text", "label", "at").mapInArrow(_drawn, "label int, draw long, word binary")
+    samples = {}
+    for label in (1, 0):
+        words = drawn.where(F.col("label") == label).orderBy("draw", "word").limit(TRAINING_WINDOWS).select("word").toArrow().column(0)
+        samples[label] = [recode(b" " + w + b" ") for w in words.to_pylist()]
+    if not samples[0] or not samples[1]:
+        return []
+    made = [(train_dictionary(samples[1], size, k), train_dictionary(samples[0], ORDINARY_BYTES, k)) for size, k in PAIRS]
+    _codes.clear()
+    return made
 
 
-def figures_of(sample: DataFrame, toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(figures, labels) of a bounded sample, computed on the executors."""
+def figures_of(sample: DataFrame, pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(figures, labels) of a bounded sample, computed on the executors, in an order of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(toxic, ordinary)
+        distances = Distances(pairs)
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([distances.of(t.as_py()).tolist() for t in batch.column(0)], pa.list_(pa.float64()))], names=["label", "figures"])
 
@@ -262,20 +231,26 @@ def figures_of(sample: DataFrame, toxic: list[bytes], ordinary: list[bytes]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Dictionaries and threshold from a bounded sample of labelled rows. Without rows of both labels the model scores the share of label 1."""
+    """Dictionaries and threshold from a bounded sample of labelled rows.
+
+    The model depends on the rows alone, not on how they are dealt to tasks. Of near copies
+    in the sample the first is used. Without rows of both labels the model scores the share
+    of label 1. Empty tables, null ids, texts and labels teach nothing and don't fail.
+    """
     scope = Staging(docs.sparkSession, "toxicity")
-    rows = training_rows(docs, labels).mapInArrow(_keyed, "text string, label int, cal boolean, key long")
-    sample = scope.write(rows.dropDuplicates(["label", "key"]).drop("key"), "sample")
-    toxic, ordinary = train_dictionaries(sample.where("not cal"))
-    x, y = figures_of(sample.where("cal"), toxic, ordinary)
+    rows = training_rows(docs, labels).mapInArrow(_keyed, SAMPLE)
+    first = F.min_by(F.struct("text", "cal", "at"), "at").alias("r")
+    sample = scope.write(rows.groupBy("label", "key").agg(first).select("r.text", "label", "r.cal", "r.at"), "sample")
+    pairs = train_pairs(sample.where("not cal"))
+    x, y = figures_of(sample.where("cal"), pairs)
     if len(set(y.tolist())) < 2:
-        x, y = figures_of(sample, toxic, ordinary)
-    scope.drop(sample)
+        x, y = figures_of(sample, pairs)
+    scope.close()
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         bias = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(toxic, ordinary, np.zeros(FIGURES), np.ones(FIGURES), np.array([bias, *np.zeros(FIGURES)]))
-    return Model(toxic, ordinary, *fit_logistic(x, y))
+        return Model(pairs, np.zeros(FIGURES), np.ones(FIGURES), np.array([bias, *np.zeros(FIGURES)]))
+    return Model(pairs, *fit_logistic(x, y))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -283,34 +258,41 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label, cal): a bounded sample of labelled rows that aren't held out, picked by an order that only depends on the ids."""
-    usable = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    """(text, label, cal, at): a bounded sample of labelled rows that aren't held out, picked and numbered by an order that only depends on the ids.
+
+    An id that several labels name is toxic if one says so; of several texts of an id the
+    smallest is used.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    picks: list[tuple[int, int, bool]] = []
+    picks: list[tuple[int, int, bool, int]] = []
     for y in (1, 0):
         first, more = DICTIONARY_ROWS[1 - y], CALIBRATION_ROWS[1 - y]
         ids = usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(first + more).select("doc_id").collect()
         # Where labels are few, the last quarter calibrates.
         cut = min(first, len(ids) * 3 // 4)
-        picks += [(r.doc_id, y, i >= cut) for i, r in enumerate(ids)]
-    wanted = docs.sparkSession.createDataFrame(picks, "doc_id long, label int, cal boolean")
-    return docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "label", "cal")
+        picks += [(r.doc_id, y, i >= cut, len(picks) + i) for i, r in enumerate(ids)]
+    wanted = docs.sparkSession.createDataFrame(picks, "doc_id long, label int, cal boolean, at int")
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    return found.groupBy("label", "cal", "at").agg(F.min("text").alias("text")).select("text", "label", "cal", "at")
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score") -> DataFrame:
-    """Adds the score to every row; null text scores as empty. A column of the same name gives way to it."""
+    """Adds the score to every row; null text scores as empty. A column of the same name gives way to it.
+
+    Whole texts are scored, whatever their length; repeated rows stay repeated, rows are
+    scored alone, so order and ties don't matter; an empty table gives an empty result.
+    """
     rest = [c for c in docs.columns if c != column]
     src = docs.select(*rest)
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.toxic, model.ordinary)
+        distances = Distances(model.pairs)
         for batch in sliced(batches):
             figures = np.array([distances.of(t.as_py()) for t in batch.column(at)]).reshape(-1, FIGURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(figures))], names=[*batch.schema.names, column])
 
-    from pyspark.sql import types as T
-
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
