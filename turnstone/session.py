@@ -32,9 +32,11 @@ def ship_code(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_turnstone_shipped", False):
         return
-    path = Path(tempfile.mkdtemp()) / "turnstone_src.zip"
+    folder = tempfile.TemporaryDirectory()
+    path = Path(folder.name) / "turnstone_src.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
     context.addPyFile(str(path))
-    context._turnstone_shipped = True
+    # The context serves the archive to executors that come later; the folder goes with it.
+    context._turnstone_shipped = folder
