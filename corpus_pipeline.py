@@ -8,33 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm import decontam, mixing, ngram_join, sharding, toxicity
-from turnstone.llm._util import Staging, read
+from turnstone.llm._util import Staging, fresh, read, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic; the model learns from a bounded sample of this stage's labelled rows."""
+    """Drops documents that score as toxic; the model learns from a bounded sample of this stage's labelled rows.
+
+    Null and empty texts score as empty, whole texts of any length are scored, repeated rows
+    share one fate, an empty table stays empty, and columns of any name stay as they are.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, column="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = fresh(docs.columns, "score")
+    scored = toxicity.score_documents(docs, model, column=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of the smallest id."""
+    """Keeps one document of each group of near duplicates, that of the smallest id.
+
+    Texts without a word, null ones too, are one group; of repeated rows one stays; null ids
+    come last. An empty table stays empty; other columns are kept as they are.
+    """
     return ngram_join.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts and items leak nothing; repeated rows share one fate; without
+    benchmark rows everything stays. Columns of any name stay as they are.
+    """
     return decontam.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents until sources have their target weights."""
+    """Repeats or leaves out documents until sources have their target weights.
+
+    Null sources are a source, the last; null texts have no words; rows equal in id and text
+    are taken together. An empty table stays empty. Columns of any name stay as they are.
+    """
     return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of each document."""
+    """Adds the shard of each document.
+
+    Null ids share one shard, rows of one id too. A column named shard gives way to it; an
+    empty table stays empty.
+    """
     return sharding.assign_shards(docs, sharding.SHARDS)
 
 
@@ -51,13 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each is written and read again before the next."""
+    """All stages on documents; each is written and read again before the next, and its scratch tables go."""
     scope = Staging(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        done = scope.write(out, name)
+        with scratch():
+            done = scope.write(stage(spark, docs, sf_dir), name)
         if i:
             scope.drop(docs)
         docs = done
-    return scope.bind(docs)
+    return docs
