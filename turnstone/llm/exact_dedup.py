@@ -5,10 +5,15 @@ distinct digests get a static 3-wise binary-fuse filter, built and probed in sha
 A batch's distinct digests (its own duplicates are grouped first) are screened by the
 filters of the snapshots before it: a negative is new for sure, a positive meets that
 snapshot's exact bucket, and the texts behind every shared digest are compared.
+
+``exact_dedup`` does so for the numbered batches of one table; ``build_snapshot`` writes a
+snapshot that stays, and ``screen`` holds a later batch against any number of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +35,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
     h = keys.view(np.uint64) + np.uint64(seed)
     h = (h ^ (h >> np.uint64(33))) * _C1
@@ -121,28 +130,37 @@ def _probe(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"digest": [], "batch": [], "snapshot": []})
 
 
+def _shards(rows: int) -> int:
+    return max(MIN_SHARDS, -(-rows // SHARD_KEYS))
+
+
+def _dealt(digests: DataFrame, shards: int) -> DataFrame:
+    """Adds the 64-bit key that filters hold, and its shard."""
+    key = F.xxhash64("digest")
+    return digests.withColumn("key", key).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+
+
+def _first() -> Column:
+    """Of equal texts the smallest id, null ids last, and of repeated rows with it one."""
+    return F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("first")
+
+
 def exact_dedup(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, batch.
 
     ``batch`` numbers the batch that a row came in (null: 0). Texts are equal when equal
     after white-space normalisation; null is the empty text. The smallest id stays, null
-    ids last; of repeated rows with that id exactly one is kept. An empty table gives an
-    empty result. Other columns are ignored.
+    ids last; of repeated rows with that id exactly one is kept. Different texts of one
+    digest are told apart by their bytes. An empty table gives an empty result. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     scope = Staging(spark, "exact-dedup")
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.coalesce(batch, F.lit(0)).cast("int").alias("batch"))
-    slim = scope.write(rows.select("id", "batch", F.unhex(F.sha2("norm", 256)).alias("digest"), F.monotonically_increasing_id().alias("rid")), "rows")
+    slim = scope.write(rows.select("id", "batch", digest_of(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("rid")), "rows")
     total = slim.count()
-    shards = max(MIN_SHARDS, -(-total // SHARD_KEYS))
-    key = F.xxhash64("digest")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("first")
     # New-batch duplicates are grouped here: one row a batch and digest.
-    digests = scope.write(
-        slim.groupBy("digest", "batch").agg(first, F.count("*").alias("n")).select("*", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")),
-        "digests",
-        slim=True,
-    )
+    digests = scope.write(_dealt(slim.groupBy("digest", "batch").agg(_first(), F.count("*").alias("n")), _shards(total)), "digests", slim=True)
     sides = digests.select("shard", "batch", "key", "digest")
     filters = sides.drop("digest").groupBy("shard").applyInPandas(_build, FILTERS)
     positives = sides.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_probe, POSITIVES)
@@ -155,35 +173,99 @@ def exact_dedup(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col
 
     # Byte check: the texts behind each repeated digest, one row for each different text.
     repeated = groups.select("digest")
-    texts = rows.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm")
+    texts = rows.select(digest_of(F.col("norm")).alias("digest"), "norm")
     texts = texts.join(F.broadcast(repeated) if small(repeated, BROADCAST_DIGESTS) else repeated, "digest", "left_semi")
-    unequal = texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
-    if unequal.limit(1).count():
-        raise ArithmeticError("two different texts share a SHA-256 digest")
+    unequal = scope.write(texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "unequal", slim=True)
+    split = unequal.limit(1).count() > 0
+    if split:
+        slim, groups = (t.join(unequal, "digest", "left_anti") for t in (slim, groups))
 
     out = join_heavy(slim, groups, ["digest"], "n", total)
     keep = F.coalesce(F.col("first.id"), F.when(F.col("n").isNull(), F.col("id")))
-    return (
-        out.select(
-            F.col("id").alias(id_col),
-            keep.alias("keep_id"),
-            F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-            (F.col("n").isNull() | (F.col("first.rid") == F.col("rid"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-            "batch",
-        )
+    columns = [
+        F.col("id").alias(id_col),
+        keep.alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("n").isNull() | (F.col("first.rid") == F.col("rid"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+        "batch",
+    ]
+    out = out.select(*columns)
+    if not split:
+        return out
+    # Rows behind a digest of several texts are grouped by the text itself.
+    vague = scope.write(rows.withColumn("digest", digest_of(F.col("norm"))).join(unequal, "digest", "left_semi").withColumn("rid", F.monotonically_increasing_id()), "vague")
+    exact = scope.write(vague.groupBy("norm").agg(_first(), F.count("*").alias("n")), "exact", slim=True)
+    return out.unionByName(join_heavy(vague, exact, ["norm"], "n", vague.count()).select(*columns))
+
+
+def build_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes an immutable snapshot: its different texts with their smallest ids, in exact buckets, and the filter of each bucket.
+
+    Null texts count as empty. An existing path is refused; an empty table makes a snapshot
+    that holds nothing. The number of buckets follows the number of texts and is kept beside
+    them. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
+    rows.groupBy(digest_of(F.col("norm")).alias("digest"), "norm").agg(F.min("id").alias("id")).write.parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    shards = _shards(texts.count())
+    sides = _dealt(texts.select("digest"), shards).select("shard", F.lit(0).alias("batch"), "key").distinct()
+    sides.groupBy("shard").applyInPandas(_build, FILTERS).drop("batch").withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+
+
+def screen(docs: DataFrame, snapshots: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of a batch: id, keep_id, group_size, kept, snapshot, held_id.
+
+    ``snapshot`` is the path of the first snapshot that holds the text, with its id there,
+    null for a new text; the first row of a new text is ``kept``. Group and keep_id are the
+    batch's own. Filters screen the batch's different digests; only positives meet the texts,
+    on digest and bytes. Nulls, ties, repeats and empty tables are as in ``exact_dedup``.
+    """
+    spark = docs.sparkSession
+    scope = Staging(spark, "screen")
+    src = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    rows = scope.write(src.withColumn("digest", digest_of(F.col("norm"))).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    groups = scope.write(rows.groupBy("digest", "norm").agg(_first(), F.count("*").alias("n")), "groups", slim=True)
+    held = None
+    for at, path in enumerate(snapshots):
+        filters = spark.read.parquet(f"{path}/filters")
+        some = filters.select("shards").first()
+        if some is None:
+            continue
+        incoming = _dealt(groups.select("digest").distinct(), some.shards).withColumn("batch", F.lit(1))
+        positives = incoming.groupBy("shard").cogroup(filters.withColumn("batch", F.lit(0)).groupBy("shard")).applyInPandas(_probe, POSITIVES).select("digest").distinct()
+        found = groups.join(positives, "digest", "left_semi").select("digest", "norm").join(spark.read.parquet(f"{path}/texts").withColumnRenamed("id", "held_id"), ["digest", "norm"])
+        found = found.select("digest", "norm", F.struct(F.lit(at).alias("at"), F.lit(path).alias("path"), "held_id").alias("held"))
+        held = found if held is None else held.unionByName(found)
+    if held is None:
+        groups = groups.withColumn("held", F.lit(None).cast("struct<at: int, path: string, held_id: bigint>"))
+    else:
+        groups = scope.write(groups.join(held.groupBy("digest", "norm").agg(F.min("held").alias("held")), ["digest", "norm"], "left"), "held", slim=True)
+    out = join_heavy(rows.drop("norm"), groups.drop("norm"), ["digest"], "n", rows.count()) if _one_text(groups) else join_heavy(rows, groups, ["digest", "norm"], "n", rows.count())
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("first.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        ((F.col("first.rid") == F.col("rid")) & F.col("held").isNull()).alias("kept"),
+        F.col("held.path").alias("snapshot"),
+        F.col("held.held_id").alias("held_id"),
     )
 
 
-#: The query's batches: the id range in thirds, oldest ids first.
+def _one_text(groups: DataFrame) -> bool:
+    """Whether no digest stands for several texts, so that the digest alone may join."""
+    return groups.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").limit(1).count() == 0
+
+
+#: The query's batches, dealt by a hash of the id: any id is a valid one.
 BATCHES = 3
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, width = ends.lo or 0, max(1, (ends.hi or 0) - (ends.lo or 0) + 1)
-    return exact_dedup(docs, F.floor((F.col("doc_id") - F.lit(lo)) * BATCHES / F.lit(width))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = {
