@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -187,14 +188,51 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html():
-    assert H.main_text(PAGE, frozenset()) == "Head&line First line Second é x < y"
-    assert H.main_text(None, frozenset()) == "" and H.main_text("", frozenset()) == "" and H.main_text("plain  text", frozenset()) == "plain text"
-    assert H.main_text("<p>a<p>b</div></p>c <b>d", frozenset()) == "a b c d"
-    assert H.main_text("<p>a < b and c > d &notanentity; &#233;", frozenset()) == "a < b and c > d ¬anentity; é"
-    assert H.main_text("<body><div role=navigation>x</div><div hidden>y</div><p style='display:none'>z</p><main>m<article>n</article></main>o", frozenset()) == "m n"
-    assert H.main_text("<script>unclosed <p>x", frozenset()) == "" and H.main_text("<p>x<!-- unclosed", frozenset()) == "x"
-    assert H.main_text("<ul><li>one<li>two</ul><table><tr><td>a<td>b</table>", frozenset()) == "one two a b"
-    assert len(H.main_text("<div>" * 3000 + "deep " * 50_000, frozenset())) == 5 * 50_000 - 1
+    assert H.main_text(PAGE) == "Head&line First line Second é x < y"
+    assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("plain  text") == "plain text"
+    assert H.main_text("<p>a<p>b</div></p>c <b>d") == "a b c d"
+    assert H.main_text("<p>a < b and c > d &notanentity; &#233;") == "a < b and c > d ¬anentity; é"
+    assert H.main_text("<body><div role=navigation>x</div><div hidden>y</div><p style='display:none'>z</p><main>m<article>n</article></main>o") == "m n"
+    assert H.main_text("<script>unclosed <p>x") == "" and H.main_text("<p>x<!-- unclosed") == "x"
+    assert H.main_text("<ul><li>one<li>two</ul><table><tr><td>a<td>b</table>") == "one two a b"
+    # A form around the page, a teaser beside the story, a name that only sounds like comments, text in odd elements.
+    assert H.main_text("<body><form id=aspnetForm><p>The story of the day</p><input></form>") == "The story of the day"
+    assert H.main_text("<body><p>The story of the day, at length</p><form><label>Name</label>send</form>") == "The story of the day, at length"
+    assert H.main_text("<article class=teaser>Teaser</article><div id=story><p>A story of many more words</p></div>") == "Teaser A story of many more words"
+    assert H.main_text("<article><p id='comments-on-law'>On law</p><div id=comments-list>nice</div><p>more</p></article>") == "On law more"
+    assert H.main_text("<head><title>T</title></head><body><article><math>x=1</math> <canvas>c</canvas> <object>o</object> <noscript>n</noscript> <title>t</title></article>") == "x=1 c o n t"
+    assert H.main_text("<p>one <a title='x > y' b=\"it's\">two</a> <span hidden>no</span>three") == "one two three"
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<div>", "<p><b>", "<li><ul>", "<!--", "<!x", "</div", "<ul><li><div>", "<td><table>", "<", "&", "<p><button><p>", "<form><input class='"])
+def test_html_takes_linear_time(piece):
+    began = time.perf_counter()
+    H.main_text("word " + piece * 20_000 + " end")
+    first = time.perf_counter() - began
+    assert first < 5
+    began = time.perf_counter()
+    H.main_text("word " + piece * 80_000 + " end")
+    assert time.perf_counter() - began < 12 * first + 1
+
+
+def test_tree_alone_finds_articles(spark, sf_dir):
+    """Without marks, importance alone removes menus, adverts and footers of every host with enough pages."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    pages = spark.read.parquet(f"{big}/pages.parquet")
+    want = {r.page_id: r.text for r in H.extract(pages).collect()}
+    alone = {r.page_id: r.text for r in H.extract(pages, marks=False).collect()}
+    hosts = pages.select("page_id", H.url_host(pages.url).alias("host")).toPandas()
+    many = hosts.groupby("host").page_id.transform("size") >= H.MIN_PAGES
+    assert many.sum() > 50 and all(alone[i] == want[i] for i in hosts.page_id[many])
+    every = {i: " ".join(b[2] for b in H.parse(h, False).blocks) for i, h in pages.select("page_id", "html").collect()}
+    assert all(len(alone[i]) < len(every[i]) for i in hosts.page_id[many])
+
+
+def test_judged_tree_keeps_marked_branches_that_hold_the_text():
+    #  path, parent, words, own words, entropy, mark
+    nodes = [(0, -1, 130.0, 0.0, 0.0, 0), (1, 0, 100.0, 90.0, 0.5, -1), (2, 0, 5.0, 5.0, 0.0, 0), (3, 0, 5.0, 5.0, 0.0, 1), (4, 1, 10.0, 10.0, 0.0, 0), (5, 0, 25.0, 25.0, 1.0, 0), (6, 0, 25.0, 25.0, 0.0, -1)]
+    assert H.judge(nodes) == ([2, 3, 6], [1])
+    assert H.judge([]) == ([], []) and H.judge([(0, -1, 0.0, 0.0, 0.0, 0), (1, 0, 0.0, 0.0, 0.0, 0)]) == ([], [])
 
 
 def test_site_tree_drops_what_pages_share(spark):

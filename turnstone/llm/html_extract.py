@@ -1,24 +1,30 @@
 """HTML extraction with a site style tree.
 
-Pages of a host are merged into one tree of styles: a node is a chain of tags with their
-classes. The entropy of the contents under a node, and of the pages that share a content,
-measures importance: what every page repeats carries nothing about any of them. Branches
-of low importance are removed from each page. The tree cannot see boilerplate that
-differs from page to page, or that is on a host's only page, so elements whose tag, role
-or class says that they are menus, adverts, comments and the like have no importance
-whatever their entropy. A page's article element is a prior: inside it only what most pages
-of the host share goes, and on hosts of too few pages to judge, it decides where it holds
-at least half of the page's text.
+The pages of a host are merged into one tree of presentation nodes: an element with its
+tag, class and place under its parent. Its content nodes are the blocks of text below it.
+
+* A content on df of the host's m different pages has importance 1 - log_m(df).
+* A presentation node's importance is the text of important contents that it brings to a
+  page that has it, relative to its largest sibling, times (1 + H) / 2, where H is the
+  entropy of its pages' child sequences to base m: templates repeat, articles vary.
+
+From the root down, children of low importance are cut off with all below them; the
+descent ends where text stands directly in a node rather than in one of its children. What
+a tag, role or class says is a prior: marked boilerplate counts a quarter, an article twice.
+Where the tree has no say (below the last branching, on rare elements, on hosts of too
+few pages) the marks decide. Within what is left, contents that the site shares go: outside
+articles all of low importance, inside only those on most pages.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,29 +33,34 @@ from pyspark.sql import functions as F
 from ._util import Staging, read, sliced
 from .url_filter import url_host
 
-#: Different pages that must share a branch before entropy may remove it.
+#: Different pages that a host needs for a tree, and an element to be judged.
 MIN_PAGES = 5
-#: Content importance 1 - log_m(df), and mean of it and the node's entropy, below which a branch goes.
+#: Content importance below which a content doesn't count; mean of it and its style's entropy below which it goes.
 CONTENT_IMPORTANCE, IMPORTANCE = 0.35, 0.5
-#: Share of a host's different pages from which a branch of low importance goes inside articles too.
+#: Importance of a presentation node below which its branch goes, and what marks multiply it by.
+BRANCH_IMPORTANCE, MARKED, MAIN = 0.1, 0.25, 2.0
+#: Share of a host's different pages from which a content of low importance goes inside articles too.
 SHARED = 0.5
 #: Share of a host's pages on which a block is frequent, and of a page's text that is too little to identify it.
 FREQUENT, OWN = 0.5, 0.1
-#: Branches of all hosts up to which their table is broadcast; larger ones are joined by a shuffle.
+#: Entries of all hosts' lists up to which their table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BRANCHES = 500_000
 
 #: Fixed values of HTML: elements without content, of raw text, that break lines, and that an open p or li ends at.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes noscript object script style svg template textarea title math canvas audio video".split())
+RAW = frozenset("iframe noembed noframes script style svg template textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that hold text; the others are the presentation nodes.
+TEXT = frozenset("address blockquote br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li option optgroup p pre summary tbody td tfoot th thead tr".split())
 IN_P = frozenset("br option optgroup body head html tr td th tbody thead tfoot caption".split())
 CLOSES = {"li": ("li", "ul", "ol", "menu"), "dt": ("dt", "dl"), "dd": ("dt", "dl"), "tr": ("tr", "table"), "td": ("td", "tr"), "th": ("td", "tr"), "option": ("option", "select")}
-ALIKE = {"dd": "dt", "th": "td"}
+ALIKE = {"dt": ("dt", "dd"), "td": ("td", "th")}
+P_STOPS = ("td", "th", "table", "button", "article", "main", "section")
 
-#: Tags, roles and words of a class or id that mark boilerplate.
+#: Tags, roles and words of a class or id that mark boilerplate, and words beside them that change nothing.
 NOISE_TAGS = frozenset("aside button dialog dir fieldset footer form frameset header input label legend menu nav option search select".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status tablist toolbar".split())
 NOISE_WORDS = frozenset(
@@ -58,22 +69,26 @@ NOISE_WORDS = frozenset(
     "pager pagination paywall popup privacy promo promoted promotion promotions recommended register related replies reply respond responses search share sharing sidebar signup skip "
     "social sponsor sponsored sponsors subscribe subscription taboola toc toolbar topbar trending warning widget widgets".split()
 )
+GLUE_WORDS = frozenset(
+    "a area bar block bottom box col column container desktop div end fixed float global group hidden in inner item items left list main mobile module of one outer page pane panel post "
+    "primary right row secondary section side site slot sticky text the top two unit view visible wrap wrapper zone".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements around whole pages as often as around fields: one with over half of the page's text is no boilerplate.
+WRAPPERS = frozenset(("dialog", "fieldset", "form"))
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_MARK = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<>]*"|'[^'<>]*')*)>""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_ATTRIBUTE_NAME = re.compile(r"[\s/]*([^\s/>=]*)\s*(=?)\s*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
-BLOCKS = "array<struct<style: long, branch: long, size: long>>"
-_BLOCKS = pa.list_(pa.struct([("style", pa.int64()), ("branch", pa.int64()), ("size", pa.int64())]))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ROOT = 0
 
 
-@dataclass
-class Node:
-    tag: str
-    path: str
-    noise: bool
-    main: bool
+def _hash(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) >> 1
 
 
 def _noisy(tag: str, attributes: dict[str, str], main: bool) -> bool:
@@ -85,20 +100,91 @@ def _noisy(tag: str, attributes: dict[str, str], main: bool) -> bool:
         return True
     if _HIDDEN.search(attributes.get("style", "")):
         return True
-    if tag in ("html", "body") or tag in MAIN_TAGS and not main:
+    if tag in ("html", "body", "h1") or tag in MAIN_TAGS and not main:
+        return False
+    tokens = [frozenset(_WORDS.findall(t)) for t in (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split()]
+    names = frozenset().union(*tokens)
+    if names & {"content", "body", "main"} and not names & {"ad", "ads", "comment", "comments", "sidebar"}:
         return False
-    names = set(_WORDS.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-    return bool(names & NOISE_WORDS) and not (tag == "h1" or (names & {"content", "body", "main"} and not names & {"ad", "ads", "comment", "comments", "sidebar"}))
+    # A name means what all its words say: comments-list is a list of comments, comments-on-law is not.
+    return any(t & NOISE_WORDS and all(w in NOISE_WORDS or w in GLUE_WORDS or w.isdigit() or w == "content" for w in t) for t in tokens)
+
+
+@dataclass
+class Page:
+    """Presentation nodes by index, parents first (0 is the page), and blocks of text in order."""
+
+    paths: list[int] = field(default_factory=lambda: [ROOT])
+    ups: list[int] = field(default_factory=lambda: [-1])
+    noise: list[bool] = field(default_factory=lambda: [False])
+    main: list[bool] = field(default_factory=lambda: [False])
+    tags: list[str] = field(default_factory=lambda: [""])
+    shapes: list[list[str]] = field(default_factory=lambda: [[]])
+    #: (node, style, text, inside an article)
+    blocks: list[tuple[int, int, str, bool]] = field(default_factory=list)
+
 
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    node: int
+    style: int
+    main: bool
+    skip: bool
+
+
+_hashes: dict[tuple, int] = {}
+
+
+def _child(up: int, name: str, place: int) -> int:
+    """The path of a child; a bounded memory, as pages of a site share most of their paths."""
+    key = (up, name, place)
+    found = _hashes.get(key)
+    if found is None:
+        if len(_hashes) > 100_000:
+            _hashes.clear()
+        found = _hashes[key] = _hash(up, name, place) or 1
+    return found
+
+
+def _slow_tag(html: str, at: int, last: dict[str, int]) -> tuple[str, str, dict[str, str], int] | None:
+    """(/, name, attributes, end) of a tag with odd quotes, each character read once; a quote that nothing closes is a character."""
+    m = _NAME.match(html, at + 1)
+    if not m or at > last[">"]:
+        return None
+    attributes: dict[str, str] = {}
+    at = m.end()
+    while at < len(html) and html[at] != ">":
+        a = _ATTRIBUTE_NAME.match(html, at)
+        at = a.end()
+        value = ""
+        if a[2] and at < len(html):
+            quote = html[at]
+            if quote in "\"'" and at < last[quote]:
+                end = html.index(quote, at + 1)
+                value, at = html[at + 1 : end], end + 1
+            else:
+                v = _UNQUOTED.match(html, at)
+                value, at = v.group(), v.end()
+        elif a.end() == a.start() and at < len(html) and html[at] != ">":
+            at += 1
+        if a[1]:
+            attributes.setdefault(a[1].lower(), value)
+    return m[1], m[2], attributes, at + 1
 
-def parse(html: str) -> list[tuple[str, str, bool]]:
-    """Blocks of a page in order: (style path, text, inside an article); marked boilerplate is left out.
+
+def parse(html: str, marks: bool = True) -> Page:
+    """The presentation nodes and blocks of a page. With ``marks``, nodes know theirs, and marked text elements and inline ones are left out.
 
     Follows what browsers do with unclosed and misnested elements as far as text and
     containment go: a block ends an open p, an li ends an li, stray end tags are ignored.
+    Time and memory are linear in the page, however quotes and elements are nested.
     """
-    blocks: list[tuple[str, str, bool]] = []
-    stack = [Node("", "", False, False)]
+    page = Page()
+    stack = [_Open("", 0, 0, False, False)]
+    places: dict[str, list[int]] = {}
+    blocks_at = [0]
+    ordinals: list[dict[str, int]] = [{}]
     held: list[str] = []
 
     def flush() -> None:
@@ -106,114 +192,188 @@ def parse(html: str) -> list[tuple[str, str, bool]]:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                at = next((n for n in reversed(stack) if n.tag in BLOCK), stack[0])
-                blocks.append((at.path, text, at.main))
-
-    def close(tag: str, stops: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i].tag
-            if ALIKE.get(t, t) == tag:
-                flush()
-                del stack[i:]
-                return
-            if t in stops:
-                return
+                at = stack[blocks_at[-1]]
+                page.blocks.append((at.node, at.style, text, at.main))
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+            if blocks_at[-1] >= len(stack):
+                blocks_at.pop()
+
+    def where(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(tag: str, stops: Iterable[str]) -> None:
+        i = where(ALIKE.get(tag, (tag,)))
+        if i > where(stops):
+            flush()
+            cut(i)
 
     at, n = 0, len(html)
-    low = None
-    while True:
-        m = _MARK.search(html, at)
-        if not stack[-1].noise and (m.start() if m else n) > at:
-            held.append(html[at : m.start() if m else n])
-        if not m:
+    low = ""
+    last = {c: html.rfind(c) for c in "\"'>"}
+    while at < n:
+        mark = html.find("<", at)
+        if mark < 0:
+            mark = n
+        if mark > at and not stack[-1].skip:
+            held.append(html[at:mark])
+        if mark == n:
             break
-        at = m.end()
-        tag = m.group(2)
-        if not tag:
+        m = _MARK.match(html, mark)
+        if m:
+            slash, tag, raw, at = m[1], m[2].lower(), m[3], m.end()
+            attributes = None
+        elif html.startswith("<!--", mark):
+            at = html.find("-->", mark + 4)
+            at = n if at < 0 else at + 3
             continue
-        tag = tag.lower()
-        if m.group(1):
+        elif html[mark + 1 : mark + 2] in ("!", "?", "/") and not html[mark + 2 : mark + 3].isalpha() or html[mark + 1 : mark + 2] in ("!", "?"):
+            end = html.find(">", mark) if mark < last[">"] else -1
+            at = n if end < 0 else end + 1
+            if end < 0:
+                held.append(html[mark:])
+            continue
+        else:
+            found = _slow_tag(html, mark, last)
+            if not found:
+                held.append("<")
+                at = mark + 1
+                continue
+            slash, tag, attributes, at = found
+            tag, raw = tag.lower(), ""
+        if slash:
+            i = where((tag,))
             if tag in BLOCK:
-                if any(x.tag == tag for x in stack):
+                if i:
                     flush()
-                    while stack.pop().tag != tag:
-                        pass
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
+                    cut(i)
+            elif i > blocks_at[-1]:
+                cut(i)
             continue
-        if tag in RAW:
-            low = html.lower() if low is None else low
+        if tag in RAW or tag == "title" and all(x.tag in ("", "html", "head") for x in stack[:4]) and len(stack) < 4:
+            low = low or html.lower()
             end = low.find(f"</{tag}", at) if len(low) == n else -1
             if end < 0 and len(low) != n:
-                found = re.compile(f"</{tag}", re.I).search(html, at)
-                end = found.start() if found else -1
+                odd = re.compile(f"</{tag}", re.I).search(html, at)
+                end = odd.start() if odd else -1
             at = n if end < 0 else end
             continue
         if tag in BLOCK:
             flush()
             if tag in CLOSES:
                 own, *stops = CLOSES[tag]
-                close(own, tuple(stops))
+                close(own, stops)
             if tag not in IN_P:
-                close("p", ("td", "th", "table", "button", "article", "main", "section"))
+                close("p", P_STOPS)
+            page.shapes[stack[blocks_at[-1]].node].append(tag)
         if tag in VOID:
             continue
-        attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m.group(3))} if m.group(3) and not m.group(3).isspace() else {}
+        if attributes is None:
+            attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
         up = stack[-1]
         main = up.main or tag in MAIN_TAGS or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
-        noise = up.noise or _noisy(tag, attributes, up.main)
-        name = f"{up.path}>{tag}.{'.'.join(attributes.get('class', '').split())}" if tag in BLOCK else up.path
-        stack.append(Node(tag, name, noise, main))
+        noise = marks and _noisy(tag, attributes, up.main)
+        if tag in BLOCK:
+            name = f"{tag}.{'.'.join(attributes.get('class', '').split())}"
+            style = _child(up.style, name, -1)
+            if tag in TEXT:
+                new = _Open(tag, up.node, style, main, up.skip or noise)
+            else:
+                here = ordinals[up.node]
+                place = here[name] = here.get(name, 0) + 1
+                page.paths.append(_child(page.paths[up.node], name, place))
+                page.ups.append(up.node)
+                page.noise.append(noise)
+                page.main.append(main and not up.main)
+                page.tags.append(tag)
+                page.shapes.append([])
+                ordinals.append({})
+                new = _Open(tag, len(page.paths) - 1, style, main, up.skip)
+            blocks_at.append(len(stack))
+        else:
+            new = _Open(tag, up.node, up.style, main, up.skip or noise)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(new)
     flush()
-    return blocks
+    if any(page.noise):
+        words = subtree(page, [words_in(text) for _, _, text, _ in page.blocks])
+        page.noise = [x and not (t in WRAPPERS and 2 * w > words[0]) for x, t, w in zip(page.noise, page.tags, words, strict=True)]
+    return page
+
+
+def words_in(text: str) -> int:
+    return text.count(" ") + 1
+
 
+def subtree(page: Page, weights: list[int]) -> list[int]:
+    """Sums of the blocks' weights in and below each node."""
+    total = [0] * len(page.paths)
+    for (node, *_), w in zip(page.blocks, weights, strict=True):
+        total[node] += w
+    for i in range(len(total) - 1, 0, -1):
+        total[page.ups[i]] += total[i]
+    return total
 
-def branch(path: str, text: str) -> int:
-    """A content node of the site's tree, as 64 bits of its style path and content."""
-    return int(np.uint64(xxhash.xxh64_intdigest(f"{path}\0{text}")).view(np.int64))
 
+def branch(style: int, text: str) -> int:
+    """A content node of the site's tree, as 63 bits of its style path and content."""
+    return _hash(style, text)
 
-def style(path: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(path)).view(np.int64))
 
+@dataclass(frozen=True)
+class Site:
+    """What a host's tree says: branches cut off, marked ones that stay, contents that go outside articles, and inside."""
 
-def main_text(html: str | None, removed: frozenset[int], shared: frozenset[int] = frozenset(), judged: bool = False) -> str:
-    """The page's blocks without the site's unimportant branches, in order.
+    cut: frozenset[int] = frozenset()
+    spared: frozenset[int] = frozenset()
+    removed: frozenset[int] = frozenset()
+    shared: frozenset[int] = frozenset()
 
-    On a judged site importance decides inside and outside articles; being inside is a
-    prior, so only what is shared by most pages goes there. Elsewhere the article alone
-    decides where it holds at least half of the text, and nothing does where it doesn't.
+
+def main_text(html: str | None, site: Site | None = None, marks: bool = True) -> str:
+    """The page's blocks without the site's unimportant branches and contents, in order.
+
+    Without a tree the marks decide, and an article that holds at least half of the
+    unmarked text decides alone.
     """
-    blocks = parse(html or "")
-    inside = sum(len(text) for _, text, main in blocks if main)
-    if not judged and inside and 2 * inside >= sum(len(text) for _, text, _ in blocks):
-        return " ".join(text for _, text, main in blocks if main)
-    kept = []
-    for path, text, main in blocks:
-        gone = shared if main else removed
-        if not gone or branch(path, text) not in gone:
-            kept.append(text)
-    return " ".join(kept)
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash of the page's blocks, its distinct blocks as style, branch and length), once a page."""
+    page = parse(html or "", marks)
+    gone = [False]
+    for i in range(1, len(page.paths)):
+        path = page.paths[i]
+        own = path in site.cut or page.noise[i] and path not in site.spared if site else page.noise[i]
+        gone.append(gone[page.ups[i]] or own)
+    blocks = [(style, text, main) for node, style, text, main in page.blocks if not gone[node]]
+    if not site:
+        inside = sum(len(text) for _, text, main in blocks if main)
+        alone = inside and 2 * inside >= sum(len(text) for _, text, _ in blocks)
+        return " ".join(text for _, text, main in blocks if main or not alone)
+    lists = (site.removed, site.shared)
+    return " ".join(text for style, text, main in blocks if not lists[main] or branch(style, text) not in lists[main])
+
+
+BLOCKS = "array<struct<style: long, branch: long, size: long, words: int, node: int>>"
+NODES = "array<struct<path: long, up: int, shape: long, mark: int>>"
+_BLOCKS = pa.list_(pa.struct([("style", pa.int64()), ("branch", pa.int64()), ("size", pa.int64()), ("words", pa.int32()), ("node", pa.int32())]))
+_NODES = pa.list_(pa.struct([("path", pa.int64()), ("up", pa.int32()), ("shape", pa.int64()), ("mark", pa.int32())]))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], marks: bool) -> Iterator[pa.RecordBatch]:
+    """(host, hash of the page's blocks, its distinct blocks, its nodes), once a page."""
     for batch in sliced(batches):
-        hosts: list[str] = []
-        pages: list[int] = []
-        found: list[list[dict[str, int]]] = []
+        hosts, pages, found, trees = [], [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = {branch(p, t): (style(p), len(t)) for p, t, _ in parse(html or "")} if host else {}
-            if blocks:
-                hosts.append(host)
-                pages.append(_digest(blocks))
-                found.append([{"style": s, "branch": b, "size": n} for b, (s, n) in blocks.items()])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, _BLOCKS)], names=["host", "page", "blocks"])
+            page = parse(html or "", marks) if host else Page()
+            if not page.blocks:
+                continue
+            blocks = {branch(s, t): {"style": s, "branch": branch(s, t), "size": len(t), "words": words_in(t), "node": n} for n, s, t, _ in page.blocks}
+            hosts.append(host)
+            pages.append(_digest(blocks))
+            found.append(list(blocks.values()))
+            marked = [-1 if x else 1 if y else 0 for x, y in zip(page.noise, page.main, strict=True)]
+            trees.append([{"path": p, "up": u, "shape": _hash(*s), "mark": m} for p, u, s, m in zip(page.paths, page.ups, page.shapes, marked, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, _BLOCKS), pa.array(trees, _NODES)], names=["host", "page", "blocks", "nodes"])
 
 
 def _digest(branches: Iterable[int]) -> int:
@@ -260,17 +420,76 @@ def _small(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if entries <= BROADCAST_BRANCHES else lists
 
 
-def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
-    """(host, removed, shared): of each host with enough pages to judge, the branches of low importance, and those on most pages.
+#: A host's nodes, by child sequence.
+MASSES = "host string, path long, up long, shape long, mark int, pages long, words double, own double"
+
+
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each presentation node and child sequence in a slice: pages, words of important contents in and below it, and those in it directly."""
+    for batch in sliced(batches):
+        sums: dict[tuple, list[float]] = {}
+        known: dict[str, frozenset[int]] = {}
+        for host, blocks, nodes, removed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if host not in known:
+                known[host] = frozenset(removed.as_py() or ())
+            own = [0] * len(nodes)
+            for x in blocks:
+                own[x["node"]] += x["words"] if x["branch"] not in known[host] else 0
+            total = list(own)
+            for i in range(len(nodes) - 1, 0, -1):
+                total[nodes[i]["up"]] += total[i]
+            for i, x in enumerate(nodes):
+                up = nodes[x["up"]]["path"] if i else -1
+                cell = sums.setdefault((host, x["path"], up, x["shape"], x["mark"]), [0, 0.0, 0.0])
+                cell[0] += 1
+                cell[1] += total[i]
+                cell[2] += own[i]
+        rows = [(*k, *v) for k, v in sums.items()]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=[f.split()[0] for f in MASSES.split(", ")])
+
+
+def judge(nodes: Iterable[tuple[int, int, float, float, float, int]]) -> tuple[list[int], list[int]]:
+    """(branches to cut off, marked branches that stay) of a host's nodes: path, parent's path, words and own words a page, entropy, mark.
+
+    From the root down: where a child brings more text than stands in the node itself, the
+    children are measured by the one that brings most, else the node is text and stays whole.
+    """
+    own: dict[int, float] = {}
+    children: dict[int, list[tuple[int, float, float, int]]] = {}
+    for path, up, words, direct, entropy, mark in nodes:
+        own[path] = direct
+        children.setdefault(up, []).append((path, words, entropy, mark))
+    cut: list[int] = []
+    spared: list[int] = []
+    left = [ROOT]
+    while left:
+        at = left.pop()
+        below = children.get(at, [])
+        most = max((words for _, words, _, _ in below), default=0.0)
+        if most <= own.get(at, 0.0):
+            continue
+        for path, words, entropy, mark in below:
+            prior = MARKED if mark < 0 else MAIN if mark > 0 else 1.0
+            if prior * words / most * (1 + entropy) / 2 < BRANCH_IMPORTANCE:
+                cut.append(path)
+            else:
+                spared += [path] * (mark < 0)
+                left.append(path)
+    return sorted(cut), sorted(spared)
+
+
+def site_trees(pages: DataFrame, scope: Staging, marks: bool = True) -> DataFrame:
+    """What the tree of each host with enough different pages says: host, cut, spared, removed, shared (see ``Site``).
 
-    A content on df of a host's m pages has importance 1 - log_m(df); a style node's
-    importance is the entropy of its contents to base m. Both df and m count identities,
-    so copies of a page don't make its text look common. A branch that goes is
-    on at least m ** (1 - CONTENT_IMPORTANCE) pages, which bounds a host's list.
+    Both df and m count identities, so copies of a page don't make its text look common. A
+    content that goes, and a node that is judged, is on at least m ** (1 - CONTENT_IMPORTANCE)
+    of the pages, which bounds a host's lists.
     """
     hosts = pages.select(url_host(F.col("url")).alias("host"), "html")
     # Pages with the same blocks are one row from here on.
-    parsed = scope.write(hosts.mapInArrow(_parsed, f"host string, page long, blocks {BLOCKS}").dropDuplicates(["host", "page"]), "parsed", slim=True)
+    parsed = hosts.mapInArrow(lambda b: _parsed(b, marks), f"host string, page long, blocks {BLOCKS}, nodes {NODES}")
+    parsed = scope.write(parsed.groupBy("host", "page").agg(F.min(F.struct("blocks", "nodes")).alias("p")).select("host", "page", "p.*"), "parsed", slim=True)
     df = F.col("df")
     count = parsed.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     shares = parsed.select("host", F.explode("blocks.branch").alias("branch")).groupBy("host", "branch").agg(F.count("*").alias("df")).where(df >= MIN_PAGES / 2)
@@ -279,17 +498,36 @@ def unimportant_branches(pages: DataFrame, scope: Staging) -> DataFrame:
     seen = parsed.join(_small(known, "frequent"), "host", "left").select("host", "blocks", "frequent").mapInArrow(_branches, "host string, style long, branch long, page long")
     # Counts of different pages: equal rows meet first, so a hot branch is a small number a task.
     seen = scope.write(seen.distinct(), "seen", slim=True)
-    nodes = scope.write(seen.groupBy("host", "style", "branch").agg(F.count("*").alias("df")), "nodes", slim=True)
+    contents = scope.write(seen.groupBy("host", "style", "branch").agg(F.count("*").alias("df")), "contents", slim=True)
     sizes = scope.write(seen_pages(seen), "sizes", slim=True).where(F.col("m") >= MIN_PAGES)
-    styles = nodes.groupBy("host", "style").agg(F.sum("df").alias("s"), F.sum(df * F.ln(df)).alias("l"))
-    common = nodes.where(df >= MIN_PAGES).join(sizes, "host").join(styles, ["host", "style"])
+    styles = contents.groupBy("host", "style").agg(F.sum("df").alias("s"), F.sum(df * F.ln(df)).alias("l"))
+    common = contents.where(df >= MIN_PAGES).join(sizes, "host").join(styles, ["host", "style"])
     content = F.lit(1.0) - F.ln(df) / F.ln("m")
     entropy = (F.ln("s") - F.col("l") / F.col("s")) / F.ln("m")
     low = common.where((content < CONTENT_IMPORTANCE) & ((content + F.least(entropy, F.lit(1.0))) / 2 < IMPORTANCE))
     most = F.when(df >= SHARED * F.col("m"), F.col("branch"))
     lists = low.groupBy("host").agg(F.collect_list("branch").alias("removed"), F.collect_list(most).alias("shared"))
     empty = F.lit([]).cast("array<long>")
-    return sizes.select("host").join(lists, "host", "left").select("host", *[F.coalesce(c, empty).alias(c) for c in ("removed", "shared")])
+    judged = scope.write(sizes.join(lists, "host", "left").select("host", "m", *[F.coalesce(c, empty).alias(c) for c in ("removed", "shared")]), "lists", slim=True)
+
+    # Presentation nodes: mean words over the pages that have the node, and the entropy of their child sequences.
+    masses = parsed.join(_small(judged, "removed"), "host").select("host", "blocks", "nodes", "removed").mapInArrow(_masses, MASSES)
+    n = F.col("pages")
+    shapes = masses.groupBy("host", "path", "up", "shape").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("own").alias("own"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    nodes = shapes.groupBy("host", "path", "up").agg(F.sum("pages").alias("n"), F.sum("words").alias("words"), F.sum("own").alias("own"), F.sum(n * F.ln(n)).alias("l"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known_m = judged.select("host", "m")
+    nodes = nodes.join(known_m, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= F.pow("m", F.lit(1 - CONTENT_IMPORTANCE))) | (F.col("path") == ROOT))
+    spread = F.least((F.ln("n") - F.col("l") / F.col("n")) / F.ln("m"), F.lit(1.0))
+    mark = F.when(F.col("low") < 0, -1).otherwise(F.col("high"))
+    judge_in = nodes.select("host", F.struct("path", "up", (F.col("words") / F.col("n")).alias("words"), (F.col("own") / F.col("n")).alias("own"), spread.alias("entropy"), mark.alias("mark")).alias("node"))
+    verdicts = judge_in.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes")).mapInPandas(_judged, "host string, cut array<long>, spared array<long>")
+    return judged.join(verdicts, "host", "left").select("host", *[F.coalesce(c, empty).alias(c) for c in ("cut", "spared", "removed", "shared")])
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for hosts in batches:
+        found = [judge([(x["path"], x["up"], x["words"], x["own"], x["entropy"], x["mark"]) for x in nodes]) for nodes in hosts["nodes"]]
+        yield pd.DataFrame({"host": hosts["host"], "cut": [c for c, _ in found], "spared": [s for _, s in found]})
 
 
 def seen_pages(seen: DataFrame) -> DataFrame:
@@ -297,26 +535,31 @@ def seen_pages(seen: DataFrame) -> DataFrame:
     return seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, marks: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null html is an empty page; a page keeps every block that is not boilerplate, inside an
-    article or not, except outside one that decides (see main_text). Null urls belong to no site. Repeated rows stay repeated; an empty table
-    gives an empty result. Other columns are ignored.
+    Null html is an empty page. A page keeps every block of a branch that its site's tree
+    keeps; on hosts of too few pages see ``main_text``. Without ``marks``, tags, roles and
+    class names count for nothing. Null urls belong to no site. Repeated rows stay repeated;
+    an empty table gives an empty result. Other columns are ignored.
     """
     scope = Staging(pages.sparkSession, "site-tree")
     src = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
-    removed = scope.write(unimportant_branches(src, scope), "removed", slim=True)
-    site = removed.withColumnRenamed("host", "_host")
-    joined = src.join(_small(site, "removed"), url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "removed", "shared")
+    sites = scope.write(site_trees(src, scope, marks), "sites", slim=True).withColumnRenamed("host", "_host")
+    joined = src.join(_small(sites, "removed"), url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "cut", "spared", "removed", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            gone: dict[tuple, frozenset[int]] = {}
+            known: dict[tuple, Site] = {}
             texts = []
-            for html, *lists in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                removed, shared = (gone.setdefault(key, frozenset(key)) for key in (tuple(x.as_py() or ()) for x in lists))
-                texts.append(main_text(html.as_py(), removed, shared, lists[0].is_valid))
+            for html, *lists in zip(*batch.columns[2:], strict=True):
+                site = None
+                if lists[0].is_valid:
+                    key = tuple(tuple(x.as_py()) for x in lists)
+                    if key not in known:
+                        known[key] = Site(*map(frozenset, key))
+                    site = known[key]
+                texts.append(main_text(html.as_py(), site, marks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
