@@ -43,12 +43,10 @@ def leaks(docs, items):
         w = words(t)
         for i, b in items:
             x = words(b)
-            if len(x) < C.MIN_WORDS:
-                continue
             for shift in range(-len(x) + 1, len(w)):
                 lo, hi = max(0, shift), min(len(w), shift + len(x))
                 same = [w[k] == x[k - shift] for k in range(lo, hi)]
-                if sum(same) >= max(C.MIN_WORDS, C.SHARE * len(x)) or C._best_stretch(np.array(same)) >= C.STRETCH:
+                if x and sum(same) >= C.words_needed(len(x)) or C._best_stretch(np.array(same)) >= C.STRETCH:
                     found.add((d, i))
     return found
 
@@ -57,12 +55,12 @@ def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(prose(rng.choice([5, 9, 15, 40])))) for i in range(12)] + [(None, None), (99, "")]
+    items = [(i, " ".join(prose(rng.choice([3, 5, 9, 15, 40])))) for i in range(12)] + [(None, None), (99, ""), (None, " ".join(prose(15)))]
     docs = []
     for d in range(60):
         w = prose(rng.randrange(0, 120))
         if d % 2:
-            x = items[rng.randrange(12)][1].split()
+            x = items[rng.choice([*range(12), 14])][1].split()
             for k in range(len(x)):
                 if rng.random() < 0.1:
                     x[k] = "sub"
@@ -149,14 +147,22 @@ def test_language_accuracy_on_held_out_rows(spark, sf_dir):
 
 def test_language_edges(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("el gato y el perro", "es"), ("日本語のテキスト", "ja")] * 6)]
-    model = L.fit([(t, g) for _, t, g in rows])
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "123 !?", "x"), (None, "the dog", "x"), (5, "der hund " * 50_000, "x"), (5, "日本", "x")], "doc_id long, text string, lang_pred string")
+    model = L.fit_texts([(t, g) for _, t, g in rows])
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "123 !?", "x"), (None, "the dog", "x"), (5, "der hund " * 50_000, "x"), (5, "日本", "x"), (6, "½ ½", "x"), (7, "²³ Ⅷ", "x")], "doc_id long, text string, lang_pred string")
     got = [(r.doc_id, r.lang_pred) for r in L.identify(docs, model).collect()]
-    assert got == [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de"), (5, "ja")]
+    assert got == [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de"), (5, "ja"), (6, "und"), (7, "und")]
     assert {r.lang_pred for r in L.identify(docs, L.fit([])).collect()} == {"und"}
     assert L.identify(docs.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned_from_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS", 10)
+    rows = [(i, f"text of l{i % 30}", f"l{i % 30}") for i in range(600)] + [(3, "text again", "l3")] * 500 + [(None, "x", "l1"), (1, None, "l1"), (1, "x", None), (9, "12", "num")]
+    got = L.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7))
+    assert {g for _, g in got} == {f"l{i}" for i in range(30)} and len(got) == 30
+    assert L.fit(got).predict("text of l7")[0].startswith("l")
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     got = X.op10_toxicity(spark, big).toPandas().merge(pd.read_parquet(f"{big}/labels.parquet"), on="doc_id")
@@ -170,18 +176,38 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
 
 
 def test_toxicity_edges(spark):
-    assert X.windows("") == set() and b"x" * 64 in X.windows("x" * 200)
+    assert X.words_of("") == [] and X.words_of("x" * 100 + " Ab-c") == [b"x" * 64, b"x" * 36, b"ab", b"c"]
     assert len(X.recode(b" abc\n abc")) == 16 and X.recode(b" abc") == X.recode(b"\n abc")
-    chosen = X.choose_segments([(b" bad", 2.0), (b" badly ", 1.0), (b" rare ", 9.0)], [[0, 1]] * 8 + [[2]])
-    assert chosen == [b" bad"]
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "hello there"), (4, "word " * 100_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "hello there", "x"), (4, "word " * 100_000, "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, None, 1), (None, 1, 0), (2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0)):
         got = X.score_documents(docs, X.fit(docs, table)).collect()
         assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert X.score_documents(docs.limit(0), X.fit(docs, labels)).count() == 0
 
 
+def test_toxicity_model_does_not_depend_on_how_rows_are_dealt(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    one = X.fit(docs, labels)
+    # Other partitions, repeated rows, and rows of an id that comes up often.
+    other = X.fit(docs.unionByName(docs.limit(50)).repartition(13), labels.repartition(5).unionByName(labels.limit(20)))
+    assert one.toxic == other.toxic and one.ordinary == other.ordinary and one.toxic and one.ordinary
+    assert (one.weights == other.weights).all() and (one.mean == other.mean).all()
+
+
+def test_toxicity_distance():
+    toxic, plain = [f"some{i} nasty words{i}".encode() for i in range(500)], [f"many{i} other words{i}".encode() for i in range(500)]
+    samples = [[X.recode(b" " + w + b" ") for t in texts for w in t.split()] for texts in (toxic, plain)]
+    assert X.recode(b"nasty")[6:] in X.train_dictionary(samples[0], 4096, 20)
+    d = X.Distances(X.recode(b" nasty "), X.recode(b" other "))
+    assert d.difference(b"nasty") > 0 == d.difference(b"other") and d.of("a nasty one").max() > 0 == d.of("another one").max()
+    assert X.train_dictionary([], 100, 20) == b"" and X.train_dictionary([b"abc"], 100, 20) == b"abc"
+    assert X.Distances(b"", b"").of("x").max() == 0
+    whole = X.recode(b" nasty") + X.recode(b" other")
+    assert X.contrast([whole, b""], samples[0], samples[1]) == [X.recode(b" nasty"), b""]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body><nav><ul><li><a>menu</a></ul></nav>
 <div class="ad">buy</div><article><h1>Head&amp;line</h1><p><b>First<br>line<p>Sec<i>ond</i> &eacute; x &lt; y</p><div class="share">share</div><!-- c --><aside>side</aside>
 <form><input value=1>send</form><section class="comments"><p>nice</p></section></article><footer>&copy; me</footer></body></html>"""

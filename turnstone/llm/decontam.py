@@ -21,16 +21,21 @@ from ._util import Staging, read, sliced
 
 #: Fixed masks: 1 takes a word, 0 ignores it.
 MASKS = ("111111", "1101011", "11100101", "10110011")
-#: Items of fewer words carry no evidence and are not searched.
-MIN_WORDS = 8
-#: An alignment is a leak if this share of the item's words agree, or a stretch of it is this long and this pure.
-SHARE, STRETCH, PURITY = 0.5, 12, 0.8
+#: Words of the shortest mask; items of fewer are searched as exact word sequences.
+SPAN = min(map(len, MASKS))
+#: An alignment is a leak if this share of the item's words agree (of short items NEARLY all, up to so many words), or a stretch of it is this long and this pure.
+SHARE, NEARLY, ENOUGH, STRETCH, PURITY = 0.5, 0.75, 8, 12, 0.8
 #: Words of the benchmark that one pass over the documents holds.
 BLOCK_WORDS = 1_000_000
 
 HITS = "doc_id long, item_id long, start_word long, matched_words int, item_words int, overlap double"
 
 
+def words_needed(n: int) -> float:
+    """Agreeing words that make a leak of an item of n words: all of fewer than SPAN, NEARLY all of few, a SHARE of many."""
+    return n if n < SPAN else max(SHARE * n, min(NEARLY * n, ENOUGH))
+
+
 def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
@@ -66,10 +71,12 @@ class Matcher:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.words = np.concatenate([*parts, np.zeros(0, np.uint64)])
         self.tables = []
-        for mask in MASKS:
+        short = sorted({n for n in self.lengths.tolist() if 0 < n < SPAN})
+        for mask in (*MASKS, *("1" * n for n in short)):
             s = _seeds(self.words, mask)
             item = np.searchsorted(self.starts, np.arange(len(s)), "right") - 1
-            ok = (np.arange(len(s)) + len(mask) <= self.starts[item + 1]) & (self.lengths[item] >= MIN_WORDS) if len(s) else np.zeros(0, bool)
+            inside = np.arange(len(s)) + len(mask) <= self.starts[item + 1] if len(s) else np.zeros(0, bool)
+            ok = inside & (self.lengths[item] == len(mask) if len(mask) < SPAN else self.lengths[item] >= SPAN) if len(s) else inside
             at = np.flatnonzero(ok)
             order = np.argsort(s[at], kind="stable")
             bits = max(16, int(len(at) * 16).bit_length())
@@ -107,7 +114,7 @@ class Matcher:
                 lo, hi = max(0, int(shift_)), min(len(words), int(shift_) + n)
                 equal = words[lo:hi] == self.words[self.starts[item] + lo - shift_ : self.starts[item] + hi - shift_]
                 agree = int(equal.sum())
-                if agree >= max(MIN_WORDS, SHARE * n) or _best_stretch(equal) >= STRETCH:
+                if agree >= words_needed(n) or _best_stretch(equal) >= STRETCH:
                     key = (int(d), int(item))
                     if agree > best.get(key, (0, 0))[1]:
                         best[key] = (lo, agree)
@@ -132,8 +139,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document and benchmark item that it leaks; clean documents have none.
 
-    Null and empty texts leak nothing, nor do items of under MIN_WORDS words. A null id
-    stays null; repeated rows give repeated hits. Other columns are ignored.
+    Null and empty texts leak nothing; items of under SPAN words leak where they stand word
+    for word. Null ids of documents and items stay null; repeated rows give repeated hits.
+    Empty tables give an empty result. Other columns are ignored.
     """
     scope = Staging(docs.sparkSession, "leaks")
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), "text")
@@ -156,7 +164,10 @@ def _hit_rows(matcher: Matcher):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that leak no benchmark item, with the columns they had; one pass a block, without a shuffle."""
+    """The rows that leak no benchmark item, with the columns they had, whatever their names; one pass a block, without a shuffle.
+
+    Null and empty texts stay, repeated rows share one fate, empty tables change nothing.
+    """
     at = docs.columns.index(text_col)
     for matcher in blocks(benchmark):
 

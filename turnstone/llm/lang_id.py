@@ -7,7 +7,6 @@ related languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._util import read, sliced
 
-#: Labelled rows used at most: for each language, and for all.
+#: Labelled rows used at most: for each language, and for all (one of each where there are more languages).
 ROWS_PER_LANGUAGE, ROWS = 800, 3200
 #: Hash buckets of the n-grams; bytes worked on at a time.
 DIM, SLICE = 1 << 12, 1 << 16
@@ -39,11 +38,15 @@ FAMILIES = {
     "turkic": ("az", "kk", "ky", "tr", "tt", "ug", "uz"),
 }
 _FAMILY = {c: f for f, codes in FAMILIES.items() for c in codes}
-_LETTER = re.compile(r"[^\W\d_]")
 #: Lower-cases A-Z and turns other ASCII characters into the word boundary 0.
 _CLASS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's letter categories is in the text; fractions, exponents and Roman numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of counts of hashed 1- to 4-byte grams of a whole text, at unit length."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -115,7 +118,7 @@ class Model:
     languages: dict[str, Level]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or self.family is None or not _LETTER.search(text):
+        if not text or self.family is None or not has_letter(text):
             return "und", 0.0
         x = features(text)
         family, sure = self.family.decide(x)
@@ -123,39 +126,54 @@ class Model:
         return language, sure * among
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """From (text, language); texts without a letter teach nothing. Without rows every text is undetermined."""
-    rows = [(t, g) for t, g in rows if _LETTER.search(t)]
+def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
+    """From (features, language). Without rows every text is undetermined."""
     if not rows:
         return Model(None, {})
-    x = np.array([features(t) for t, _ in rows])
+    x = np.array([f for f, _ in rows])
     families = [_FAMILY.get(g, g) for _, g in rows]
     names = np.array([g for _, g in rows])
     mask = np.array(families)
     return Model(_level(x, families), {f: _level(x[mask == f], names[mask == f].tolist()) for f in sorted(set(families))})
 
 
+def fit_texts(rows: list[tuple[str, str]]) -> Model:
+    """From (text, language); texts without a letter teach nothing."""
+    return fit([(features(t), g) for t, g in rows if has_letter(t)])
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most ROWS_PER_LANGUAGE rows of each language, and ROWS in all, that aren't held out, in an order that only depends on the ids."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 200):
+        keep = [has_letter(t.as_py()) for t in batch.column(2)]
+        held = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array([features(t.as_py()).tobytes() for t in held.column(2)], pa.binary())], names=["doc_id", "lang", "features"])
+
+
+def training_rows(docs: DataFrame) -> list[tuple[np.ndarray, str]]:
+    """(features, language) of at most ROWS_PER_LANGUAGE rows of each language, and ROWS in all, but one of every language.
+
+    Held-out rows, null ids, texts and languages, and texts without a letter are left out;
+    of several texts of an id the smallest is used. The order only depends on the ids.
+    Features are made on the executors, so a row that reaches the driver is of fixed size.
+    """
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS // 8).collect()
-    each = min(ROWS_PER_LANGUAGE, ROWS // max(1, len(sizes)))
+    sizes = usable.groupBy("lang").count().collect()
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // max(1, len(sizes))))
     # A share of each language by its own count, so that one pass collects about as many rows of each.
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.15 * each / r["count"]))).otherwise(share)
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (1.15 * each + 8) / r["count"])) for r in sizes], "lang string, share double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = usable.where(u < share).select("doc_id", "text", "lang").collect()
+    drawn = usable.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where(u < F.col("share")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = drawn.mapInArrow(_featured, "doc_id long, lang string, features binary").collect()
     taken: dict[str, int] = {}
     out = []
-    for r in sorted(found, key=lambda r: (r.doc_id, r.lang, r.text)):
+    for r in sorted(found, key=lambda r: (r.doc_id, r.lang)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= each:
-            out.append((r.text, r.lang))
+            out.append((np.frombuffer(r.features, np.float32), r.lang))
     return out
 
 

@@ -5,9 +5,9 @@ compressed with either, and the difference of the two lengths says which class i
 closer to. A window is one word with its surrounding spaces (longer ones drown the
 difference in noise, see the README), re-coded so that every character takes two bytes
 that depend on the two characters before it: then only matches of five characters or
-more save space. Dictionaries are trained in pairs of several sizes and segment lengths,
-and a window's difference is summed over the pairs, which averages out what the trainer
-picked by chance. A document's differences become counts, and a calibrated logistic
+more save space. Toxic text is trained on with several sizes and segment lengths, so that
+what one of them misses is in another; what the trainer picked although ordinary text has
+it as often is cut out again, and the rest is one dictionary. A document's differences become counts, and a calibrated logistic
 threshold turns these into a score.
 """
 
@@ -31,13 +31,15 @@ DICTIONARY_ROWS = (2000, 4000)
 CALIBRATION_ROWS = (800, 3200)
 #: Windows of either label that dictionaries are trained on at most.
 TRAINING_WINDOWS = 500_000
-#: (bytes, bytes of a segment) of the toxic dictionaries; bytes and segment of the ordinary one of each pair.
-PAIRS = ((1536, 24), (1536, 32), (2048, 20), (2048, 28))
-ORDINARY_BYTES = 2048
+#: (bytes, bytes of a segment) of the trained dictionaries that make up the toxic one, and of the ordinary one.
+TOXIC = tuple((size, segment) for size in (2048, 4096, 8192) for segment in (16, 24, 32))
+ORDINARY = (2048, 24)
+#: Bytes of a gram, and how often and how many times likelier than in ordinary windows it must be in toxic ones to stay in a dictionary.
+GRAM, LEAST_WINDOWS, LEAST_ODDS = 8, 4, 10.0
 #: What a trained dictionary has besides content at most: entropy tables, which only add noise to short windows.
 TABLE_BYTES = 300
-#: Summed differences that are told apart; larger ones count as the last.
-LEVELS = 48
+#: Differences that are told apart; larger ones count as the last.
+LEVELS = 16
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Bytes of a word beyond which its window is cut in pieces; bounds the cost of junk without spaces.
@@ -95,6 +97,27 @@ def train_dictionary(samples: Sequence[bytes], size: int, segment: int) -> bytes
     return trained[-max(1, min(len(trained), size) - TABLE_BYTES) :]
 
 
+def contrast(contents: Sequence[bytes], own: Sequence[bytes], other: Sequence[bytes]) -> list[bytes]:
+    """The dictionaries without the bytes that are in no gram typical of own windows against others."""
+    counts = {c[i : i + GRAM]: [0, 0] for c in contents for i in range(len(c) - GRAM + 1)}
+    for k, windows in enumerate((own, other)):
+        for x in windows:
+            for i in range(0, len(x) - GRAM + 1, 2):
+                found = counts.get(x[i : i + GRAM])
+                if found:
+                    found[k] += 1
+    bar = LEAST_ODDS * len(own) / max(1, len(other))
+    typical = {g for g, (a, b) in counts.items() if a >= LEAST_WINDOWS and a + 0.5 >= bar * (b + 0.5)}
+    out = []
+    for c in contents:
+        keep = np.zeros(len(c), bool)
+        for i in range(len(c) - GRAM + 1):
+            if c[i : i + GRAM] in typical:
+                keep[i : i + GRAM] = True
+        out.append(np.frombuffer(c, np.uint8)[keep].tobytes())
+    return out
+
+
 def _compressor(content: bytes) -> zs.ZstdCompressor:
     parameters = zs.ZstdCompressionParameters(
         window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=6, target_length=64, strategy=zs.STRATEGY_GREEDY,
@@ -108,23 +131,19 @@ FIGURES = 2 * LEVELS
 
 @dataclass
 class Distances:
-    """Compression-length differences of windows by (toxic, ordinary) dictionaries; a bounded memory of those seen."""
+    """Compression-length differences of windows by a toxic and an ordinary dictionary; a bounded memory of those seen."""
 
-    pairs: list[tuple[bytes, bytes]]
+    toxic: bytes
+    ordinary: bytes
     _memo: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        # Equal dictionaries are compressed with once.
-        times: dict[bytes, int] = {}
-        for toxic, ordinary in self.pairs:
-            times[toxic] = times.get(toxic, 0) - 1
-            times[ordinary] = times.get(ordinary, 0) + 1
-        self._weighed = [(n, _compressor(content)) for content, n in times.items() if n]
+        self._toxic, self._ordinary = _compressor(self.toxic), _compressor(self.ordinary)
 
     def difference(self, word: bytes) -> int:
-        """How many bytes the toxic dictionaries save more than the ordinary ones; at least 0, at most LEVELS."""
+        """How many bytes the toxic dictionary saves more than the ordinary one; at least 0, at most LEVELS."""
         x = recode(b" " + word + b" ")
-        return min(max(sum(n * len(c.compress(x)) for n, c in self._weighed), 0), LEVELS)
+        return min(max(len(self._ordinary.compress(x)) - len(self._toxic.compress(x)), 0), LEVELS)
 
     def of(self, text: str | None) -> np.ndarray:
         """Figures of a document: for each level, how many of its different windows save as many bytes or more, as a logarithm and as a share."""
@@ -169,7 +188,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 
 @dataclass
 class Model:
-    pairs: list[tuple[bytes, bytes]]
+    toxic: bytes
+    ordinary: bytes
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -203,7 +223,7 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.repeat(label, len(words)), pa.array(draws), pa.array(words, pa.binary())], names=["label", "draw", "word"])
 
 
-def train_pairs(sample: DataFrame) -> list[tuple[bytes, bytes]]:
+def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries from (text, label, at); the driver gets a bounded draw of windows, the same however rows are dealt."""
     drawn = sample.select("text", "label", "at").mapInArrow(_drawn, "label int, draw long, word binary")
     samples = {}
@@ -211,17 +231,18 @@ def train_pairs(sample: DataFrame) -> list[tuple[bytes, bytes]]:
         words = drawn.where(F.col("label") == label).orderBy("draw", "word").limit(TRAINING_WINDOWS).select("word").toArrow().column(0)
         samples[label] = [recode(b" " + w + b" ") for w in words.to_pylist()]
     if not samples[0] or not samples[1]:
-        return []
-    made = [(train_dictionary(samples[1], size, k), train_dictionary(samples[0], ORDINARY_BYTES, k)) for size, k in PAIRS]
+        return b"", b""
+    ordinary = train_dictionary(samples[0], *ORDINARY)
+    toxic = contrast([train_dictionary(samples[1], size, k) for size, k in TOXIC], samples[1], samples[0])
     _codes.clear()
-    return made
+    return b"".join(toxic), ordinary
 
 
-def figures_of(sample: DataFrame, pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def figures_of(sample: DataFrame, toxic: bytes, ordinary: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(figures, labels) of a bounded sample, computed on the executors, in an order of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(pairs)
+        distances = Distances(toxic, ordinary)
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([distances.of(t.as_py()).tolist() for t in batch.column(0)], pa.list_(pa.float64()))], names=["label", "figures"])
 
@@ -241,16 +262,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels).mapInArrow(_keyed, SAMPLE)
     first = F.min_by(F.struct("text", "cal", "at"), "at").alias("r")
     sample = scope.write(rows.groupBy("label", "key").agg(first).select("r.text", "label", "r.cal", "r.at"), "sample")
-    pairs = train_pairs(sample.where("not cal"))
-    x, y = figures_of(sample.where("cal"), pairs)
+    toxic, ordinary = train_dictionaries(sample.where("not cal"))
+    x, y = figures_of(sample.where("cal"), toxic, ordinary)
     if len(set(y.tolist())) < 2:
-        x, y = figures_of(sample, pairs)
+        x, y = figures_of(sample, toxic, ordinary)
     scope.close()
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         bias = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(pairs, np.zeros(FIGURES), np.ones(FIGURES), np.array([bias, *np.zeros(FIGURES)]))
-    return Model(pairs, *fit_logistic(x, y))
+        return Model(toxic, ordinary, np.zeros(FIGURES), np.ones(FIGURES), np.array([bias, *np.zeros(FIGURES)]))
+    return Model(toxic, ordinary, *fit_logistic(x, y))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -288,7 +309,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", colum
     at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.pairs)
+        distances = Distances(model.toxic, model.ordinary)
         for batch in sliced(batches):
             figures = np.array([distances.of(t.as_py()) for t in batch.column(at)]).reshape(-1, FIGURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(figures))], names=[*batch.schema.names, column])
