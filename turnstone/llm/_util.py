@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Used only on a local master whose session names no ``spark.checkpoint.dir`` (tests, laptops).
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -150,4 +150,4 @@ def release_memory() -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_code(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
