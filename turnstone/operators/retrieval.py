@@ -64,6 +64,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(X.grams(F.col("text")))).alias("gram"))
 
 
+def gram_frequencies(chunks: DataFrame) -> DataFrame:
+    """(gram, df, n): chunks that have each gram, of n chunks, in one pass: every chunk also counts under a null gram."""
+    own = F.concat(F.array_distinct(X.grams(F.col("text"))), F.array(F.lit(None).cast("string")))
+    df = chunks.select(F.explode(own).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    return df.where("gram is not null").withColumn("n", F.coalesce(df.where("gram is null").agg(F.max("df")).scalar(), F.lit(0)))
+
+
 def count_of(df: DataFrame) -> Column:
     """The number of rows, as a scalar subquery."""
     return df.agg(F.count("*")).scalar()
@@ -79,7 +86,7 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
     # Repeats go after the semi-join, when few rows are left; both uses below share that shuffle.
     every = chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
     wanted = asked.select("gram").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else wanted
     held = every.join(wanted, "gram", "left_semi").distinct()
     limit = F.greatest(F.lit(1), F.least(F.lit(max_df), F.floor(F.col("n") * fraction)))
     df = held.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", count_of(chunks)).where(F.col("df") <= limit)
@@ -180,10 +187,13 @@ def entities(text: Column) -> Column:
 
 
 def mentions(chunks: DataFrame, limit: int = MAX_ENTITIES) -> DataFrame:
-    """(chunk_id, key, name): a chunk's first entities by key; of several surface forms the first."""
-    names = chunks.select("chunk_id", F.explode(entities(F.col("text"))).alias("name"))
-    merged = names.groupBy("chunk_id", entity_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"))
-    return merged.withColumn("_n", F.row_number().over(W.partitionBy("chunk_id").orderBy("key"))).where(F.col("_n") <= limit).drop("_n")
+    """(chunk_id, key, name): a chunk's first entities by key; of several surface forms the first.
+
+    A chunk is one row, so its names are keyed, sorted, merged and capped inside the row.
+    """
+    pairs = F.array_sort(F.transform(entities(F.col("text")), lambda n: F.struct(entity_key(n).alias("key"), n.alias("name"))))
+    first = X.once(lambda s: F.filter(s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])), pairs)
+    return chunks.select("chunk_id", F.explode(F.slice(first, 1, limit)).alias("m")).select("chunk_id", "m.key", "m.name")
 
 
 def graph_nodes(chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -57,9 +57,7 @@ def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _CHUNKS + "," + _GRAMS + " SELECT gram, count(*) AS df, round(ln(1 + (SELECT count(*) FROM c) / count(*)::DOUBLE), 6) AS idf FROM post GROUP BY gram")
 def grams_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every gram."""
-    c = chunks(spark, sf_dir)
-    df = R.postings(c).groupBy("gram").agg(F.count("*").alias("df"))
-    return df.withColumn("n", R.count_of(c)).select("gram", "df", F.round(F.ln(1 + F.col("n") / F.col("df")), 6).alias("idf"))
+    return R.gram_frequencies(chunks(spark, sf_dir)).select("gram", "df", F.round(F.ln(1 + F.col("n") / F.col("df")), 6).alias("idf"))
 
 
 @query("WITH " + _CHUNKS + "," + _GRAMS + "," + _ASKED + " SELECT DISTINCT query_id, gram, df FROM rare")
