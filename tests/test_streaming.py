@@ -18,7 +18,7 @@ def test_session_features_equal_their_batch_twin(spark, tmp_path):
     for i in range(3):
         rows.where(F.col("_seq").between(6 * i, 6 * i + 5)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
-    got = drain(S.stream_session_features(stream), spark, "sess", tmp_path)
+    got = drain(S.stream_session_features(stream, idle_ms=None), spark, "sess", tmp_path)
     want = O.session_features(rows).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -27,7 +27,7 @@ def test_segments_and_rates(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     tokens = spark.createDataFrame([("s", 1, i, t, t == "!") for i, t in enumerate(["Hel", "lo. Wor", "ld", "!"])], "session string, turn long, _seq int, token string, last boolean")
     tokens.coalesce(1).write.parquet(str(tmp_path / "tok"))
-    got = drain(S.stream_segments(spark.readStream.schema(tokens.schema).parquet(str(tmp_path / "tok"))), spark, "seg", tmp_path)
+    got = drain(S.stream_segments(spark.readStream.schema(tokens.schema).parquet(str(tmp_path / "tok")), idle_ms=None), spark, "seg", tmp_path)
     assert [(r.n, r.sentence) for r in got.orderBy("n").collect()] == [(0, "Hello."), (1, "World!")]
     e = spark.createDataFrame([("2024-01-01 00:01:00", True), ("2024-01-01 00:02:00", False), ("2024-01-01 00:09:00", False)], "ts string, bad boolean").select(F.col("ts").cast("timestamp").alias("ts"), "bad")
     e.write.parquet(str(tmp_path / "ev"))

@@ -253,3 +253,11 @@ def noisy(text: Column, seed: int = 0, drop: float = 0.1, swap: float = 0.0) ->
     drawn = F.transform(words(text), lambda w, i: F.struct(w.alias("w"), (F.pmod(F.xxhash64(F.lit(seed), text, i), F.lit(1 << 30)) / F.lit(share)).alias("u")))
     kept = F.filter(drawn, lambda x: x["u"] >= F.lit(drop))
     return F.array_join(F.transform(kept, lambda x: F.when(x["u"] < F.lit(drop + swap), F.reverse(x["w"])).otherwise(x["w"])), " ")
+
+
+def template(pattern: str, **fields: Column) -> Column:
+    """A text with {name} replaced by the row's fields, null as nothing; what stands in for a language model in tests."""
+    out = F.lit(pattern)
+    for name, value in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -54,10 +54,34 @@ def filter_category(utterances: DataFrame, category: str) -> DataFrame:
     return utterances.where(F.col("meta")["category"] == category)
 
 
+def category_counts(utterances: DataFrame) -> DataFrame:
+    """(category, n) of utterances; those without one are uncategorised."""
+    return utterances.groupBy(F.coalesce(F.col("meta")["category"], F.lit("uncategorised")).alias("category")).agg(F.count("*").alias("n"))
+
+
 def default_ids(rows: DataFrame, stem: str, order: str) -> DataFrame:
-    """Missing ids become stem-000000 by 0-based record number of one file."""
-    n = F.row_number().over(W.orderBy(order)) - 1
-    return rows.withColumn("id", F.coalesce("id", F.format_string(f"{stem}-%06d", n)))
+    """Missing ids become stem-000000 by 0-based record number in ``order``.
+
+    Rows are sorted by range and numbered in their partitions; the rows before each
+    partition are counted first, so no task sees more than its range.
+    """
+    placed = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row a partition meets in this window.
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    n = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1 + F.col("_start")
+    return placed.join(F.broadcast(starts), "_part").withColumn("id", F.coalesce("id", F.format_string(f"{stem}-%06d", n))).drop("_part", "_start")
+
+
+def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows of a key the first in order, with its columns; combines before the shuffle."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+
+
+def ordered_distinct(rows: DataFrame, item: str, place: str) -> DataFrame:
+    """(item, rank): each item once, in order of its first place, ids breaking ties. For seeds of a query, not for documents."""
+    first = rows.groupBy(item).agg(F.min(place).alias("_at"))
+    return first.select(item, F.row_number().over(W.orderBy("_at", item)).alias("rank"))
 
 
 def pairs_from_scores(scored: DataFrame, *, key: str = "prompt_id", text: str = "text", score: str = "score", position: str = "pos", min_margin: float = 0.0, all_pairs: bool = False) -> DataFrame:

@@ -127,3 +127,26 @@ def no_regression(candidate: DataFrame, baseline: DataFrame, tolerance: float =
     delta = F.col("candidate") - F.col("baseline")
     worse = F.when(F.col("metric").isin(*lower_is_better), delta > tolerance).otherwise(delta < -tolerance)
     return j.withColumn("delta", delta).withColumn("status", F.when(delta.isNull(), "SKIP").when(worse, "FAIL").otherwise("PASS"))
+
+
+#: Kinds of training plans.
+PLAN_KINDS = ("whisper-lora", "sft", "dpo")
+
+
+def plan_problems(columns: Sequence[str]) -> Column:
+    """Names of the fields that keep a row, a training plan, from starting; of the optional fields those that are there count."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    rules = {
+        "kind": ~F.col("kind").isin(*PLAN_KINDS) | F.col("kind").isNull(),
+        "base_model": blank("base_model"),
+        "train": blank("train"),
+        "output_dir": blank("output_dir"),
+        "seed": F.col("seed").isNull() | (F.col("seed") < 0),
+        "epochs": F.col("epochs") <= 0,
+        "learning_rate": F.col("learning_rate") <= 0,
+        "per_device_batch_size": F.col("per_device_batch_size") < 1,
+        "gradient_accumulation": F.col("gradient_accumulation") < 1,
+        "max_steps": F.col("max_steps") < 0,
+        "beta": (F.col("kind") == "dpo") & (F.col("beta") <= 0),
+    }
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items() if name in columns]))

@@ -202,6 +202,14 @@ def graph_nodes(chunks: DataFrame, found: DataFrame) -> DataFrame:
     return a.unionByName(found.groupBy("key").agg(F.lit("Entity").alias("label"), F.max("name").alias("name")))
 
 
+def label_counts(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def nodes_with_label(nodes: DataFrame, label: str) -> DataFrame:
+    return nodes.where(F.col("label") == label)
+
+
 def graph_edges(found: DataFrame) -> DataFrame:
     """(src, dst, rel, chunk_id): mentions, and entities of one chunk together; a pair in several chunks keeps the last.
 

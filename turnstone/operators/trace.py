@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Stages of a turn, histogram buckets in ms, objectives, burn-rate windows.
 STAGES = ("listen", "stt", "retrieve", "llm", "segment.emit", "tts", "playback", "turn")
 BUCKETS_MS = (10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 3000.0, 5000.0, 10000.0)
-BURN_ALERTS = (("fast", "1 hour", "5 minutes", 14.4), ("slow", "6 hours", "30 minutes", 6.0))
+BURN_ALERTS = (("fast", 3600, 300, 14.4), ("slow", 21600, 1800, 6.0))
 ERROR_BUDGET = 0.005
 #: Metrics of the platform: name, kind, labels.
 METRICS = (
@@ -238,18 +238,43 @@ def exposition(hist: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:
     return buckets.unionByName(sums).unionByName(counts)
 
 
+def exposition_values(values: DataFrame, name: str, labels: Sequence[str], kind: str, text: str) -> DataFrame:
+    """Lines of a counter or gauge in the text format, with their order: help, type, then a line each label set. ``values`` has the labels and value."""
+    head = values.sparkSession.createDataFrame([(0, "", f"# HELP {name} {text}"), (1, "", f"# TYPE {name} {kind}")], "part int, key string, line string")
+    own = label_text(*[(c, F.col(c)) for c in sorted(labels)])
+    return head.unionByName(values.select(F.lit(2).alias("part"), own.alias("key"), F.concat(F.lit(name), own, F.lit(" "), number_text(F.col("value").cast("double"))).alias("line")))
+
+
 def sliding_ratio(df: DataFrame, ts: str, bad: Column, total: Column, window: str, slide: str, floor: float = 1e-9) -> DataFrame:
     """Bad over total in sliding windows, batch or stream: (window_end, bad, total, ratio)."""
     by = df.groupBy(F.window(ts, window, slide).alias("w")).agg(F.sum(bad.cast("long")).alias("bad"), F.sum(total.cast("long")).alias("total"))
     return by.select(F.col("w.end").alias("window_end"), "bad", "total", (F.col("bad") / F.greatest(F.col("total").cast("double"), F.lit(floor))).alias("ratio"))
 
 
-def burn_alerts(df: DataFrame, ts: str, bad: Column, total: Column, slide: str = "5 minutes", budget: float = ERROR_BUDGET) -> DataFrame:
+def slide_counts(df: DataFrame, ts: str, bad: Column, total: Column, slide: str) -> DataFrame:
+    """(at, bad, total) of tumbling buckets: the start of each in epoch seconds."""
+    by = df.groupBy(F.window(ts, slide).alias("w")).agg(F.sum(bad.cast("long")).alias("bad"), F.sum(total.cast("long")).alias("total"))
+    return by.select(F.unix_timestamp("w.start").alias("at"), "bad", "total")
+
+
+def ratio_of_buckets(buckets: DataFrame, window_s: int, slide_s: int, floor: float = 1e-9) -> DataFrame:
+    """The sliding ratio over buckets of the slide: (window_end, bad, total, ratio).
+
+    Each bucket is counted into the windows that cover it: window over slide rows a bucket,
+    not an event, so events are read and shuffled once whatever the windows.
+    """
+    covers = F.explode(F.transform(F.sequence(F.lit(1), F.lit(window_s // slide_s)), lambda i: F.col("at") + i * F.lit(slide_s)))
+    by = buckets.select(covers.alias("end"), "bad", "total").groupBy("end").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total"))
+    return by.select(F.timestamp_seconds("end").alias("window_end"), "bad", "total", (F.col("bad") / F.greatest(F.col("total").cast("double"), F.lit(floor))).alias("ratio"))
+
+
+def burn_alerts(df: DataFrame, ts: str, bad: Column, total: Column, slide_s: int = 300, budget: float = ERROR_BUDGET) -> DataFrame:
     """Window ends where both the long and the short window burn faster than their factor allows."""
+    buckets = slide_counts(df, ts, bad, total, f"{slide_s} seconds")
     out = None
     for name, long, short, factor in BURN_ALERTS:
-        a = sliding_ratio(df, ts, bad, total, long, slide).select("window_end", F.col("ratio").alias("long_ratio"))
-        b = sliding_ratio(df, ts, bad, total, short, slide).select("window_end", F.col("ratio").alias("short_ratio"))
+        a = ratio_of_buckets(buckets, long, slide_s).select("window_end", F.col("ratio").alias("long_ratio"))
+        b = ratio_of_buckets(buckets, short, slide_s).select("window_end", F.col("ratio").alias("short_ratio"))
         hit = a.join(b, "window_end").where((F.col("long_ratio") > factor * budget) & (F.col("short_ratio") > factor * budget)).withColumn("burn", F.lit(name))
         out = hit if out is None else out.unionByName(hit)
     return out

@@ -1,5 +1,5 @@
 """Named queries over the given tables."""
 
-from . import catalog, features, retrieval, texts, traces  # noqa: F401
+from . import catalog, features, retrieval, sources, texts, traces  # noqa: F401
 
 QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE

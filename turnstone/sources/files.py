@@ -132,3 +132,12 @@ def load_index(spark: SparkSession, path: str, dim: int) -> dict[str, DataFrame]
     if m is None or m.dim != dim:
         raise ValueError(f"the index at {path} has dimension {m.dim if m else None}, not {dim}")
     return {name: spark.read.parquet(f"{path}/{name}") for name in m.tables}
+
+
+def write_manifest(files: DataFrame, root: str) -> None:
+    """A bundle's manifest: one JSON line a file (path, sha256, size), in order of paths, under the bundle's folder."""
+    files.select("path", "sha256", "size").orderBy("path").write.mode("overwrite").json(f"{root}/manifest")
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("path string, sha256 string, size long").json(f"{root}/manifest")

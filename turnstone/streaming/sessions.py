@@ -22,14 +22,15 @@ def _in_order(rows: Iterator[pd.DataFrame]):
     return list(pd.concat(got).sort_values("seq", kind="stable").itertuples(index=False)) if got else []
 
 
-#: How long the state of a session or reply is kept without news.
+#: How long the state of a session or reply is kept without news. None keeps it for good, as a query that ends when its
+#: input does must: expiry follows the clock, and a clock never runs out of batches.
 IDLE_MS = 24 * 3600 * 1000
 
 
 class SessionFold(StatefulProcessor):
     """Running sums of one session; a row each time a turn ends. Rows of a batch are folded in ``_seq`` order."""
 
-    def __init__(self, idle_ms: int = IDLE_MS):
+    def __init__(self, idle_ms: int | None = IDLE_MS):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -61,20 +62,20 @@ class SessionFold(StatefulProcessor):
         pass
 
 
-def stream_session_features(trace: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_session_features(trace: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """The batch operator's twin over a stream of trace rows (session, event, ts, ms, response_ms, intent, accent, _seq).
 
     State is one row a session, and goes after ``idle_ms`` without news. Rows of an earlier ``_seq`` that arrive in a later
     micro-batch are folded when they arrive.
     """
     rows = trace.where(F.col("session").isNotNull() & (F.col("session") != "") & F.col("event").isNotNull())
-    return rows.withColumnRenamed("_seq", "seq").groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(idle_ms), outputStructType=FEATURES, outputMode="Append", timeMode="ProcessingTime")
+    return rows.withColumnRenamed("_seq", "seq").groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(idle_ms), outputStructType=FEATURES, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
 
 
 class TokenSegmenter(StatefulProcessor):
     """Sentences of a growing reply as soon as they are certain; the rest when its end arrives."""
 
-    def __init__(self, idle_ms: int = IDLE_MS):
+    def __init__(self, idle_ms: int | None = IDLE_MS):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -97,9 +98,9 @@ class TokenSegmenter(StatefulProcessor):
         pass
 
 
-def stream_segments(tokens: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_segments(tokens: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """(session, turn, n, sentence) of a stream of tokens (session, turn, _seq, token, last); a reply that stops without its last token is forgotten after ``idle_ms``."""
-    return tokens.withColumnRenamed("_seq", "seq").groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(idle_ms), outputStructType="session string, turn long, n long, sentence string", outputMode="Append", timeMode="ProcessingTime")
+    return tokens.withColumnRenamed("_seq", "seq").groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(idle_ms), outputStructType="session string, turn long, n long, sentence string", outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
 
 
 def stream_sliding_ratio(rows: DataFrame, ts: str, bad: Column, total: Column, window: str, slide: str, late: str = "10 minutes") -> DataFrame:
