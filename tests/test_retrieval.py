@@ -116,3 +116,10 @@ def test_policy(spark):
     assert [r.r for r in v] == [True, False, False]
     t = spark.createDataFrame([({"wer": 0.1},)], "m map<string,double>").select(G.to_tags(F.col("m"), "own", stage=F.lit("staging")).alias("t")).select("t", G.metrics_from_tags(F.col("t")).alias("m")).first()
     assert t.t == {"own.stage": "staging", "metric.wer": "0.1"} and t.m == {"wer": 0.1}
+
+
+def test_illegal_moves_are_refused(spark):
+    rows = [("m", "1", 1, "candidate"), ("m", "1", 2, "production"), ("m", "1", 3, "staging"), ("m", "1", 4, "production"), ("m", "2", 5, "staging"), ("m", "2", 6, "candidate"), ("m", "1", 7, "retired"), ("m", "1", 8, "staging")]
+    q = spark.createDataFrame(rows, "name string, version string, seq long, to string")
+    assert sorted(r.seq for r in G.accepted_moves(q).collect()) == [1, 3, 4, 6, 7]
+    assert {r.version: r.stage for r in G.current_stage(G.registry_log(q)).collect()} == {"1": "retired", "2": "candidate"}

@@ -66,12 +66,30 @@ def transition_problem(current: Column, target: Column) -> Column:
     return F.when(~target.isin(*TRANSITIONS), "unknown").when(current == "retired", "terminal").when(current == target, "same").when(~ok, "not allowed")
 
 
+def accepted_moves(requests: DataFrame, order: str = "seq") -> DataFrame:
+    """(name, version, order, to): requests whose move is allowed from where the version's last allowed one took it.
+
+    A version starts as a candidate. The moves of one version, a handful, are folded in one array.
+    """
+    moves = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("seq"), "to"))).alias("moves")
+    kept = "array<struct<seq: bigint, to: string>>"
+
+    def step(held: Column, move: Column) -> Column:
+        ok = F.when(held["stage"].isNull(), move["to"] == "candidate").otherwise(transition_problem(held["stage"], move["to"]).isNull())
+        return F.struct(F.when(ok, move["to"]).otherwise(held["stage"]).alias("stage"), F.when(ok, F.concat(held["kept"], F.array(move))).otherwise(held["kept"]).cast(kept).alias("kept"))
+
+    start = F.struct(F.lit(None).cast("string").alias("stage"), F.array().cast(kept).alias("kept"))
+    folded = requests.groupBy("name", "version").agg(moves).select("name", "version", F.explode(F.aggregate("moves", start, step)["kept"]).alias("m"))
+    return folded.select("name", "version", F.col("m.seq").alias(order), "m.to")
+
+
 def registry_log(requests: DataFrame, order: str = "seq") -> DataFrame:
     """The event log of promotions (name, version, to): with from, and the retirements that productions bring.
 
-    Requests are taken as valid moves; ``audit`` tells which aren't. A new production
-    retires the one before it, unless that was retired since.
+    Moves that aren't allowed are refused and leave no trace; ``audit`` tells which. A new
+    production retires the one before it, unless that was retired since.
     """
+    requests = accepted_moves(requests, order)
     by = W.partitionBy("name", "version").orderBy(order)
     asked = requests.select("name", "version", F.col(order).cast("long").alias("seq"), F.lag("to").over(by).alias("from"), "to", F.lead(F.when(F.col("to") == "retired", F.col(order))).over(by).alias("_gone"))
     made = asked.where("to = 'production'")
