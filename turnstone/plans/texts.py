@@ -187,9 +187,9 @@ def pairs_best_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(C.pairs_from_scores(_scored(spark, sf_dir)))
 
 
-@query(f"WITH {_CANDIDATES}, j AS (SELECT a.prompt_id, a.t AS chosen, z.t AS rejected, a.s AS chosen_score, z.s AS rejected_score FROM c a JOIN c z ON a.prompt_id = z.prompt_id AND a.s > z.s WHERE a.s - z.s >= 20000) SELECT {_PAIR_COLUMNS} FROM j")
+@query(f"WITH {_CANDIDATES}, j AS (SELECT a.prompt_id, a.t AS chosen, z.t AS rejected, a.s AS chosen_score, z.s AS rejected_score FROM c a JOIN c z ON a.prompt_id = z.prompt_id AND a.s > z.s) SELECT {_PAIR_COLUMNS} FROM j")
 def pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(C.pairs_from_scores(_scored(spark, sf_dir), all_pairs=True, min_margin=20000))
+    return tidy(C.pairs_from_scores(_scored(spark, sf_dir), all_pairs=True))
 
 
 _STYLED = _STYLE + ", p AS (SELECT g.conv_id AS prompt_id, g.text AS chosen, b.text AS rejected, array_to_string(b.rules, ',') AS rejected_reasons FROM v g JOIN v b ON g.conv_id = b.conv_id AND len(g.rules) = 0 AND len(b.rules) > 0)"
