@@ -10,6 +10,7 @@ from ..functions import vector as V
 from ..functions.udfs import hashing_embedder
 from ..operators import registry as G
 from ..operators import retrieval as R
+from ..session import scratch_path
 from .catalog import query, tidy
 from .tables import load
 
@@ -122,9 +123,12 @@ def hashing_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     embed = hashing_embedder()
-    # An index is built once and read by three searches.
-    c = chunks(spark, sf_dir).withColumn("embedding", embed("text")).persist()
-    return c, R.mentions(c).persist(), asked(spark, sf_dir).withColumn("embedding", embed("text"))
+    # An index is built once, written, and read by three searches.
+    path = scratch_path(spark, "document-index")
+    chunks(spark, sf_dir).withColumn("embedding", embed("text")).write.parquet(f"{path}/chunks")
+    c = spark.read.parquet(f"{path}/chunks")
+    R.mentions(c).write.parquet(f"{path}/mentions")
+    return c, spark.read.parquet(f"{path}/mentions"), asked(spark, sf_dir).withColumn("embedding", embed("text"))
 
 
 @query()
