@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .positions import free_name, number_rows
 
 ROLES = ("system", "user", "assistant")
 #: Fixed value: the instruction put before chats that have none.
@@ -60,17 +61,9 @@ def category_counts(utterances: DataFrame) -> DataFrame:
 
 
 def default_ids(rows: DataFrame, stem: str, order: str) -> DataFrame:
-    """Missing ids become stem-000000 by 0-based record number in ``order``.
-
-    Rows are sorted by range and numbered in their partitions; the rows before each
-    partition are counted first, so no task sees more than its range.
-    """
-    placed = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row a partition meets in this window.
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    n = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1 + F.col("_start")
-    return placed.join(F.broadcast(starts), "_part").withColumn("id", F.coalesce("id", F.format_string(f"{stem}-%06d", n))).drop("_part", "_start")
+    """Missing ids become stem-000000 by 0-based record number in ``order``, which names each row (see ``number_rows``)."""
+    at = free_name(rows.columns, "_at")
+    return number_rows(rows, [order], column=at).withColumn("id", F.coalesce("id", F.format_string(f"{stem}-%06d", at))).drop(at)
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import features as O
 from ..operators import registry as G
+from ..operators.positions import zip_rows
 from ..operators import retrieval as R
 from ..operators import trace as T
 from ..session import scratch_path
@@ -185,6 +186,37 @@ def default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.default_ids(d, "doc", "doc_id")
 
 
+@query(
+    """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS at, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+SELECT a.doc_id, b.doc_id AS other_id, a.text = b.text AS same, a.at - 1 AS at FROM d a JOIN d b ON a.at = b.place
+"""
+)
+def zip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in order of ids beside texts in order of length, matched place by place."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
+    other = d.select(F.col("doc_id").alias("other_id"), (-F.col("n_chars")).alias("shorter"), F.col("text").alias("other"))
+    both = zip_rows(d, other, ["doc_id"], ["shorter", "other_id"])
+    return both.select("doc_id", "other_id", (F.col("text") == F.col("other")).alias("same"), "at")
+
+
+@query(
+    """
+SELECT 'documents' AS other, count(*) AS zipped FROM documents
+UNION ALL SELECT 'orders', CASE WHEN (SELECT count(*) FROM documents) = (SELECT count(*) FROM orders) THEN (SELECT count(*) FROM orders) END
+"""
+)
+def zip_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents zipped with a table of the same length; null for one of another length, which is refused."""
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    out = zip_rows(d, d.toDF("other_id"), ["doc_id"], ["other_id"]).agg(F.count("*").alias("zipped")).select(F.lit("documents").alias("other"), "zipped")
+    try:
+        unequal = zip_rows(d, load(spark, sf_dir, "orders").select("o_orderkey"), ["doc_id"], ["o_orderkey"]).agg(F.count("*").alias("zipped"))
+    except ValueError:
+        unequal = spark.range(1).select(F.lit(None).cast("bigint").alias("zipped"))
+    return out.unionByName(unequal.select(F.lit("orders").alias("other"), "zipped"))
+
+
 @query(
     """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'prompt' WHEN doc_id % 5 = 0 THEN 'chosen' WHEN doc_id % 3 = 0 THEN 'chosen equals rejected' ELSE 'none' END AS problem FROM documents) GROUP BY problem"""
 )
