@@ -53,12 +53,12 @@ class Staging:
         self._files = self._folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         _open.append(self)
 
-    def write(self, df: DataFrame, name: str = "t", slim: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", slim: bool = False, codec: str | None = None) -> DataFrame:
         """Writes and rereads a table; ``slim`` ones (ids, keys and counts) get no more files than a few a core."""
         self._n += 1
         path = f"{self.path}/{self._n}-{name}"
         out = df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism) if slim else df
-        out.write.parquet(path)
+        out.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._turnstone_path = path
         return out
@@ -67,6 +67,11 @@ class Staging:
         """Deletes a table of this call that no later step reads."""
         self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._turnstone_path), True)
 
+    def sweep(self) -> None:
+        """Has Spark delete the shuffle files of finished steps now: it does so when the driver's JVM next collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         """Deletes every table of this call, whoever still reads them."""
         if self in _open:

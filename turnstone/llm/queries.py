@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align, decontam, exact_dedup, html_extract, lang_id, license_scan, merkle, mixing, ngram_join, sharding, toxicity, url_filter
+from . import align, decontam, exact_dedup, html_extract, lang_id, license_scan, merkle, mixing, ngram_join, sharding, suffix_dedup, toxicity, url_filter
 
-_MODULES = (mixing, html_extract, decontam, license_scan, sharding, lang_id, ngram_join, exact_dedup, url_filter, toxicity, align, merkle)
+_MODULES = (mixing, html_extract, decontam, license_scan, sharding, lang_id, ngram_join, exact_dedup, url_filter, toxicity, align, suffix_dedup, merkle)
 
 
 def queries() -> dict:
