@@ -123,3 +123,17 @@ def test_illegal_moves_are_refused(spark):
     q = spark.createDataFrame(rows, "name string, version string, seq long, to string")
     assert sorted(r.seq for r in G.accepted_moves(q).collect()) == [1, 3, 4, 6, 7]
     assert {r.version: r.stage for r in G.current_stage(G.registry_log(q)).collect()} == {"1": "retired", "2": "candidate"}
+
+
+def test_what_a_newer_production_retired_stays_retired(spark):
+    rows = [("m", "1", 1, "candidate"), ("m", "1", 2, "staging"), ("m", "1", 3, "production"), ("m", "2", 4, "candidate"), ("m", "2", 5, "staging"), ("m", "2", 6, "production"), ("m", "1", 8, "retired"), ("m", "1", 9, "candidate"), ("m", "2", 10, "production"), ("m", "3", 11, "retired"), ("n", "1", 12, "oops")]
+    q = spark.createDataFrame(rows, "name string, version string, seq long, to string")
+    log = [(r.version, r.seq, r["from"], r.to, r.reason) for r in G.registry_log(q).where("to = 'retired'").collect()]
+    assert log == [("1", 6, "production", "retired", "replaced by 2")]
+    assert {r.seq: r.problem for r in G.audit(q).where("seq > 7").collect()} == {8: "terminal", 9: "terminal", 10: "same", 11: "not allowed", 12: "unknown"}
+    assert G.registry_log(q.limit(0)).count() == 0 and G.audit(q.limit(0)).count() == 0
+
+
+def test_newest_first(spark):
+    a = spark.createDataFrame([("b", "1", 5.0), ("a", "2", 5.0), ("a", "1", 5.0), ("c", "1", 9.0)], "name string, version string, created_at double")
+    assert [(r.name, r.version) for r in G.newest_first(a).orderBy("rank").collect()] == [("c", "1"), ("a", "1"), ("a", "2"), ("b", "1")]

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import host_allowed, version_tuple
+from .positions import free_name, number_rows
 
 # Allowed moves between stages, and the kinds of a policy.
 TRANSITIONS = {"candidate": ("staging", "retired"), "staging": ("production", "retired"), "production": ("retired",), "retired": ()}
@@ -66,37 +66,60 @@ def transition_problem(current: Column, target: Column) -> Column:
     return F.when(~target.isin(*TRANSITIONS), "unknown").when(current == "retired", "terminal").when(current == target, "same").when(~ok, "not allowed")
 
 
-def accepted_moves(requests: DataFrame, order: str = "seq") -> DataFrame:
-    """(name, version, order, to): requests whose move is allowed from where the version's last allowed one took it.
+def lifecycles(requests: DataFrame, order: str = "seq") -> DataFrame:
+    """One row a version that was registered: when it took each stage, and what retired it.
 
-    A version starts as a candidate. The moves of one version, a handful, are folded in one array.
+    (name, version, candidate_at, staging_at, production_at, retired_at, replaced_by.) A version
+    reaches production once at most, and by its own requests alone; what other versions do
+    to it is that the name's next production retires it, if it did not ask for that before.
+    So versions are folded side by side by minima, and only productions, numbered within
+    their names, look at each other. Names, versions and ``order``, which names a request,
+    are not null.
     """
-    moves = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("seq"), "to"))).alias("moves")
-    kept = "array<struct<seq: bigint, to: string>>"
-
-    def step(held: Column, move: Column) -> Column:
-        ok = F.when(held["stage"].isNull(), move["to"] == "candidate").otherwise(transition_problem(held["stage"], move["to"]).isNull())
-        return F.struct(F.when(ok, move["to"]).otherwise(held["stage"]).alias("stage"), F.when(ok, F.concat(held["kept"], F.array(move))).otherwise(held["kept"]).cast(kept).alias("kept"))
-
-    start = F.struct(F.lit(None).cast("string").alias("stage"), F.array().cast(kept).alias("kept"))
-    folded = requests.groupBy("name", "version").agg(moves).select("name", "version", F.explode(F.aggregate("moves", start, step)["kept"]).alias("m"))
-    return folded.select("name", "version", F.col("m.seq").alias(order), "m.to")
+    key = ["name", "version"]
+    asked = requests.select(*key, F.col(order).cast("long").alias("seq"), "to")
+    when = lambda stage: F.min(F.when(F.col("to") == stage, F.col("seq")))
+    born = asked.where("to = 'candidate'").groupBy(*key).agg(F.min("seq").alias("candidate_at"))
+    later = asked.where("to in ('staging', 'production', 'retired')").join(born, key).where("seq > candidate_at")
+    grown = later.groupBy(*key).agg(when("staging").alias("staging_at"), when("retired").alias("asked_at"))
+    grown = grown.withColumn("staging_at", F.when(F.col("asked_at").isNull() | (F.col("staging_at") < F.col("asked_at")), F.col("staging_at")))
+    made = later.where("to = 'production'").join(grown, key).where("seq > staging_at AND (asked_at IS NULL OR seq < asked_at)").groupBy(*key).agg(F.min("seq").alias("production_at"))
+    made = number_rows(made, ["production_at"], ["name"], "_at")
+    following = made.select("name", (F.col("_at") - 1).alias("_at"), F.col("production_at").alias("replaced_at"), F.col("version").alias("replaced_by"))
+    made = made.join(following, ["name", "_at"], "left").drop("_at")
+    out = born.join(grown, key, "left").join(made, key, "left")
+    replaced = F.col("replaced_at").isNotNull() & (F.col("asked_at").isNull() | (F.col("asked_at") > F.col("replaced_at")))
+    return out.select(*key, "candidate_at", "staging_at", "production_at", F.when(replaced, F.col("replaced_at")).otherwise(F.col("asked_at")).alias("retired_at"), F.when(replaced, F.col("replaced_by")).alias("replaced_by"))
+
+
+def _stage_before(seq: Column) -> Column:
+    """The stage of a version (columns of ``lifecycles``) just before a request."""
+    return (
+        F.when(F.col("retired_at") < seq, "retired")
+        .when(F.col("production_at") < seq, "production")
+        .when(F.col("staging_at") < seq, "staging")
+        .when(F.col("candidate_at") < seq, "candidate")
+    )
 
 
 def registry_log(requests: DataFrame, order: str = "seq") -> DataFrame:
-    """The event log of promotions (name, version, to): with from, and the retirements that productions bring.
+    """The event log of promotions: (name, version, seq, from, to, reason), with the retirements that productions bring.
 
-    Moves that aren't allowed are refused and leave no trace; ``audit`` tells which. A new
-    production retires the one before it, unless that was retired since.
+    Requests that aren't allowed are refused and leave no trace; ``audit`` tells which. A new
+    production retires the one before it, at its own number and with a reason.
     """
-    requests = accepted_moves(requests, order)
-    by = W.partitionBy("name", "version").orderBy(order)
-    asked = requests.select("name", "version", F.col(order).cast("long").alias("seq"), F.lag("to").over(by).alias("from"), "to", F.lead(F.when(F.col("to") == "retired", F.col(order))).over(by).alias("_gone"))
-    made = asked.where("to = 'production'")
-    nxt = W.partitionBy("name").orderBy("seq")
-    replaced = made.select("name", "version", F.lead("seq").over(nxt).alias("seq"), F.lead("version").over(nxt).alias("_by"), "_gone").where("seq is not null and _by <> version and (_gone is null or _gone > seq)")
-    retired = replaced.select("name", "version", "seq", F.lit("production").alias("from"), F.lit("retired").alias("to"), F.concat(F.lit("replaced by "), F.col("_by")).alias("reason"))
-    return asked.drop("_gone").withColumn("reason", F.lit(None).cast("string")).unionByName(retired)
+    moves = F.array(
+        *[
+            F.struct(F.col(f"{to}_at").alias("seq"), _stage_before(F.col(f"{to}_at")).alias("from"), F.lit(to).alias("to"), (F.concat(F.lit("replaced by "), "replaced_by") if to == "retired" else F.lit(None).cast("string")).alias("reason"))
+            for to in TRANSITIONS
+        ]
+    )
+    return lifecycles(requests, order).select("name", "version", F.explode(F.filter(moves, lambda m: m["seq"].isNotNull())).alias("m")).select("name", "version", "m.seq", "m.from", "m.to", "m.reason")
+
+
+def accepted_moves(requests: DataFrame, order: str = "seq") -> DataFrame:
+    """(name, version, order, to) of the requests that were followed."""
+    return registry_log(requests, order).where(F.col("reason").isNull()).select("name", "version", F.col("seq").alias(order), "to")
 
 
 def current_stage(log: DataFrame) -> DataFrame:
@@ -105,9 +128,17 @@ def current_stage(log: DataFrame) -> DataFrame:
 
 
 def audit(requests: DataFrame, order: str = "seq") -> DataFrame:
-    """Adds the problem of each request against the stage before it; a version starts as a candidate."""
-    before = F.lag("to").over(W.partitionBy("name", "version").orderBy(order))
-    return requests.withColumn("problem", F.when(before.isNull(), F.when(F.col("to") != "candidate", F.lit("not allowed"))).otherwise(transition_problem(before, F.col("to"))))
+    """Adds the problem of each request against the version's stage at that time, null where it was followed; a version starts as a candidate."""
+    lives = lifecycles(requests, order).drop("replaced_by")
+    before = _stage_before(F.col(order))
+    problem = F.when(before.isNull(), F.when(F.col("to") != "candidate", F.when(~F.col("to").isin(*TRANSITIONS), "unknown").otherwise("not allowed"))).otherwise(transition_problem(before, F.col("to")))
+    return requests.join(lives, ["name", "version"], "left").select(*[F.col(f"`{c}`") for c in requests.columns], problem.alias("problem"))
+
+
+def newest_first(artifacts: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0: artifacts by creation, newest first, then by name and version; any number of them."""
+    back, at = free_name(artifacts.columns, "_back"), free_name(artifacts.columns, "rank")
+    return number_rows(artifacts.withColumn(back, -F.col("created_at")), [back, "name", "version"], column=at).drop(back).withColumnRenamed(at, "rank")
 
 
 def latest_by_stage(artifacts: DataFrame, stage: str) -> DataFrame:

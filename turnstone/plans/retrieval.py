@@ -12,7 +12,7 @@ from ..operators import registry as G
 from ..operators import retrieval as R
 from ..session import scratch_path
 from .catalog import query, tidy
-from .tables import load
+from .tables import epoch, load
 
 _CHUNKS = """
 l AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, string_split(text, chr(10)) AS raw FROM documents),
@@ -258,6 +258,69 @@ def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.current_stage(G.registry_log(_requests(spark, sf_dir))).select("name", "version", "stage")
 
 
+#: How many order keys after its own an order's model asks to be retired: before or after its successor is released.
+_RETIRE_AFTER = 3000
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history with requests that are early, repeated, unknown, or come when the next version has retired theirs already."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").alias("k"))
+    k = F.col("k")
+    asked = [("candidate", 0, k % 13 > 0), ("staging", 1, k % 3 > 0), ("staging", 2, k % 4 == 0), ("production", 3, k % 5 > 0), ("archived", 4, k % 7 == 0), ("candidate", 5, k % 6 == 0), ("retired", _RETIRE_AFTER * 10 + 6, k % 2 == 0)]
+    moves = F.filter(F.array(*[F.when(on, F.struct(F.lit(to).alias("to"), (k * 10 + at).alias("seq"))) for to, at, on in asked]), lambda m: m.isNotNull())
+    return o.select("name", k.cast("string").alias("version"), F.explode(moves).alias("m")).select("name", "version", "m.to", "m.seq")
+
+
+_HISTORY = f"""
+RECURSIVE asked AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS name, CAST(o_orderkey AS VARCHAR) AS version, m.t AS "to", o_orderkey * 10 + m.at AS seq
+  FROM (SELECT o_custkey, o_orderkey, unnest(list_filter([
+    CASE WHEN o_orderkey % 13 > 0 THEN {{'t': 'candidate', 'at': 0}} END, CASE WHEN o_orderkey % 3 > 0 THEN {{'t': 'staging', 'at': 1}} END, CASE WHEN o_orderkey % 4 = 0 THEN {{'t': 'staging', 'at': 2}} END,
+    CASE WHEN o_orderkey % 5 > 0 THEN {{'t': 'production', 'at': 3}} END, CASE WHEN o_orderkey % 7 = 0 THEN {{'t': 'archived', 'at': 4}} END, CASE WHEN o_orderkey % 6 = 0 THEN {{'t': 'candidate', 'at': 5}} END,
+    CASE WHEN o_orderkey % 2 = 0 THEN {{'t': 'retired', 'at': {_RETIRE_AFTER * 10 + 6}}} END], lambda x: x IS NOT NULL)) AS m FROM orders)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS k FROM asked),
+-- The stages of all versions of a name, one request after another.
+state AS (
+  SELECT DISTINCT name, 0::BIGINT AS k, version, NULL::VARCHAR AS stage, NULL::VARCHAR AS was, NULL::BIGINT AS seq FROM asked
+  UNION ALL
+  SELECT name, k, version,
+    CASE WHEN ok AND version = asking THEN t WHEN ok AND t = 'production' AND stage = 'production' THEN 'retired' ELSE stage END, stage, seq
+  FROM (SELECT *, max(CASE WHEN version = asking AND ((stage IS NULL AND t = 'candidate') OR (stage = 'candidate' AND t IN ('staging', 'retired')) OR (stage = 'staging' AND t IN ('production', 'retired')) OR (stage = 'production' AND t = 'retired')) THEN 1 ELSE 0 END) OVER (PARTITION BY name) = 1 AS ok
+        FROM (SELECT s.name, q.k, s.version, s.stage, q.version AS asking, q."to" AS t, q.seq FROM state s JOIN turn q ON q.name = s.name AND q.k = s.k + 1))),
+"""
+
+
+@query(
+    "WITH "
+    + _HISTORY
+    + """
+decided AS (SELECT q.*, s.was, s.stage FROM turn q JOIN state s ON s.name = q.name AND s.k = q.k AND s.version = q.version)
+SELECT name, version, "to", seq, CASE WHEN stage = "to" AND stage IS DISTINCT FROM was THEN NULL WHEN "to" = 'archived' THEN 'unknown' WHEN was IS NULL THEN 'not allowed' WHEN was = 'retired' THEN 'terminal' WHEN was = "to" THEN 'same' ELSE 'not allowed' END AS problem FROM decided"""
+)
+def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request of the history with why it was refused; the SQL replays it request by request."""
+    return G.audit(_history(spark, sf_dir)).select("name", "version", "to", "seq", "problem")
+
+
+@query(
+    "WITH "
+    + _HISTORY
+    + """
+moved AS (SELECT s.name, s.version, s.seq, s.was AS "from", s.stage AS "to", CASE WHEN s.version <> q.version THEN 'replaced by ' || q.version END AS reason FROM state s JOIN turn q ON q.name = s.name AND q.k = s.k WHERE s.stage IS DISTINCT FROM s.was)
+SELECT * FROM moved"""
+)
+def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log of the history: what was followed, and the retirements that releases brought."""
+    return G.registry_log(_history(spark, sf_dir))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS name, CAST(o_orderkey AS VARCHAR) AS version, row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) - 1 AS rank FROM orders")
+def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions, newest first."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("version"), epoch(F.col("o_orderdate")).alias("created_at"))
+    return G.newest_first(o).select("name", "version", "rank")
+
+
 @query(
     "SELECT page_id, kind, CASE kind WHEN 'network' THEN CASE WHEN page_id % 3 = 0 THEN 'offline only' WHEN host = 'example.org' OR ends_with(host, '.example.org') OR host = 'm.therou.example.com' THEN NULL ELSE 'host not allowed' END "
     "WHEN 'cloud_fallback' THEN CASE WHEN page_id % 3 = 0 THEN 'offline only' WHEN page_id % 2 = 0 THEN NULL ELSE 'fallback is not cloud' END ELSE CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'audio is not kept' END END AS refused "
