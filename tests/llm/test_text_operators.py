@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -313,3 +314,29 @@ def test_html_on_whole_table(spark, sf_dir):
     pages = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id")
     for r in H.op2_html_extraction(spark, sf_dir).collect():
         assert r.text == plain(pages.html[r.page_id]) and r.n_chars == len(r.text) and r.url == pages.url[r.page_id]
+
+
+def test_items_that_share_their_opening_are_compared_at_once(monkeypatch):
+
+    rng = random.Random(8)
+    opening = [f"o{i}" for i in range(8)]
+    tails = [[f"t{rng.randrange(5000)}" for _ in range(20)] for _ in range(800)]
+    m = C.Matcher([(i, " ".join(opening + t)) for i, t in enumerate(tails)])
+    text = pa.array([" ".join(w for k in range(800) for w in [*opening, *(tails[k][:14] if k % 100 == 0 else [f"x{k}-{j}" for j in range(20)])])])
+    list(m.hits(pa.array(["warm up"])))
+    began = time.perf_counter()
+    got = list(m.hits(text))
+    assert time.perf_counter() - began < 4  # it was 27 s
+    assert sorted(i for _, i, _, _ in got) == list(range(0, 800, 100)) and all(agree == 22 for *_, agree in got)
+    monkeypatch.setattr(C, "ALIGNMENTS", 1000)
+    monkeypatch.setattr(C, "CELLS", 500)
+    assert list(m.hits(text)) == got
+
+
+def test_repeated_items_and_null_ids_on_both_sides(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (4, "w1 w2"), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, text), (None, text), (1, "so " + text), (2, "clean")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in C.find_leaks(docs, bench).collect())
+    assert got == Counter({(None, None): 4, (None, 3): 4, (None, 4): 2, (1, None): 2, (1, 3): 2, (1, 4): 1})
+    assert [r.doc_id for r in C.drop_leaks(docs, bench).collect()] == [2]

@@ -27,6 +27,8 @@ SPAN = min(map(len, MASKS))
 SHARE, NEARLY, ENOUGH, STRETCH, PURITY = 0.5, 0.75, 8, 12, 0.8
 #: Words of the benchmark that one pass over the documents holds.
 BLOCK_WORDS = 1_000_000
+#: Proposed alignments held at a time, and words of items compared at a time (one item's at least): a seed that many items and places share costs time, not memory.
+ALIGNMENTS, CELLS = 400_000, 2_000_000
 
 HITS = "doc_id long, item_id long, start_word long, matched_words int, item_words int, overlap double"
 
@@ -48,14 +50,17 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
         return mix64(s)
 
 
-def _best_stretch(equal: np.ndarray) -> int:
-    """Most agreeing words in a stretch whose share of agreeing words is at least PURITY (by its best-scoring segment)."""
-    gain = np.where(equal, 1.0 - PURITY, -PURITY)
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.argmin(sums[: end + 1])) if end else 0
-    return int(equal[start:end].sum())
+def _best_stretch(equal: np.ndarray) -> np.ndarray:
+    """For each row, most agreeing words in a stretch whose share of agreeing words is at least PURITY (by its best-scoring segment)."""
+    equal = np.atleast_2d(equal)
+    zero = np.zeros((len(equal), 1))
+    sums = np.concatenate([zero, np.cumsum(np.where(equal, 1.0 - PURITY, -PURITY), axis=1)], axis=1)
+    low = np.minimum.accumulate(sums, axis=1)
+    row = np.arange(len(equal))
+    end = np.argmax(sums - low, axis=1)
+    start = np.argmax(sums == low[row, end][:, None], axis=1)
+    agree = np.concatenate([zero, np.cumsum(equal, axis=1)], axis=1)
+    return (agree[row, end] - agree[row, start]).astype(np.int64)
 
 
 class Matcher:
@@ -70,6 +75,7 @@ class Matcher:
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.words = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        self.needed = np.array([words_needed(n) for n in self.lengths.tolist()])
         self.tables = []
         short = sorted({n for n in self.lengths.tolist() if 0 < n < SPAN})
         for mask in (*MASKS, *("1" * n for n in short)):
@@ -87,39 +93,73 @@ class Matcher:
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first word, agreeing words) of the best leak of each item in each row."""
         for row, h, offsets in word_hashes(texts):
-            found: list[np.ndarray] = []
-            for mask, keys, places, screen, shift in self.tables:
-                s = _seeds(h, mask)
-                at = np.flatnonzero(screen[(s >> shift).astype(np.int64)]) if len(s) and len(keys) else np.zeros(0, np.int64)
-                if not len(at):
-                    continue
-                low, high = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
-                times = high - low
-                at, low, times = at[times > 0], low[times > 0], times[times > 0]
-                doc = np.searchsorted(offsets, at, "right") - 1
-                inside = at + len(mask) <= offsets[doc + 1]
-                at, low, times, doc = at[inside], low[inside], times[inside], doc[inside]
-                if not len(at):
-                    continue
-                each = np.repeat(np.arange(len(at)), times)
-                place = places[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)]
-                item = np.searchsorted(self.starts, place, "right") - 1
-                found.append(np.stack([doc[each], item, at[each] - offsets[doc[each]] - (place - self.starts[item])], 1))
-            if not found:
+            best = [part for hits in self._alignments(h, offsets) if len(part := self._leaks(h, offsets, hits))]
+            if not best:
                 continue
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for d, item, shift_ in np.unique(np.concatenate(found), axis=0):
-                words = h[offsets[d] : offsets[d + 1]]
-                n = int(self.lengths[item])
-                lo, hi = max(0, int(shift_)), min(len(words), int(shift_) + n)
-                equal = words[lo:hi] == self.words[self.starts[item] + lo - shift_ : self.starts[item] + hi - shift_]
-                agree = int(equal.sum())
-                if agree >= words_needed(n) or _best_stretch(equal) >= STRETCH:
-                    key = (int(d), int(item))
-                    if agree > best.get(key, (0, 0))[1]:
-                        best[key] = (lo, agree)
-            for (d, item), (lo, agree) in best.items():
-                yield row + d, item, lo, agree
+            found = np.concatenate(best)
+            # Of an item's leaks in a row the one of most words, the first of equals.
+            found = found[np.lexsort((found[:, 2], -found[:, 3], found[:, 1], found[:, 0]))]
+            first = np.append(True, (found[1:, :2] != found[:-1, :2]).any(axis=1))
+            for d, item, shift, agree in found[first].tolist():
+                yield row + d, item, max(0, shift), agree
+
+    def _alignments(self, h: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """Different (row, item, shift) that seeds propose, about ALIGNMENTS at a time, in order of places in the texts."""
+        found: list[np.ndarray] = []
+        for table, (mask, keys, _, screen, shift) in enumerate(self.tables):
+            s = _seeds(h, mask)
+            at = np.flatnonzero(screen[(s >> shift).astype(np.int64)]) if len(s) and len(keys) else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            low, high = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
+            doc = np.searchsorted(offsets, at, "right") - 1
+            ok = (high > low) & (at + len(mask) <= offsets[doc + 1])
+            found.append(np.stack([at[ok], doc[ok], low[ok], (high - low)[ok], np.full(ok.sum(), table)], 1))
+        if not found:
+            return
+        seeds = np.concatenate(found)
+        seeds = seeds[np.argsort(seeds[:, 0], kind="stable")]
+        total = np.cumsum(seeds[:, 3])
+        start = 0
+        while start < len(seeds):
+            base = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, base + ALIGNMENTS, "right")))
+            at, doc, low, times, table = seeds[start:stop].T
+            each = np.repeat(np.arange(stop - start), times)
+            rank = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            place = np.empty(len(each), np.int64)
+            for t in np.unique(table):
+                mine = table[each] == t
+                place[mine] = self.tables[t][2][rank[mine]]
+            item = np.searchsorted(self.starts, place, "right") - 1
+            shift = at[each] - offsets[doc[each]] - (place - self.starts[item])
+            order = np.lexsort((shift, item, doc[each]))
+            rows = np.stack([doc[each], item, shift], 1)[order]
+            yield rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+            start = stop
+
+    def _leaks(self, h: np.ndarray, offsets: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """(row, item, shift, agreeing words) of the alignments that are leaks; compared many at once, items of like length together."""
+        n = self.lengths[hits[:, 1]]
+        order = np.argsort(n, kind="stable")
+        hits, n, out, start = hits[order], n[order], [], 0
+        while start < len(hits):
+            # Rows are as wide as their longest item.
+            stop = start + 1 + int(np.searchsorted(np.arange(2, len(hits) - start + 1) * n[start + 1 :], CELLS, "right"))
+            (doc, item, shift), size = hits[start:stop].T, n[start:stop]
+            column = np.arange(size[-1])
+            at = offsets[doc][:, None] + shift[:, None] + column
+            inside = (column < size[:, None]) & (at >= offsets[doc][:, None]) & (at < offsets[doc + 1][:, None])
+            own = np.minimum(self.starts[item][:, None] + column, len(self.words) - 1)
+            equal = inside & (h[np.clip(at, 0, len(h) - 1)] == self.words[own])
+            agree = equal.sum(axis=1)
+            leak = agree >= self.needed[item]
+            maybe = np.flatnonzero(~leak & (agree >= STRETCH))
+            if len(maybe):
+                leak[maybe] = _best_stretch(equal[maybe]) >= STRETCH
+            out.append(np.stack([doc, item, shift, agree], 1)[leak])
+            start = stop
+        return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Matcher]:
