@@ -68,8 +68,12 @@ class Staging:
         self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._turnstone_path), True)
 
     def sweep(self) -> None:
-        """Has Spark delete the shuffle files of finished steps now: it does so when the driver's JVM next collects its garbage."""
+        """Has Spark delete the shuffle files of finished steps now: it does so when the driver's JVM next collects its garbage.
+
+        The last query's plan is held until another one runs, hence the small one.
+        """
         gc.collect()
+        self.spark.range(1).count()
         self.spark._jvm.System.gc()
 
     def close(self) -> None:

@@ -402,19 +402,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = texts.select("tid", "text").mapInArrow(_find, RUNS)
     dealt = found.repartition(tasks, F.when(F.col("known"), F.xxhash64("tid", "lo")).otherwise(F.col("gram")))
     runs = scope.write(dealt.mapInArrow(_repeating, "gram bigint, tid bigint, lo bigint, n int"), "runs")
-    scope.sweep()
     frequent = scope.write(runs.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > block_runs).select("gram"), "frequent", slim=True)
+    scope.sweep()
 
+    # Strings of a text's runs overlap, so they take little room written one after another; each shuffle goes before the next.
     lists = runs.groupBy("tid").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("runs"))
-    strings = texts.select("tid", "doc", "text").join(lists, "tid").mapInArrow(_cut, STRINGS)
+    strings = scope.write(texts.select("tid", "doc", "text").join(lists, "tid").mapInArrow(_cut, STRINGS), "strings", codec="zstd")
+    scope.drop(runs)
+    scope.sweep()
     blocks = strings
     some = not small(frequent, 0)
     if some:
-        strings = scope.write(strings, "strings")
         blocks = strings.join(maybe_broadcast(frequent), "gram", "left_anti")
     marks = scope.write(blocks.repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(_blocks, MARKS), "marks")
     if some:
         marks = marks.unionByName(scope.write(_by_key(strings.join(maybe_broadcast(frequent), "gram", "left_semi"), scope), "frequent-marks"))
+    scope.drop(strings)
     scope.sweep()
 
     lists = marks.groupBy("tid").agg(F.collect_list(F.struct("lo", "marks")).alias("marks"))
