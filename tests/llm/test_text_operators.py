@@ -140,6 +140,39 @@ def test_license_expressions_of_any_length():
     assert s[5].split(",") == sorted([*want, "mit", "gpl-2.0 with x"])
 
 
+def test_formulas_and_pairs_are_whole():
+    scan = lambda t: N.Scanner().scan(f"SPDX-License-Identifier: {t}\ncode")
+    assert scan("MIT OR (Apache-2.0 AND ISC) OR Zlib")[8] == "mit | (apache-2.0 + isc) | zlib"
+    many = " AND ".join(f"(a{i} OR b{i})" for i in range(1, 10))
+    assert scan(many)[8] == " + ".join(f"(a{i} | b{i})" for i in range(1, 10))
+    left, right = (" OR ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 300), ("e", 2)))
+    s = scan(f"({left}) WITH ({right})")
+    assert s[5].split(",") == sorted(f"a{i} with e{j}" for i in range(300) for j in range(2)) and s[8].endswith(") with (e0 | e1)")
+    s = scan(f"({left}) WITH ({left.replace('a', 'e')})")
+    assert len(s[5].split(",")) == 1 and all(f"a{i} " in s[5] or f"a{i})" in s[5] for i in range(300))
+    deep = "(" * 3000 + "x" + " OR y) AND z" * 1500 + " OR y)" * 1500
+    assert scan(deep)[5] == "x,y,z" and scan(" OR ".join(["MIT"] * 20_000))[8].count("mit") == 20_000
+
+
+def test_license_base_columns_against_brute_force_on_documents(spark, sf_dir):
+    table = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in N.op4_license_scan(spark, sf_dir).collect()}
+    assert len(got) == len(table)
+    for doc_id, text in zip(table.doc_id, table.text):
+        r, w = got[doc_id], words(text)
+        places = sorted((i, label) for p, label in N.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        starts = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
+        # Labels and score from places and expressions found by plain regular expressions.
+        flat = " " + " ".join(w) + " "
+        notices = [label for p, label in N.NOTICES.items() for _ in range(len(re.findall(f"(?= {re.escape(p)} )", flat)))]
+        tags = [t for line in re.split(r"[\r\n]", text or "") for t in re.findall(r"(?i)licen[sc]e[-\s]*(?:identifier|expression)\s*[:=]\s*(.*)", line)] if any(f" {t} " in flat for t in N.TAGS) else []
+        plain = set(notices) | {x for _, x in places} | {x.lower() for t in tags for x in re.findall(r"^[A-Za-z0-9.+-]+", t)}
+        if all(re.fullmatch(r"[A-Za-z0-9.+-]+", t) for t in tags):
+            assert set(filter(None, r.labels.split(","))) == plain
+            assert r.score == pytest.approx(1 - 0.1 ** len(starts) * 0.4 ** len(notices) * 0.05 ** len(tags))
+
+
 def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     got = L.op6_language_id(spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/documents.parquet"), on="doc_id")
     held = got[got.held_out]

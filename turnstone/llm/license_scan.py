@@ -56,8 +56,12 @@ _TAG = re.compile(r"(?i)(?:spdx[-\s]*)?licen[sc]e[-\s]*(?:identifier|expression)
 _LINE_END = re.compile(r"[\r\n]")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-#: Alternatives kept of an expression; the choices of one with more are left unevaluated, its identifiers still count.
+#: Alternatives up to which an expression's choices are listed one by one; its formula is whole, whatever their number.
 MAX_CHOICES = 256
+#: Pairs of a license and an exception up to which each is a label; more, from groups on both sides, are one label with the groups.
+PAIRS = 65_536
+#: How a formula writes the operators.
+_SIGNS = {"or": " | ", "and": " + ", "with": " with "}
 
 
 def to_postfix(tokens: list[str]) -> list[str]:
@@ -135,7 +139,7 @@ def _product(factors: list[set[frozenset[str]]]) -> set[frozenset[str]]:
 
 
 def identifiers(postfix: list[str]) -> set[str]:
-    """The labels of an expression, whatever its number of choices: its operands, those of a with as one (or apart, where they have too many pairs)."""
+    """The labels of an expression, whatever its number of choices: its operands, those of a with as one."""
     stack: list[list[str]] = []
     for t in postfix:
         if t not in _PRECEDENCE:
@@ -143,7 +147,10 @@ def identifiers(postfix: list[str]) -> set[str]:
             continue
         b, a = stack.pop(), stack.pop()
         if t == "with":
-            a = [f"{p} with {q}" for p in a for q in b] if len(a) * len(b) <= MAX_CHOICES else a + b
+            if len(a) * len(b) <= PAIRS:
+                a = [f"{p} with {q}" for p in a for q in b]
+            else:
+                a = [f"({' | '.join(sorted(set(a)))}) with ({' | '.join(sorted(set(b)))})"]
         else:
             # The shorter list goes into the longer one, so that a long chain takes no quadratic time.
             a, b = (a, b) if len(a) >= len(b) else (b, a)
@@ -152,17 +159,47 @@ def identifiers(postfix: list[str]) -> set[str]:
     return set(stack[0])
 
 
+def formula(postfix: list[str]) -> str:
+    """The whole expression, never multiplied out: ``|`` between alternatives, ``+`` between what holds together, groups in parentheses."""
+    stack: list = []
+    for t in postfix:
+        if t not in _PRECEDENCE:
+            stack.append(t.lower())
+            continue
+        b, a = stack.pop(), stack.pop()
+        chained = [isinstance(x, tuple) and x[0] == t != "with" for x in (a, b)]
+        if chained[0]:
+            a[1].extend(b[1] if chained[1] else [b])
+        elif chained[1]:
+            b[1].insert(0, a)
+            a = b
+        else:
+            a = (t, [a, b])
+        stack.append(a)
+    out: list[str] = []
+    left = [stack[0]]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        for i, part in enumerate(reversed(x[1])):
+            left += [_SIGNS[x[0]]] if i else []
+            left += [part] if isinstance(part, str) else [")", part, "("]
+    return "".join(out)
+
+
 def parse_expression(raw: str) -> tuple[set[frozenset[str]], int]:
     """Choices of the longest expression at the start of a line, and its number of tokens; none: (set(), 0).
 
     One with too many choices has tokens but no choices.
     """
-    choices, _, n = read_expression(raw)
+    choices, _, n, _ = read_expression(raw)
     return choices, n
 
 
-def read_expression(raw: str, at: int = 0, stop: int | None = None) -> tuple[set[frozenset[str]], set[str], int]:
-    """Choices, labels and number of tokens of the longest expression at a place in a line that ends at ``stop``."""
+def read_expression(raw: str, at: int = 0, stop: int | None = None) -> tuple[set[frozenset[str]], set[str], int, str]:
+    """Choices, labels, number of tokens and formula of the longest expression at a place in a line that ends at ``stop``."""
     tokens: list[str] = []
     depth, operand = 0, True
     end = 0
@@ -183,13 +220,13 @@ def read_expression(raw: str, at: int = 0, stop: int | None = None) -> tuple[set
         if not word and t != trimmed:
             break
     if not end:
-        return set(), set(), 0
+        return set(), set(), 0, ""
     postfix = to_postfix(tokens[:end])
     try:
         choices = evaluate(postfix)
     except ValueError:
         choices = set()
-    return choices, identifiers(postfix), end
+    return choices, identifiers(postfix), end, formula(postfix)
 
 
 class Scanner:
@@ -200,7 +237,7 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple:
-        """(words, base places, first, last, base labels, labels, score, choices) of a whole text."""
+        """(words, base places, first, last, base labels, labels, score, choices, formulas) of a whole text."""
         words = (text or "").encode("utf-8", "replace").translate(_TABLE).split()
         flat = " " + b" ".join(words).decode("utf-8", "replace") + " "
         base: set[str] = set()
@@ -222,29 +259,34 @@ class Scanner:
             else:
                 tagged = True
         choices: set[frozenset[str]] = set()
+        formulas: set[str] = set()
         if tagged:
             stop = -1
             for m in _TAG.finditer(text or ""):
                 if m.end() > stop:
                     end = _LINE_END.search(text, m.end())
                     stop = end.start() if end else len(text)
-                found, names, n = read_expression(text, m.end(), stop)
+                found, names, n, whole = read_expression(text, m.end(), stop)
                 if n:
                     choices |= found
+                    formulas.add(whole)
                     doubt *= 1 - STRENGTH["tag"]
                     labels |= names
         shown = " | ".join(sorted(" + ".join(sorted(c)) for c in choices))
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, shown
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, shown, "; ".join(sorted(formulas))
 
 
-COLUMNS = (("n_words", pa.int64(), "long"), ("n_base", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("last_word", pa.int64(), "long"), ("base_labels", pa.string(), "string"), ("labels", pa.string(), "string"), ("score", pa.float64(), "double"), ("choices", pa.string(), "string"))
+COLUMNS = (("n_words", pa.int64(), "long"), ("n_base", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("last_word", pa.int64(), "long"), ("base_labels", pa.string(), "string"), ("labels", pa.string(), "string"), ("score", pa.float64(), "double"), ("choices", pa.string(), "string"), ("formula", pa.string(), "string"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and what the scan of its whole text found; no shuffle.
 
-    Null text counts as empty and has no words, places or labels, and score 0. Ids may be
-    null or repeat; a broken expression adds nothing. Other columns are ignored.
+    Null text counts as empty and has no words, places or labels, and score 0. Texts of any
+    length are scanned whole. Ids may be null or repeat; repeated rows stay repeated. A
+    broken expression adds nothing. ``formula`` has the different expressions of the text;
+    ``choices`` lists the ways to satisfy those of few. Places that tie count each. An empty
+    table gives an empty result. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
