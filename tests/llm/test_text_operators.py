@@ -373,3 +373,13 @@ def test_repeated_items_and_null_ids_on_both_sides(spark):
     got = Counter((r.doc_id, r.item_id) for r in C.find_leaks(docs, bench).collect())
     assert got == Counter({(None, None): 4, (None, 3): 4, (None, 4): 2, (1, None): 2, (1, 3): 2, (1, 4): 1})
     assert [r.doc_id for r in C.drop_leaks(docs, bench).collect()] == [2]
+
+
+def test_class_words_inside_articles_and_text_beside_them_on_small_hosts():
+    inside = '<div class="legal">A text about legal matters</div><section class="search"><p>The search for gold</p></section><p class="byline">By someone</p><p><label>Named</label> part</p>'
+    page = f"<nav>Menu</nav><div class='legal'>Terms</div><article><p>First {'text ' * 20}</p>{inside}</article><div><p>Second part of the page text, unmarked</p></div><footer>End</footer>"
+    got = H.main_text(page)
+    for part in ("A text about legal matters", "The search for gold", "By someone", "Named part", "Second part of the page text, unmarked"):
+        assert part in got
+    for part in ("Menu", "Terms", "End"):
+        assert part not in got

@@ -60,15 +60,16 @@ CLOSES = {"li": ("li", "ul", "ol", "menu"), "dt": ("dt", "dl"), "dd": ("dt", "dl
 ALIKE = {"dt": ("dt", "dd"), "td": ("td", "th")}
 P_STOPS = ("td", "th", "table", "button", "article", "main", "section")
 
-#: Tags, roles and words of a class or id that mark boilerplate, and words beside them that change nothing.
-NOISE_TAGS = frozenset("aside button dialog dir fieldset footer form frameset header input label legend menu nav option search select".split())
+#: Tags, roles and words of a class or id that mark boilerplate, words that do so outside articles only, and words beside them that change nothing.
+NOISE_TAGS = frozenset("aside button dialog dir fieldset footer form frameset header input menu nav option search select".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status tablist toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts alert author-box banner breadcrumb breadcrumbs byline captcha comment commentlist comments consent cookie cookies copyright dialog "
-    "disclaimer discussion disqus feedback footer form gdpr header infobar legal links login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain "
-    "pager pagination paywall popup privacy promo promoted promotion promotions recommended register related replies reply respond responses search share sharing sidebar signup skip "
-    "social sponsor sponsored sponsors subscribe subscription taboola toc toolbar topbar trending warning widget widgets".split()
+    "ad ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs captcha comment commentlist comments consent cookie cookies dialog discussion disqus feedback footer form gdpr header infobar "
+    "login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain "
+    "pager pagination paywall popup promo promoted promotion promotions recommended related replies reply respond responses share sharing "
+    "sidebar signup social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar trending widget widgets".split()
 )
+HINT_WORDS = frozenset("author-box byline copyright disclaimer legal links privacy register search skip toc warning".split())
 GLUE_WORDS = frozenset(
     "a area bar block bottom box col column container desktop div end fixed float global group hidden in inner item items left list main mobile module of one outer page pane panel post "
     "primary right row secondary section side site slot sticky text the top two unit view visible wrap wrapper zone".split()
@@ -106,8 +107,9 @@ def _noisy(tag: str, attributes: dict[str, str], main: bool) -> bool:
     names = frozenset().union(*tokens)
     if names & {"content", "body", "main"} and not names & {"ad", "ads", "comment", "comments", "sidebar"}:
         return False
+    marked = NOISE_WORDS if main else NOISE_WORDS | HINT_WORDS
     # A name means what all its words say: comments-list is a list of comments, comments-on-law is not.
-    return any(t & NOISE_WORDS and all(w in NOISE_WORDS or w in GLUE_WORDS or w.isdigit() or w == "content" for w in t) for t in tokens)
+    return any(t & marked and all(w in marked or w in GLUE_WORDS or w.isdigit() or w == "content" for w in t) for t in tokens)
 
 
 @dataclass
@@ -120,6 +122,8 @@ class Page:
     main: list[bool] = field(default_factory=lambda: [False])
     tags: list[str] = field(default_factory=lambda: [""])
     shapes: list[list[str]] = field(default_factory=lambda: [[]])
+    #: The style of loose text: text that stands in the page or its body without an element of its own.
+    loose: set[int] = field(default_factory=lambda: {0})
     #: (node, style, text, inside an article)
     blocks: list[tuple[int, int, str, bool]] = field(default_factory=list)
 
@@ -278,6 +282,8 @@ def parse(html: str, marks: bool = True) -> Page:
         if tag in BLOCK:
             name = f"{tag}.{'.'.join(attributes.get('class', '').split())}"
             style = _child(up.style, name, -1)
+            if tag in ("html", "body"):
+                page.loose.add(style)
             if tag in TEXT:
                 new = _Open(tag, up.node, style, main, up.skip or noise)
             else:
@@ -335,8 +341,8 @@ class Site:
 def main_text(html: str | None, site: Site | None = None, marks: bool = True) -> str:
     """The page's blocks without the site's unimportant branches and contents, in order.
 
-    Without a tree the marks decide, and an article that holds at least half of the
-    unmarked text decides alone.
+    Without a tree the marks decide; beside an article, loose text that is no longer than it
+    goes too.
     """
     page = parse(html or "", marks)
     gone = [False]
@@ -347,8 +353,9 @@ def main_text(html: str | None, site: Site | None = None, marks: bool = True) ->
     blocks = [(style, text, main) for node, style, text, main in page.blocks if not gone[node]]
     if not site:
         inside = sum(len(text) for _, text, main in blocks if main)
-        alone = inside and 2 * inside >= sum(len(text) for _, text, _ in blocks)
-        return " ".join(text for _, text, main in blocks if main or not alone)
+        stray = [not main and style in page.loose for style, _, main in blocks]
+        alone = inside >= sum(len(text) for (_, text, _), x in zip(blocks, stray, strict=True) if x)
+        return " ".join(text for (_, text, _), x in zip(blocks, stray, strict=True) if not (x and inside and alone))
     lists = (site.removed, site.shared)
     return " ".join(text for style, text, main in blocks if not lists[main] or branch(style, text) not in lists[main])
 

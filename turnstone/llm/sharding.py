@@ -15,11 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.positions import number_rows
 from ._util import Staging, draw, fresh, read
 
-#: Rows numbered by one window; buckets follow the number of rows.
-BUCKET_ROWS = 200_000
-MIN_BUCKETS = 8
 #: Equal rows that one generator row makes; more are made from several rows, dealt to several tasks.
 RUN = 10_000
 
@@ -118,34 +116,19 @@ def _each(counted: DataFrame) -> DataFrame:
 def shard_slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Null text counts as empty. Slots number the rows of a shard from 0 without gaps:
-    identical rows are counted before the shuffle, each shard is cut into hash buckets
-    that windows number side by side, and bucket totals shift them. Null and repeated
-    ids are ordinary keys; an empty table gives an empty result. Other columns are ignored.
+    Null text counts as empty. Slots number the rows of a shard from 0 without gaps, by id
+    (null first), checksum and size; identical rows are counted before the shuffle and told
+    apart by their number, so rows are dealt evenly whatever repeats. Null and repeated ids
+    are ordinary keys; an empty table gives an empty result. Other columns are ignored.
     """
     scope = Staging(docs.sparkSession, "shard-slots")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (text_bytes(F.col(text_col)) + 1).alias("size"), F.crc32(text).alias("crc"))
-    counted = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
+    counted = scope.write(rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n")), "rows", slim=True)
     leaves = topology(shards)
     both = descend(descend(counted, F.col("id"), leaves, "shard"), F.col("id"), grow(leaves), "grown")
-    placed = scope.write(both, "rows", slim=True)
-    buckets = max(MIN_BUCKETS, -(-placed.count() // (BUCKET_ROWS * shards)))
-    cut = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets)))
-    # One row a shard and bucket: as many as there are windows.
-    totals = cut.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("a.shard = b.shard AND b.bucket < a.bucket"), "left").groupBy("a.shard", "a.bucket").agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("before"))
-    run = "sum(n) OVER (PARTITION BY shard, bucket ORDER BY id, crc, size ROWS UNBOUNDED PRECEDING) - n"
-    at = cut.withColumn("at", F.expr(run)).join(F.broadcast(before) if buckets * shards <= 100_000 else before, ["shard", "bucket"])
-    return _each(scope.write(at, "numbered", slim=True)).select(
-        F.col("id").alias(id_col),
-        "size",
-        F.col("crc").cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("before") + F.col("at") + F.col("i")).cast("long").alias("slot"),
-        F.col("grown").alias("grown_shard"),
-    )
+    placed = number_rows(_each(both), ["id", "crc", "size", "i"], ["shard"], "slot", f"{scope.path}/slots")
+    return placed.select(F.col("id").alias(id_col), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", F.col("grown").alias("grown_shard"))
 
 
 SHARDS = 8
@@ -155,5 +138,31 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(read(spark, sf_dir, "documents"), SHARDS)
 
 
-ORACLE: dict[str, str] = {}
+def _draw_sql(path: str, weight: float) -> str:
+    return f"-ln(((('0x' || substr(md5('shard:{path}:' || key), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) / {weight}"
+
+
+def _least_sql(cells: dict[int, str]) -> str:
+    return "list_min([" + ", ".join(f"{{'d': {d}, 'n': {n}}}" for n, d in sorted(cells.items())) + "]).n"
+
+
+def _tree_sql(leaves: Sequence[Leaf]) -> str:
+    """The shard of ``key``, level by level, for every node spelled out."""
+    regions, racks, shards = levels(leaves)
+    by_region = []
+    for (r,), names in sorted(racks.items()):
+        inner = " ".join(f"WHEN {k} THEN {_least_sql({s: _draw_sql(f'2:{r}:{k}:{s}', w) for s, w in shards[r, k].items()})}" for k in sorted(names))
+        by_region.append(f"WHEN {r} THEN CASE {_least_sql({k: _draw_sql(f'1:{r}:{k}', w) for k, w in names.items()})} {inner} END")
+    return f"CASE {_least_sql({r: _draw_sql(f'0:{r}', w) for r, w in regions[()].items()})} {' '.join(by_region)} END"
+
+
+ORACLE = {
+    "op5_sharding": rf"""
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '~') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda c: [('0x' || c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc FROM documents),
+s AS (SELECT *, {_tree_sql(topology(SHARDS))} AS shard, {_tree_sql(grow(topology(SHARDS)))} AS grown FROM d)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, grown::INT AS grown_shard FROM s
+"""
+}
 QUERIES = {"op5_sharding": op5_sharding}
