@@ -95,8 +95,13 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, max_df: int = MAX_DF, fraction: float = MAX_DF_FRACTION) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best by summed idf, pairs of words counting double."""
+    return keyword_ranking(rare_postings(chunks, queries, max_df, fraction), k)
+
+
+def keyword_ranking(matches: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """The k best of each query from its matches (query_id, gram, chunk_id, df, n)."""
     weight = F.when(F.contains("gram", F.lit(" ")), 2.0).otherwise(1.0)
-    scored = rare_postings(chunks, queries, max_df, fraction).groupBy("query_id", "chunk_id").agg(F.sum(weight * F.ln(1.0 + F.col("n") / F.col("df"))).alias("score"))
+    scored = matches.groupBy("query_id", "chunk_id").agg(F.sum(weight * F.ln(1.0 + F.col("n") / F.col("df"))).alias("score"))
     return ranked(scored, F.round("score", 9).desc(), "chunk_id", k)
 
 
@@ -265,16 +270,17 @@ def graph_expand(found: DataFrame, queries: DataFrame, seeds: DataFrame, k: int
 
 def hybrid_retrieve(
     chunks: DataFrame, found: DataFrame, queries: DataFrame, *, k: int = TOP_K, candidates: int = CANDIDATES, min_cosine: float = MIN_COSINE, min_fused: float = MIN_FUSED,
-    max_df: int = MAX_DF, fraction: float = MAX_DF_FRACTION, rrf_k: int = RRF_K, keyword_weight: float = KEYWORD_WEIGHT,
+    max_df: int = MAX_DF, fraction: float = MAX_DF_FRACTION, rrf_k: int = RRF_K, keyword_weight: float = KEYWORD_WEIGHT, keyword: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, path, cosine, rank, floored): keyword, vector and graph hits, fused, above the floor.
 
     ``chunks`` and ``queries`` have embeddings. A chunk stays if it is a keyword hit or its
     cosine reaches the floor, and its fused score does; ``floored`` counts what was passed
     over before the k-th that stays. ``path`` is its only source, or 'fused'. Blank queries find nothing.
+    ``keyword`` is a keyword ranking made elsewhere, such as by an index.
     """
     queries = queries.where(X.strip(F.col("text")) != "")
-    keyword = keyword_search(chunks, queries, candidates, max_df, fraction)
+    keyword = keyword_search(chunks, queries, candidates, max_df, fraction) if keyword is None else keyword
     vector = vector_search(chunks, queries, candidates).where("score > 0")
     seeds = keyword.where(F.col("rank") <= k).select("query_id", "chunk_id").unionByName(vector.where(F.col("rank") <= k).select("query_id", "chunk_id")).distinct()
     graph = graph_expand(found, queries, seeds, candidates)

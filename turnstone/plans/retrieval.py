@@ -11,6 +11,7 @@ from ..functions.udfs import hashing_embedder
 from ..operators import registry as G
 from ..operators import retrieval as R
 from ..session import scratch_path
+from ..sources.index import DocumentIndex
 from .catalog import query, tidy
 from .tables import epoch, load
 
@@ -131,6 +132,48 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return c, spark.read.parquet(f"{path}/mentions"), asked(spark, sf_dir).withColumn("embedding", embed("text"))
 
 
+#: Documents after the last change of the index queries: every eleventh is gone, the others read as in the table.
+_LEFT = _CHUNKS.replace("FROM documents)", "FROM documents WHERE doc_id % 11 <> 0)")
+
+
+_kept: dict[tuple[str, str], str] = {}
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> DocumentIndex:
+    """An index that went through additions, changes, removals and a merge, and was opened again; made once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _kept:
+        return DocumentIndex(spark, _kept[key])
+    root = scratch_path(spark, "kept-index")
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text")
+    index = DocumentIndex(spark, root)
+    index.refresh(d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("older first line\n"), "text")).otherwise(F.col("text"))))
+    index.add(d.where("doc_id % 5 = 0 AND doc_id % 2 = 0"))
+    index.remove(d.where("doc_id % 13 = 0"))
+    index.merge()
+    DocumentIndex(spark, root).refresh(d.where("doc_id % 11 <> 0"))
+    _kept[key] = root
+    return DocumentIndex(spark, root)
+
+
+@query("WITH " + _LEFT + "," + _GRAMS + "," + _ASKED + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kr WHERE rank <= 20")
+def index_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search of an index that was kept up; the SQL searches the documents that are left."""
+    return tidy(_kept_up(spark, sf_dir).keyword_search(asked(spark, sf_dir)))
+
+
+@query("WITH " + _LEFT + ", n AS (SELECT document_id, count(*) AS chunks FROM c GROUP BY document_id) SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS sha, coalesce(chunks, 0) AS chunks FROM documents LEFT JOIN n ON document_id = CAST(doc_id AS VARCHAR) WHERE doc_id % 11 <> 0")
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index that was kept up holds."""
+    return _kept_up(spark, sf_dir).table("documents")
+
+
+@query("WITH " + _LEFT + "," + _GRAMS + " SELECT gram, count(*) AS df FROM post GROUP BY gram")
+def index_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies that an index kept by addition and subtraction."""
+    return _kept_up(spark, sf_dir).frequencies()
+
+
 @query()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(R.hybrid_retrieve(*_index(spark, sf_dir)))
