@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .positions import running_sums
+
 PSI_LIMIT, KS_LIMIT, BINS, EPSILON = 0.2, 0.1, 10, 1e-4
 
 
@@ -32,14 +33,16 @@ def psi(samples: DataFrame, bins: int = BINS, epsilon: float = EPSILON) -> DataF
 def ks(samples: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov statistic of each feature: the largest gap of the two distribution functions.
 
-    Equal values meet before the running sums, so a window holds different values only.
+    Equal values meet first; their running sums are made range by range, so a feature of any
+    number of different values is spread over tasks.
     """
     rows = samples.where(F.col("value").isNotNull())
     per = rows.groupBy("feature", "value").agg(F.count_if(F.col("sample") == "reference").alias("r"), F.count_if(F.col("sample") == "current").alias("c"))
-    run = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy("feature")
-    gap = F.abs(F.sum("r").over(run) / F.nullif(F.sum("r").over(all_), F.lit(0)) - F.sum("c").over(run) / F.nullif(F.sum("c").over(all_), F.lit(0)))
-    return per.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks")).where("ks is not null")
+    run = running_sums(per, ["value"], ["feature"], {"below_r": "r", "below_c": "c"})
+    # A row a feature; the last running sums are the totals.
+    total = run.groupBy("feature").agg(F.max("below_r").alias("n_r"), F.max("below_c").alias("n_c")).where("n_r > 0 AND n_c > 0").withColumnRenamed("feature", "_feature")
+    gap = F.abs(F.col("below_r") / F.col("n_r") - F.col("below_c") / F.col("n_c"))
+    return run.join(total, F.col("feature").eqNullSafe(F.col("_feature"))).groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def drift_report(samples: DataFrame, psi_limit: float = PSI_LIMIT, ks_limit: float = KS_LIMIT, bins: int = BINS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.udfs import align_words, digits_for_number_words
+from .quantiles import quantiles
 
 LOWER_IS_BETTER = ("wer", "cer", "error_rate", "ttfa_p50_ms", "ttfa_p95_ms")
 
@@ -75,9 +76,12 @@ def violation_rate(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def model_table(rows: DataFrame, model: str = "model", correct: Column | None = None, ms: str = "ms") -> DataFrame:
-    """Correctness and latency of each model."""
+    """Correctness and exact latency percentiles of each model; no task holds a model's latencies."""
     ok = (correct if correct is not None else F.col("correct")).cast("long")
-    return rows.groupBy(model).agg(F.count("*").alias("n"), F.sum(ok).alias("correct"), F.avg(ok).alias("accuracy"), F.percentile(ms, 0.5).alias("p50"), F.percentile(ms, 0.95).alias("p95"), F.avg(ms).alias("mean"))
+    table = rows.groupBy(F.col(model).alias("_model")).agg(F.count("*").alias("n"), F.sum(ok).alias("correct"), F.avg(ok).alias("accuracy"), F.avg(ms).alias("mean"))
+    at = quantiles(rows, ms, (50, 95), [model]).drop("n")
+    out = table.join(at, F.col("_model").eqNullSafe(F.col(model)), "left")
+    return out.select(F.col("_model").alias(model), "n", "correct", "accuracy", "p50", "p95", "mean")
 
 
 @dataclass(frozen=True)

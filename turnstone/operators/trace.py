@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 # Stages of a turn, histogram buckets in ms, objectives, burn-rate windows.
 STAGES = ("listen", "stt", "retrieve", "llm", "segment.emit", "tts", "playback", "turn")
 BUCKETS_MS = (10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 3000.0, 5000.0, 10000.0)
@@ -63,13 +65,11 @@ def stage_rows(trace: DataFrame) -> DataFrame:
     return trace.where(F.endswith("event", F.lit(".end"))).withColumn("stage", F.regexp_replace("event", r"\.end$", "")).withColumn("ms", F.coalesce("ms", F.lit(0.0)))
 
 
-def percentiles(value: str, ps: Sequence[float]) -> list[Column]:
-    """Exact, linearly interpolated."""
-    return [F.percentile(value, p / 100.0).alias(f"p{p:g}") for p in ps]
-
-
 def stage_percentiles(trace: DataFrame, ps: Sequence[float] = (50, 95)) -> DataFrame:
-    return stage_rows(trace).groupBy("stage").agg(*percentiles("ms", ps), F.count("*").alias("n"), F.avg("ms").alias("mean"), F.max("ms").alias("max"))
+    """Exact percentiles, number, mean and largest duration of each stage; no task holds a stage's durations."""
+    rows = stage_rows(trace)
+    totals = rows.groupBy("stage").agg(F.avg("ms").alias("mean"), F.max("ms").alias("max"))
+    return quantiles(rows, "ms", ps, ["stage"]).join(totals, "stage").select("stage", *[F.col(f"`p{p:g}`") for p in ps], "n", "mean", "max")
 
 
 def approx_stage_percentiles(trace: DataFrame, ps: Sequence[float] = (50, 95), accuracy: int = 10000) -> DataFrame:
@@ -104,7 +104,8 @@ def first_audio(trace: DataFrame, seq: str = "_seq") -> DataFrame:
 
 def ttfa_percentiles(trace: DataFrame, ps: Sequence[float] = (50, 95), seq: str = "_seq") -> DataFrame:
     """One row, or none without a value."""
-    return first_audio(trace, seq).agg(*percentiles("ttfa_ms", ps), F.count("*").alias("n"), F.avg("ttfa_ms").alias("mean")).where("n > 0")
+    first = first_audio(trace, seq)
+    return quantiles(first, "ttfa_ms", ps).withColumn("mean", first.agg(F.avg("ttfa_ms")).scalar()).select(*[F.col(f"`p{p:g}`") for p in ps], "n", "mean")
 
 
 def indicators(trace: DataFrame, wer: float | None = None, seq: str = "_seq") -> DataFrame:
@@ -123,9 +124,10 @@ def indicators(trace: DataFrame, wer: float | None = None, seq: str = "_seq") ->
         F.min_by("response_ms", F.when((F.col("event") == "playback.end") & F.col("response_ms").isNotNull(), F.col(seq))).alias("ttfa_ms"),
     )
     bad = F.col("failed") | (F.col("started") & ~F.col("ended"))
-    one = turns.agg(F.count("*").cast("double").alias("n_turns"), F.percentile("ttfa_ms", 0.5).alias("ttfa_p50_ms"), F.percentile("ttfa_ms", 0.95).alias("ttfa_p95_ms"), F.avg(bad.cast("double")).alias("error_rate"))
-    one = one.withColumn("wer", F.lit(wer).cast("double"))
-    return one.unpivot([], ["n_turns", "ttfa_p50_ms", "ttfa_p95_ms", "error_rate", "wer"], "indicator", "value").where("value is not null")
+    one = turns.agg(F.count("*").cast("double").alias("n_turns"), F.avg(bad.cast("double")).alias("error_rate"))
+    one = one.withColumn("wer", F.lit(wer).cast("double")).unpivot([], ["n_turns", "error_rate", "wer"], "indicator", "value")
+    first = quantiles(turns, "ttfa_ms", (50, 95)).select(F.col("p50").alias("ttfa_p50_ms"), F.col("p95").alias("ttfa_p95_ms"))
+    return one.unionByName(first.unpivot([], ["ttfa_p50_ms", "ttfa_p95_ms"], "indicator", "value")).where("value is not null")
 
 
 def burn_rate(value: Column, objective: Column, comparator: Column) -> Column:
