@@ -38,6 +38,33 @@ def test_segments_and_rates(spark, tmp_path):
     assert S.idle_sessions(e.withColumn("session", F.lit("s")), "ts", idle="5 minutes").count() == 2
 
 
+def test_idle_replies_are_flushed_and_late_tokens_dropped(spark, tmp_path):
+    own = S.stateful(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rows = [("a", 1, 0, "One. Two", False, 1.0), ("b", 1, 0, "Whole. ", False, 1.0), ("b", 1, 1, "Reply.", True, 2.0), ("c", 1, 0, "Far", True, 500.0), ("c", 2, 0, "On", True, 700.0), ("a", 1, 1, "late", True, 3.0), ("a", 1, 2, "Again.", True, 800.0), ("d", 1, 0, "", True, 5000.0)]
+    schema = "session string, turn long, _seq int, token string, last boolean, ts double"
+    for i, part in enumerate(([0, 1], [2, 3], [4], [5, 6], [7])):
+        own.createDataFrame([rows[k] for k in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(S.stream_segments(stream, idle_ms=60_000, late="10 seconds"), own, "idle", tmp_path)
+    assert sorted((r.session, r.n, r.sentence) for r in got.collect()) == [("a", 0, "Again."), ("a", 0, "One."), ("a", 1, "Two"), ("b", 0, "Whole."), ("b", 1, "Reply."), ("c", 0, "Far"), ("c", 0, "On")]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_replay_in_batches_equals_the_batch_scan(spark, tmp_path):
+    from turnstone.sources.replay import replay
+
+    rows = spark.range(103).select((F.col("id") * 7 % 103).alias("k"), F.lit("x").alias("_at2"))
+    seen = []
+    q = replay(spark, rows, ["k"], 5, str(tmp_path / "r")).writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.k for r in b.collect()))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    seen = [b for b in seen if b]
+    assert len(seen) == 5 and [k for b in seen for k in b] == list(range(103))
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "r/rows")).collect()) == list(range(103))
+    first = replay(spark, rows, ["k"], 2, str(tmp_path / "s"), max_messages=10)
+    assert first.isStreaming and sorted(r.k for r in spark.read.parquet(str(tmp_path / "s/rows")).collect()) == list(range(10))
+
+
 def test_upsert(spark, tmp_path):
     write = S.upsert_parquet(str(tmp_path / "kv"), "k", "ts")
     mk = lambda *r: spark.createDataFrame(list(r), "k string, ts double, v int")

@@ -16,6 +16,7 @@ from ..operators import trace as T
 from ..operators.positions import zip_rows
 from ..session import scratch_path
 from ..sources import files as S
+from ..sources.replay import replay
 from ..streaming import sessions as L
 from . import features as _features_first  # noqa: F401  (its SQL is used here)
 from .catalog import ORACLE, query, tidy
@@ -135,17 +136,84 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("session", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
+def _drained(stream: DataFrame, path: str) -> DataFrame:
+    """The rows that a stream appends until its input ends."""
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    try:
+        q.awaitTermination(1800)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+_TRACE_COLUMNS = ("session", "event", "ts", "ms", "response_ms", "intent", "accent", "_seq")
+
+
 @query(ORACLE["session_features_running"])
 def session_features_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful fold over a stream of the events, micro-batch by micro-batch; the same rows as the batch operator."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = scratch_path(spark, "stream")
-    trace(spark, sf_dir).select("session", "event", "ts", "ms", "response_ms", "intent", "accent", "_seq").coalesce(1).write.parquet(f"{path}/in")
-    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    q = L.stream_session_features(rows, idle_ms=None).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
-    q.awaitTermination(600)
-    q.stop()
-    return tidy(spark.read.parquet(f"{path}/out"), digits=9).withColumn("event_ts", F.round("event_ts", 6))
+    """The stateful fold over a stream of the events, in four micro-batches; the same rows as the batch operator."""
+    path, own = scratch_path(spark, "stream"), L.stateful(spark)
+    rows = replay(own, trace(own, sf_dir).select(*_TRACE_COLUMNS), ["_seq"], 4, path)
+    out = _drained(L.stream_session_features(rows, idle_ms=None), path)
+    return tidy(spark.read.schema(out.schema).parquet(f"{path}/out"), digits=9).withColumn("event_ts", F.round("event_ts", 6))
+
+
+#: Hours without news after which a session of the expiry query is over.
+_IDLE_H = 12
+
+
+@query(
+    f"""
+WITH {TRACE_SQL},
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY seq) <= {_IDLE_H * 3600} THEN 0 ELSE 1 END AS fresh FROM trace),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g),
+w AS (SELECT session, run, seq, event, max(ts) OVER o AS event_ts, count(CASE WHEN event = 'turn.end' THEN 1 END) OVER o AS turn_count,
+  avg(CASE WHEN event = 'listen.end' THEN ms END) OVER o / 1000 AS avg_user_utterance_s, avg(CASE WHEN event = 'playback.end' THEN response_ms END) OVER o AS avg_response_ms,
+  last_value(CASE WHEN event = 'llm.end' THEN intent END IGNORE NULLS) OVER o AS last_intent, last_value(CASE WHEN event = 'stt.end' THEN accent END IGNORE NULLS) OVER o AS accent_profile
+  FROM r WINDOW o AS (PARTITION BY session, run ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT session, round(event_ts, 6) AS event_ts, turn_count, round(avg_user_utterance_s, 9) AS avg_user_utterance_s, round(avg_response_ms, 9) AS avg_response_ms, last_intent, accent_profile FROM w WHERE event = 'turn.end'
+"""
+)
+def session_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session features by event time, in six micro-batches: sessions expire, and rows that come days late are dropped.
+
+    The last two batches bring the first batch's rows again, with other values; the SQL knows nothing of these.
+    """
+    path, own = scratch_path(spark, "expiry"), L.stateful(spark)
+    rows = trace(own, sf_dir).select(*_TRACE_COLUMNS)
+    n = rows.count()
+    late = rows.where(F.col("_seq") < n // 10).withColumns({"ms": F.lit(9e9).cast("double"), "response_ms": F.lit(9e9).cast("double"), "event": F.lit("turn.end")})
+    both = rows.withColumn("place", F.col("_seq").cast("double")).unionByName(late.withColumn("place", F.lit(0.9 * n) + F.col("_seq") / 10))
+    stream = L.stream_session_features(replay(own, both, ["place", "event"], 6, path).drop("place"), idle_ms=_IDLE_H * 3_600_000, late="1 hour")
+    out = _drained(stream, path)
+    return tidy(spark.read.schema(out.schema).parquet(f"{path}/out"), digits=9).withColumn("event_ts", F.round("event_ts", 6))
+
+
+@query(
+    r"""
+WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM conversations WHERE role = 'assistant')
+SELECT CAST(conv_id AS VARCHAR) AS session, turn, array_to_string(ws, ' ') AS reply FROM t WHERE len(ws) > 0
+"""
+)
+def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as token streams in five micro-batches; every third one stops without its last token and is flushed when idle.
+
+    The sentences of each reply, put together again, are its words.
+    """
+    path, own = scratch_path(spark, "tokens"), L.stateful(spark)
+    c = load(own, sf_dir, "conversations").where("role = 'assistant'")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    t = c.select(F.col("conv_id").cast("string").alias("session"), "turn", (F.col("conv_id") * 1000 + F.col("turn") * 10 + 1000).cast("double").alias("ts"), F.size(words).alias("n"), (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.posexplode(words).alias("_seq", "w"))
+    t = t.select("session", "turn", "_seq", F.concat("w", F.lit(" ")).alias("token"), ((F.col("_seq") == F.col("n") - 1) & (F.col("k") % 3 > 0)).alias("last"), "ts")
+    # A session long after all others takes the watermark past the idle replies.
+    end = own.range(1).select(F.lit("~").alias("session"), F.lit(0).cast("bigint").alias("turn"), F.lit(0).alias("_seq"), F.lit("").alias("token"), F.lit(True).alias("last"), F.lit(1e9).alias("ts"))
+    stream = L.stream_segments(replay(own, t.unionByName(end), ["ts", "session", "turn", "_seq"], 5, path), idle_ms=60_000, late="10 seconds")
+    out = _drained(stream, path)
+    rows = spark.read.schema(out.schema).parquet(f"{path}/out")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda r: r["sentence"])
+    return rows.groupBy("session", "turn").agg(F.array_join(ordered, " ").alias("reply"))
 
 
 @query("SELECT conv_id || '-' || turn AS id, md5(text) AS text_md5, CAST(conv_id AS VARCHAR) AS session, CAST(turn AS VARCHAR) AS turn FROM conversations WHERE role = 'user'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,26 +22,66 @@ def _in_order(rows: Iterator[pd.DataFrame]):
     return list(pd.concat(got).sort_values("seq", kind="stable").itertuples(index=False)) if got else []
 
 
-#: How long the state of a session or reply is kept without news. None keeps it for good, as a query that ends when its
-#: input does must: expiry follows the clock, and a clock never runs out of batches.
+#: How long a session or reply lasts without news, by event time. None keeps it for good.
 IDLE_MS = 24 * 3600 * 1000
+#: How late a row may come, by event time. The engine drops late rows by the watermark of the batch before the last.
+LATE = "10 minutes"
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store that stateful processors need; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
+class _Idle:
+    """The event-time timer of a key: it stands at the last news plus the idle time."""
+
+    def __init__(self, handle: StatefulProcessorHandle, idle_ms: int | None):
+        self.handle, self.idle_ms = handle, idle_ms
+
+    def move(self, before: float | None, now: float | None) -> None:
+        """From the timer after ``before`` seconds to the one after ``now``."""
+        if self.idle_ms is None or before == now:
+            return
+        if before is not None:
+            self.handle.deleteTimer(self.at(before))
+        if now is not None:
+            self.handle.registerTimer(self.at(now))
+
+    def at(self, ts: float) -> int:
+        return int(ts * 1000) + self.idle_ms
+
+    def over(self, last: float, ts: float) -> bool:
+        return self.idle_ms is not None and ts * 1000 > last * 1000 + self.idle_ms
 
 
 class SessionFold(StatefulProcessor):
-    """Running sums of one session; a row each time a turn ends. Rows of a batch are folded in ``_seq`` order."""
+    """Running sums of one session; a row each time a turn ends. Rows of a batch are folded in ``_seq`` order.
+
+    A session without news for the idle time is over: its state goes when the watermark
+    passes, and a row that comes later starts a new one, whether or not it had gone by then.
+    """
 
     def __init__(self, idle_ms: int | None = IDLE_MS):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", _STATE, self.idle_ms)
+        self.state = handle.getValueState("session", _STATE)
+        self.idle = _Idle(handle, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = (0, 0, 0.0, 0, 0.0, None, None, 0.0)
         held = self.state.get() if self.state.exists() else None
-        turns, heard, heard_ms, answered, answered_ms, intent, accent, ts = held if held else (0, 0, 0.0, 0, 0.0, None, None, 0.0)
+        turns, heard, heard_ms, answered, answered_ms, intent, accent, ts = held or fresh
+        before = ts if held else None
         out = []
         for r in _in_order(rows):
             if pd.notna(r.ts):
+                if ts and self.idle.over(ts, r.ts):
+                    turns, heard, heard_ms, answered, answered_ms, intent, accent, ts = fresh
                 ts = max(ts, r.ts)
             if r.event == "listen.end" and pd.notna(r.ms):
                 heard, heard_ms = heard + 1, heard_ms + r.ms
@@ -55,52 +95,84 @@ class SessionFold(StatefulProcessor):
                 turns += 1
                 out.append((key[0], ts, turns, heard_ms / heard / 1000 if heard else None, answered_ms / answered if answered else None, intent, accent))
         self.state.update((turns, heard, heard_ms, answered, answered_ms, intent, accent, ts))
+        self.idle.move(before, ts)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def stream_session_features(trace: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def _timed(rows: DataFrame, idle_ms: int | None, late: str) -> tuple[DataFrame, str]:
+    """Rows with a watermark on ``ts`` where state is to expire, and the time mode."""
+    return (rows.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late), "EventTime") if idle_ms else (rows, "None")
+
+
+def stream_session_features(trace: DataFrame, idle_ms: int | None = IDLE_MS, late: str = LATE) -> DataFrame:
     """The batch operator's twin over a stream of trace rows (session, event, ts, ms, response_ms, intent, accent, _seq).
 
-    State is one row a session, and goes after ``idle_ms`` without news. Rows of an earlier ``_seq`` that arrive in a later
-    micro-batch are folded when they arrive.
+    State is one row a session. With ``idle_ms``, time is event time: rows later than the
+    watermark are dropped, and a session without news for that long is over (see ``SessionFold``).
+    Rows of an earlier ``_seq`` that arrive in a later micro-batch are folded when they arrive.
     """
     rows = trace.where(F.col("session").isNotNull() & (F.col("session") != "") & F.col("event").isNotNull())
-    return rows.withColumnRenamed("_seq", "seq").groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(idle_ms), outputStructType=FEATURES, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
+    rows, mode = _timed(rows.withColumnRenamed("_seq", "seq"), idle_ms, late)
+    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=SessionFold(idle_ms), outputStructType=FEATURES, outputMode="Append", timeMode=mode)
+
+
+SENTENCES = "session string, turn long, n long, sentence string"
 
 
 class TokenSegmenter(StatefulProcessor):
-    """Sentences of a growing reply as soon as they are certain; the rest when its end arrives."""
+    """Sentences of a growing reply as soon as they are certain; the rest when its end arrives, or when it has been idle."""
 
     def __init__(self, idle_ms: int | None = IDLE_MS):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("reply", "text string, n long", self.idle_ms)
+        self.state = handle.getValueState("reply", "text string, n long, ts double")
+        self.idle = _Idle(handle, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        text, n = self.state.get() if self.state.exists() else ("", 0)
+        text, n, before = self.state.get() if self.state.exists() else ("", 0, None)
         got = _in_order(rows)
         over = any(r.last for r in got)
+        now = max([r.ts for r in got if pd.notna(r.ts)] + ([] if before is None else [before]), default=None) if self.idle_ms else None
         found, rest = split_sentences((text or "") + "".join(r.token or "" for r in got), over)
-        out = [(*key, i, s) for i, s in enumerate(found, n)]
         if over:
             self.state.clear()
         else:
-            self.state.update((rest, n + len(found)))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "turn", "n", "sentence"])
+            self.state.update((rest, n + len(found), now))
+        self.idle.move(before, None if over else now)
+        yield from self._rows(key, found, n)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            text, n, _ = self.state.get()
+            self.state.clear()
+            yield from self._rows(key, split_sentences(text or "", True)[0], n)
+
+    @staticmethod
+    def _rows(key, found: list[str], n: int) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame([(*key, i, s) for i, s in enumerate(found, n)], columns=["session", "turn", "n", "sentence"])
 
     def close(self) -> None:
         pass
 
 
-def stream_segments(tokens: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """(session, turn, n, sentence) of a stream of tokens (session, turn, _seq, token, last); a reply that stops without its last token is forgotten after ``idle_ms``."""
-    return tokens.withColumnRenamed("_seq", "seq").groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(idle_ms), outputStructType="session string, turn long, n long, sentence string", outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
+def stream_segments(tokens: DataFrame, idle_ms: int | None = IDLE_MS, late: str = LATE) -> DataFrame:
+    """(session, turn, n, sentence) of a stream of tokens (session, turn, _seq, token, last, and with ``idle_ms`` ts).
+
+    A reply without news for ``idle_ms`` of event time is taken as it is: its rest is the last
+    sentence. Tokens later than the watermark are dropped; later ones start a new reply.
+    """
+    rows, mode = _timed(tokens.withColumnRenamed("_seq", "seq"), idle_ms, late)
+    return rows.groupBy("session", "turn").transformWithStateInPandas(statefulProcessor=TokenSegmenter(idle_ms), outputStructType=SENTENCES, outputMode="Append", timeMode=mode)
 
 
 def stream_sliding_ratio(rows: DataFrame, ts: str, bad: Column, total: Column, window: str, slide: str, late: str = "10 minutes") -> DataFrame:
