@@ -15,9 +15,11 @@ from ..operators import retrieval as R
 from ..operators import trace as T
 from ..operators.positions import zip_rows
 from ..session import scratch_path
+from ..sources import bundle as B
 from ..sources import files as S
 from ..sources.replay import replay
 from ..streaming import sessions as L
+from ..streaming.tables import OnlineTable, trace_sink
 from . import features as _features_first  # noqa: F401  (its SQL is used here)
 from .catalog import ORACLE, query, tidy
 from .tables import TRACE_SQL, events, load, trace
@@ -112,14 +114,58 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY user_id")
 def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three micro-batches of events upserted into a keyed table; the latest of each key is there."""
-    path = scratch_path(spark, "online")
+    """Three micro-batches of events upserted into a keyed table, the second one twice; the latest of each key is there."""
     e = load(spark, sf_dir, "events").select("user_id", "value", F.struct("ts", "event_id").alias("at"))
-    write = L.upsert_parquet(path, "user_id", "at")
+    table = OnlineTable(spark, scratch_path(spark, "online"), "user_id", e.schema)
     day = F.dayofmonth("at.ts")
-    for i, part in enumerate((day <= 10, (day > 10) & (day <= 20), day > 20)):
-        write(e.where(part), i)
-    return tidy(spark.read.parquet(f"{path}/v2").select("user_id", "value"))
+    for i, part in ((0, day <= 10), (1, (day > 10) & (day <= 20)), (1, day <= 10), (2, day > 20)):
+        table.upsert(e.where(part), i, "at")
+    return tidy(table.rows().select("user_id", "value"))
+
+
+@query(f"WITH {TRACE_SQL} SELECT regexp_replace(event, '\\.end$', '') AS name, session, turn, seq, round(coalesce(ms, 0), 6) AS ms, 'None' AS span FROM trace WHERE event LIKE '%.end'")
+def trace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace streamed to a sink in four batches, the last of which is written again: the exporter's form of its end rows."""
+    path = scratch_path(spark, "sink")
+    rows = trace(spark, sf_dir).select("session", "turn", "event", F.col("_seq").alias("seq"), "ms", F.lit(None).cast("string").alias("span"))
+    sink = trace_sink(f"{path}/out", exporter=True)
+    # Each batch is written twice, as after a failure between the sink's commit and the stream's.
+    stream = replay(spark, rows, ["seq"], 4, path)
+    q = stream.writeStream.foreachBatch(lambda batch, i: (sink(batch, i), sink(batch, i)) and None).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(1800)
+    q.stop()
+    return tidy(spark.read.schema("name string, session string, turn long, seq long, ms double, span string").json(f"{path}/out").drop("batch"))
+
+
+@query("SELECT CAST(doc_id // 100 AS VARCHAR) || '/' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents")
+def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of every document as a file, copied and hashed by the executors; its manifest."""
+    path = scratch_path(spark, "bundle-files")
+    _document_files(spark, sf_dir, f"{path}/source").write.format("noop").mode("overwrite").save()
+    return B.write_bundle(spark, f"{path}/source", f"{path}/bundle", {"name": "documents", "version": "1"})
+
+
+def _document_files(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    name = F.concat(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return B.write_files(d.select(name.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root)
+
+
+@query("SELECT CAST(doc_id // 100 AS VARCHAR) || '/' || doc_id || '.txt' AS path, unnest(CASE WHEN doc_id % 50 = 0 THEN ['checksum mismatch', 'size mismatch'] ELSE ['checksum mismatch'] END) AS problem FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'extra.bin', 'unlisted file'")
+def bundle_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished bundle of every document is whole; then every tenth file is damaged, every fiftieth in size too, and one is added."""
+    path = scratch_path(spark, "bundle-damage")
+    _document_files(spark, sf_dir, f"{path}/source").write.format("noop").mode("overwrite").save()
+    files = B.write_bundle(spark, f"{path}/source", f"{path}/bundle", {"name": "documents", "version": "1"})
+    whole = B.verify_bundle(spark, f"{path}/bundle")
+    before = whole.count()
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    bad = F.concat(F.repeat(F.lit("\u0000"), F.col("size").cast("int")), F.when(number % 50 == 0, "x").otherwise(""))
+    damaged = files.where(number % 10 == 0).select("path", bad.cast("binary").alias("content"))
+    extra = spark.range(1).select(F.lit("extra.bin").alias("path"), F.lit("x").cast("binary").alias("content"))
+    B.write_files(damaged.unionByName(extra), f"{path}/bundle/files").write.format("noop").mode("overwrite").save()
+    found = B.verify_bundle(spark, f"{path}/bundle")
+    return found if not before else found.withColumn("problem", F.lit("not whole before"))
 
 
 @query(
