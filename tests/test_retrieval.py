@@ -137,3 +137,16 @@ def test_what_a_newer_production_retired_stays_retired(spark):
 def test_newest_first(spark):
     a = spark.createDataFrame([("b", "1", 5.0), ("a", "2", 5.0), ("a", "1", 5.0), ("c", "1", 9.0)], "name string, version string, created_at double")
     assert [(r.name, r.version) for r in G.newest_first(a).orderBy("rank").collect()] == [("c", "1"), ("a", "1"), ("a", "2"), ("b", "1")]
+
+
+def test_grams_inside_tasks_equal_the_column_function(spark, sf_dir, monkeypatch):
+    c = R.chunk_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    odd = spark.createDataFrame([("x:1-1", None), ("y:1-1", "İstanbul K_ÄÖ a_b  a_b"), ("z:1-1", "")], "chunk_id string, text string")
+    c = c.select("chunk_id", "text").unionByName(odd)
+    want = {(r.gram, r.n) for r in R.postings(c).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    got = R.gram_frequencies(c).collect()
+    assert {(r.gram, r.df) for r in got} == want and {r.n for r in got} == {c.count()}
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    quick = {tuple(r) for r in R.rare_postings(c, q).collect()}
+    monkeypatch.setattr(R, "BROADCAST_GRAMS", 0)
+    assert quick == {tuple(r) for r in R.rare_postings(c, q).collect()} and quick

@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..functions import vector as V
+from ..functions.grams import count_grams, find_grams
+from ..session import scratch_path
 
 # Defaults of the retriever, entity patterns, sentence-initial words that name nothing.
 CHUNK_LINES, OVERLAP = 20, 4
@@ -47,15 +49,15 @@ def chunk_lines(docs: DataFrame, lines: int = CHUNK_LINES, overlap: int = OVERLA
     if overlap < 0 or overlap >= lines:
         raise ValueError("overlap must be at least 0 and less than lines")
     step = lines - overlap
-    found = X.lines(F.col(text_col))
-    found = F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    # The lines are split once a document, whatever reads them.
+    found = X.once(lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x), X.lines(F.col(text_col)))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("document_id"), found.alias("l"))
     n = F.size("l")
     last = F.greatest(F.ceil((n - lines) / step), F.lit(0)).cast("int")
-    starts = rows.where(n > 0).select("document_id", "l", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    starts = rows.select("document_id", "l", F.explode(F.when(n > 0, F.sequence(F.lit(0), last))).alias("k"))
     start = F.col("k") * step
     cut = starts.select("document_id", (start + 1).alias("start_line"), F.least(start + lines, n).alias("end_line"), F.array_join(F.slice("l", start + 1, F.lit(lines)), "\n").alias("text"))
-    cut = cut.where(X.strip(F.col("text")) != "")
+    cut = cut.where(F.col("text").rlike(r"(?U)\S"))
     return cut.select(F.concat(F.col("document_id"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("chunk_id"), "document_id", "start_line", "end_line", "text")
 
 
@@ -65,9 +67,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def gram_frequencies(chunks: DataFrame) -> DataFrame:
-    """(gram, df, n): chunks that have each gram, of n chunks, in one pass: every chunk also counts under a null gram."""
-    own = F.concat(F.array_distinct(X.grams(F.col("text"))), F.array(F.lit(None).cast("string")))
-    df = chunks.select(F.explode(own).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    """(gram, df, n): chunks that have each gram, of n chunks, in one pass. Grams are counted inside the tasks, before any row of them is made."""
+    path = scratch_path(chunks.sparkSession, "gram-counts")
+    counted = chunks.select("text").mapInArrow(count_grams, "gram string, n long")
+    counted.groupBy("gram").agg(F.sum("n").alias("df")).write.parquet(path)
+    df = chunks.sparkSession.read.schema("gram string, df long").parquet(path)
     return df.where("gram is not null").withColumn("n", F.coalesce(df.where("gram is null").agg(F.max("df")).scalar(), F.lit(0)))
 
 
@@ -80,16 +84,28 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
     """(query_id, gram, chunk_id, df, n): matches of the queries' rare and informative grams.
 
     Only grams of the query set leave the chunks, and each gram's document frequency is
-    counted before any pair is made; a gram in more chunks than the limit makes none.
+    counted before any pair is made; a gram in more chunks than the limit makes none. The
+    query set's grams travel to the chunks, which are read once; more of them than
+    BROADCAST_GRAMS are joined by a shuffle.
     """
+    spark = chunks.sparkSession
+    path = scratch_path(spark, "gram-hits")
     asked = queries.select("query_id", F.explode(F.array_distinct(X.grams(F.col("text")))).alias("gram")).where(X.informative(F.col("gram")))
-    # Repeats go after the semi-join, when few rows are left; both uses below share that shuffle.
-    every = chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
-    wanted = asked.select("gram").distinct()
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else wanted
-    held = every.join(wanted, "gram", "left_semi").distinct()
+    asked.write.parquet(f"{path}/asked")
+    asked = spark.read.schema(asked.schema).parquet(f"{path}/asked")
+    some = asked.select("gram").distinct().limit(BROADCAST_GRAMS + 1).collect()
+    if len(some) <= BROADCAST_GRAMS:
+        wanted = spark.sparkContext.broadcast(frozenset(r.gram for r in some))
+        kind = chunks.schema["chunk_id"].dataType.simpleString()
+        chunks.select("chunk_id", "text").mapInArrow(find_grams(wanted), f"id {kind}, gram string").write.parquet(f"{path}/hits")
+        hits = spark.read.schema(f"id {kind}, gram string").parquet(f"{path}/hits").withColumnRenamed("id", "chunk_id")
+        held, n = hits.where("gram is not null"), count_of(hits.where("gram is null"))
+    else:
+        # Repeats go after the semi-join, when few rows are left; both uses below share that shuffle.
+        every = chunks.select("chunk_id", F.explode(X.grams(F.col("text"))).alias("gram"))
+        held, n = every.join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), count_of(chunks)
     limit = F.greatest(F.lit(1), F.least(F.lit(max_df), F.floor(F.col("n") * fraction)))
-    df = held.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", count_of(chunks)).where(F.col("df") <= limit)
+    df = held.groupBy("gram").agg(F.count("*").alias("df")).withColumn("n", n).where(F.col("df") <= limit)
     return asked.join(df, "gram").join(held, "gram")
 
 
