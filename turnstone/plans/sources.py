@@ -525,6 +525,56 @@ def trailing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(e.select("user_id", "event_id", F.count("*").over(week).alias("n_7d"), F.avg("value").over(week).alias("mean_7d"), F.percentile("value", 0.95).over(day).alias("p95_24h")))
 
 
+_SPEAKER = """
+sp AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, epoch(ts) AS event_ts, event_id, (event_type = 'error')::INT AS errors, 1 + event_id % 3 AS n_ref, event_type <> 'error' AS exact, (event_type = 'signup')::INT AS fixed FROM events),
+spf AS (SELECT entity_id, event_ts, sum(errors) OVER w / sum(n_ref) OVER w AS wer_7d, avg(exact::INT) OVER w AS exact_match_rate_7d, CAST(sum(fixed) OVER w AS BIGINT) AS wake_word_corrections_7d FROM sp
+  WINDOW w AS (PARTITION BY entity_id ORDER BY event_ts RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW))
+"""
+_DEVICE = """
+dv AS (SELECT CAST(user_id % 40 AS VARCHAR) AS entity_id, epoch(ts) AS event_ts, CASE WHEN event_type = 'signup' THEN '1.' || event_id END AS version, CASE WHEN event_type = 'error' THEN value END AS ttfa FROM events),
+dvf AS (SELECT entity_id, event_ts, last_value(version IGNORE NULLS) OVER b AS edge_bundle_version, quantile_cont(ttfa, 0.95) OVER d AS p95_ttfa_ms_24h FROM dv
+  WINDOW b AS (PARTITION BY entity_id ORDER BY event_ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY entity_id ORDER BY event_ts RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
+"""
+
+
+def _speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, kind = events(spark, sf_dir), F.col("event_type")
+    return O.speaker_features(e.select(F.col("user_id").alias("speaker"), F.col("sec").alias("event_ts"), (kind == "error").cast("int").alias("errors"), (1 + F.col("event_id") % 3).alias("n_ref"), (kind != "error").alias("exact"), (kind == "signup").cast("int").alias("corrections")))
+
+
+def _device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, kind = events(spark, sf_dir), F.col("event_type")
+    return O.device_features(e.select((F.col("user_id") % 40).alias("device"), F.col("sec").alias("event_ts"), F.when(kind == "signup", F.concat(F.lit("1."), F.col("event_id").cast("string"))).alias("bundle_version"), F.when(kind == "error", F.col("value")).alias("ttfa_ms")))
+
+
+@query(f"WITH {_SPEAKER} SELECT entity_id, round(event_ts, 6) AS event_ts, round(wer_7d, 6) AS wer_7d, round(exact_match_rate_7d, 6) AS exact_match_rate_7d, wake_word_corrections_7d FROM spf")
+def speaker_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven-day quality of each speaker, as the catalogue declares it."""
+    return tidy(_speaker(spark, sf_dir).select(*O.DEFAULT_VIEWS["speaker_features"].schema.names))
+
+
+@query(f"WITH {_DEVICE} SELECT entity_id, round(event_ts, 6) AS event_ts, edge_bundle_version, round(p95_ttfa_ms_24h, 6) AS p95_ttfa_ms_24h FROM dvf")
+def device_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-day latency and installed version of each device, as the catalogue declares it."""
+    return tidy(_device(spark, sf_dir).select(*O.DEFAULT_VIEWS["device_features"].schema.names))
+
+
+@query(
+    f"""WITH {_SPEAKER}, {_DEVICE}, v AS (SELECT 'speaker_features' AS name, 'speaker' AS entity, 604800.0::DOUBLE AS ttl_s, entity_id, event_ts FROM spf UNION ALL SELECT 'device_features', 'device', 86400.0, entity_id, event_ts FROM dvf),
+l AS (SELECT name, entity, ttl_s, entity_id, max(event_ts) AS last_ts FROM v GROUP BY ALL)
+SELECT name, entity, ttl_s, count(*) AS entities, count(CASE WHEN (SELECT max(epoch(ts)) FROM events) - 43200 - last_ts <= ttl_s THEN 1 END) AS valid FROM l GROUP BY ALL"""
+)
+def view_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each view of the catalogue that was made: its entities, and those whose last row is valid half a day before the last event."""
+    made = None
+    for name, rows in (("speaker_features", _speaker(spark, sf_dir)), ("device_features", _device(spark, sf_dir))):
+        last = rows.groupBy("entity_id").agg(F.max("event_ts").alias("last_ts")).withColumn("name", F.lit(name))
+        made = last if made is None else made.unionByName(last)
+    now = events(spark, sf_dir).agg(F.max("sec")).scalar() - 43200
+    valid = F.count_if(now - F.col("last_ts") <= F.col("ttl_s"))
+    return O.DEFAULT_VIEWS.table(spark).drop("ddl").join(made, "name").groupBy("name", "entity", "ttl_s").agg(F.count("*").alias("entities"), valid.alias("valid"))
+
+
 _FEAST = "('device_features', 'device', 86400.0), ('session_features', 'session', 3600.0), ('speaker_features', 'speaker', 604800.0)"
 
 

@@ -50,7 +50,19 @@ def strip_markdown_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_markdown_retrieval(F.col("text"))).alias("text_md5"))
 
 
-@query()
+#: The training clean-up; paired emphasis is spelled out marker by marker, since these patterns know no back references.
+_SFT_STEPS = "{t}"
+for _pattern, _by in (
+    ("(?s)```.*?```", " "), ("`([^`]*)`", "\\1"), ("(?m)^\\s{0,3}#{1,6}\\s*", ""), ("(?m)^\\s*(?:[-*+]|\\d+[.)])\\s+", ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"),
+    ("\\*\\*(\\S(?:.*?\\S)??)\\*\\*|__(\\S(?:.*?\\S)??)__|\\*(\\S(?:.*?\\S)??)\\*|_(\\S(?:.*?\\S)??)_", "\\1\\2\\3\\4"),
+):
+    _SFT_STEPS = f"regexp_replace({_SFT_STEPS}, '{_pattern.replace('{', '{{').replace('}', '}}')}', '{_by}', 'g')"
+_TRIMMED = r"regexp_replace(regexp_replace(l, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_SFT = "array_to_string(list_filter(list_transform(regexp_split_to_array(" + _SFT_STEPS + r", '\r\n|[\n\r]'), lambda l: " + _TRIMMED + "), lambda l: l <> ''), ' ')"
+_SPOKEN = r"(len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')) <= 60 AND " + _SFT + r" = regexp_replace(regexp_replace(replace({t}, chr(10), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
+
+
+@query("SELECT doc_id, md5(" + _SFT.format(t="text") + ") AS text_md5, " + _SPOKEN.format(t="text") + " AS spoken FROM documents")
 def strip_markdown_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_markdown_training(F.col("text"))).alias("text_md5"), X.is_spoken_training(F.col("text")).alias("spoken"))
 
@@ -110,14 +122,13 @@ def records_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-WITH m AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, arg_min(role, turn) AS first_role, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN first_role = 'system' THEN roles ELSE 'system,' || roles END AS roles, CAST(CASE WHEN first_role = 'system' THEN n ELSE n + 1 END AS BIGINT) AS n FROM m
-"""
+    "WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN " + _SFT.format(t="text") + " ELSE text END AS content FROM conversations), "
+    "m AS (SELECT conv_id, string_agg(role || ':' || md5(content), ',' ORDER BY turn) AS said, arg_min(role, turn) AS first_role, count(*) AS n FROM t GROUP BY conv_id) "
+    f"SELECT conv_id, CASE WHEN first_role = 'system' THEN said ELSE 'system:' || md5('{C.SPOKEN_PROMPT}') || ',' || said END AS said, CAST(CASE WHEN first_role = 'system' THEN n ELSE n + 1 END AS BIGINT) AS n FROM m"
 )
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = C.chat_messages(load(spark, sf_dir, "conversations"))
-    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"), F.size("messages").cast("bigint").alias("n"))
+    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["content"]))), ",").alias("said"), F.size("messages").cast("bigint").alias("n"))
 
 
 @query(
@@ -214,7 +225,16 @@ def pairs_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.build_pairs(_scored(spark, sf_dir), styled).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query()
+_WORDS_SQL = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    _STYLED
+    + ", w AS (SELECT "
+    + _WORDS_SQL.format(t="chosen") + " AS c, " + _WORDS_SQL.format(t="rejected") + " AS r, " + _SPOKEN.format(t="chosen") + " AS sc, " + _SPOKEN.format(t="rejected") + " AS sr FROM p) "
+    + "SELECT count(*) AS n, round(avg(c), 6) AS mean_chosen_words, round(avg(r), 6) AS mean_rejected_words, round(avg((c < r)::INT), 6) AS chosen_shorter_fraction, "
+    + "round(avg(sc::INT), 6) AS chosen_spoken_fraction, round(avg(sr::INT), 6) AS rejected_spoken_fraction FROM w"
+)
 def preference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(C.preference_stats(_styled(spark, sf_dir)))
 
@@ -247,7 +267,7 @@ _GATES = (E.Gate("error.mean", max=60.0), E.Gate("view.mean", min=10.0), E.Gate(
 def _month(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
     e = load(spark, sf_dir, "events").where((F.dayofmonth("ts") <= 15) == F.lit(half == 1))
     by = e.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n"))
-    return by.select("name", F.create_map(F.lit("mean"), F.col("mean"), F.lit("n"), F.col("n")).alias("metrics"), F.hash("name").alias("ord"))
+    return by.select("name", F.create_map(F.lit("mean"), F.col("mean"), F.lit("n"), F.col("n")).alias("metrics"), F.col("name").alias("ord"))
 
 
 _METRICS = "m{h} AS (SELECT event_type || '.mean' AS metric, avg(value) AS value FROM events WHERE (day(ts) <= 15) = {b} GROUP BY event_type UNION ALL SELECT event_type || '.n', count(*)::DOUBLE FROM events WHERE (day(ts) <= 15) = {b} GROUP BY event_type)"
@@ -265,10 +285,14 @@ def gate_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(E.evaluate_gates(E.gate_table(spark, _GATES), m), "metric", "value", "reason", "passed")
 
 
-@query("WITH " + _METRICS.format(h=1, b="true") + " SELECT metric, round(value, 6) AS value FROM m1")
+@query(
+    "WITH "
+    + _METRICS.format(h=1, b="true")
+    + ", bare AS (SELECT string_split(metric, '.')[2] AS metric, arg_max(value, string_split(metric, '.')[1]) AS value FROM m1 GROUP BY 1) SELECT metric, round(value, 6) AS value FROM (SELECT * FROM m1 UNION ALL SELECT * FROM bare)"
+)
 def metrics_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefixed metrics only: bare ones depend on the order of results."""
-    return tidy(E.flatten_metrics(_month(spark, sf_dir, 1)).where(F.contains("metric", F.lit("."))))
+    """Prefixed metrics, and bare ones: of several results with a metric the last, by name."""
+    return tidy(E.flatten_metrics(_month(spark, sf_dir, 1)))
 
 
 @query(
@@ -367,6 +391,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.posexplode(U.segments("text")).alias("n", "sentence")).withColumn("n", F.col("n").cast("bigint"))
 
 
-@query(r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '(.+?[.!?]+)(?:\s+|$)')) AS BIGINT) AS n FROM conversations")
+@query(r"WITH s AS (SELECT conv_id, turn, regexp_extract_all(text, '(.+?[.!?]+)(?:\s+|$)', 1) AS found FROM conversations) SELECT conv_id, turn, CAST(len(found) AS BIGINT) AS n, array_to_string(found, '|') AS sentences FROM s")
 def edge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.edge_segments(F.col("text"))).cast("bigint").alias("n"))
+    found = load(spark, sf_dir, "conversations").select("conv_id", "turn", X.edge_segments(F.col("text")).alias("found"))
+    return found.select("conv_id", "turn", F.size("found").cast("bigint").alias("n"), F.array_join("found", "|").alias("sentences"))
