@@ -17,6 +17,7 @@ from ..operators.positions import zip_rows
 from ..session import scratch_path
 from ..sources import bundle as B
 from ..sources import files as S
+from ..sources.events import read_events
 from ..sources.replay import replay
 from ..streaming import sessions as L
 from ..streaming.tables import OnlineTable, trace_sink
@@ -123,6 +124,16 @@ def online_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(table.rows().select("user_id", "value"))
 
 
+@query("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, streamed from this library's own source in batches of a tenth of the files' bytes."""
+    path = scratch_path(spark, "events")
+    load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").repartition(4).write.json(f"{path}/in")
+    size = spark.read.format("binaryFile").load(f"{path}/in").agg(F.sum("length").alias("n")).first().n
+    stream = read_events(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", streaming=True, per_batch=max(1, size // 10))
+    return tidy(_drained(stream, path))
+
+
 @query(f"WITH {TRACE_SQL} SELECT regexp_replace(event, '\\.end$', '') AS name, session, turn, seq, round(coalesce(ms, 0), 6) AS ms, 'None' AS span FROM trace WHERE event LIKE '%.end'")
 def trace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace streamed to a sink in four batches, the last of which is written again: the exporter's form of its end rows."""

@@ -48,9 +48,11 @@ def trace_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("response_ms", get("response_ms", "double")).withColumn("intent", get("intent", "string")).withColumn("accent", get("accent", "string")).withColumn("error", get("error", "string"))
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str = TRACE, bounded: bool = False) -> DataFrame:
-    """JSON values of a topic from its start: a stream, or what is there now. Needs Spark's Kafka package."""
-    reader = (spark.read if bounded else spark.readStream).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str = TRACE, bounded: bool = False, fmt: str = "kafka", **options: str) -> DataFrame:
+    """JSON values of a topic from its start: a stream, or what is there now. Needs Spark's Kafka package, or another source of ``value`` by ``fmt``."""
+    reader = (spark.read if bounded else spark.readStream).format(fmt).option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+    for k, v in options.items():
+        reader = reader.option(k, v)
     return reader.load().select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
 
 
