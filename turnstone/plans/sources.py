@@ -131,7 +131,7 @@ def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").repartition(4).write.json(f"{path}/in")
     size = spark.read.format("binaryFile").load(f"{path}/in").agg(F.sum("length").alias("n")).first().n
     stream = read_events(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", streaming=True, per_batch=max(1, size // 10))
-    return tidy(_drained(stream, path))
+    return tidy(_drained(stream, path, offsets=False))
 
 
 @query(f"WITH {TRACE_SQL} SELECT regexp_replace(event, '\\.end$', '') AS name, session, turn, seq, round(coalesce(ms, 0), 6) AS ms, 'None' AS span FROM trace WHERE event LIKE '%.end'")
@@ -193,11 +193,15 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("session", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
-def _drained(stream: DataFrame, path: str) -> DataFrame:
-    """The rows that a stream appends until its input ends."""
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+def _drained(stream: DataFrame, path: str, offsets: bool = True) -> DataFrame:
+    """The rows that a stream appends until its input ends; without ``offsets`` that a trigger may plan ahead, until it is idle."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state")
+    q = (writer.trigger(availableNow=True) if offsets else writer).start(f"{path}/out")
     try:
-        q.awaitTermination(1800)
+        if offsets:
+            q.awaitTermination(1800)
+        else:
+            q.processAllAvailable()
         if q.exception():
             raise q.exception()
     finally:
