@@ -383,3 +383,35 @@ def test_class_words_inside_articles_and_text_beside_them_on_small_hosts():
         assert part in got
     for part in ("Menu", "Terms", "End"):
         assert part not in got
+
+
+def test_many_languages_take_machines_in_proportion():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = {f"x{k:03}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(90)} | {"de": ["der", "und", "nicht"], "en": ["the", "and", "not"]}
+    text = lambda code: " ".join(rng.choice(made[code]) for _ in range(30))
+    model = L.fit_texts([(text(c), c) for c in made for _ in range(4)])
+    # One versus one over all would be 4,000 machines.
+    assert model.machines() <= 8 * len(made)
+    assert sum(model.predict(text(c))[0] == c for c in made for _ in range(3)) >= 0.95 * 3 * len(made)
+
+
+def test_two_levels_against_a_plain_vote():
+    """Family first, then its languages: every decision is the majority of its machines' signs."""
+    texts = {"de": "der hund und die katze nicht", "en": "the dog and the cat not", "sv": "och hunden inte katten", "fr": "le chien et le chat pas", "es": "el perro y el gato no", "ru": "собака и кошка не"}
+    rng = random.Random(2)
+    rows = [(" ".join(rng.sample(t.split(), 4)), c) for c, t in texts.items() for _ in range(8)]
+    model = L.fit_texts(rows)
+    assert not model.family.below and set(model.languages) == {"germanic", "romance", "slavic"}
+    for t, _ in rows + [("katze cat katten", "?"), ("perro chien", "?")]:
+        x, names = L.features(t), []
+        for level in (model.family.level, None):
+            level = level or model.languages[names[0]].level
+            wins, sums = Counter(), Counter()
+            for (a, b), w in zip(level.pairs, level.weights):
+                m = float(np.dot(w[:-1], x) + w[-1])
+                wins[level.classes[a if m > 0 else b]] += 1
+                sums[level.classes[a]] += m
+                sums[level.classes[b]] -= m
+            names.append(max(level.classes, key=lambda c: (wins[c], sums[c])) if level.pairs else level.classes[0])
+        assert model.predict(t)[0] == names[1]

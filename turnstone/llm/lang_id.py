@@ -2,7 +2,9 @@
 
 A text becomes a vector of hashed byte n-grams. One-versus-one linear support vector
 machines first vote for a language family; those of the family then separate its closely
-related languages.
+related languages. Where a decision has many classes, groups of classes that lie near each
+other are decided first, so that the number of machines follows the number of languages,
+not its square.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ ROWS_PER_LANGUAGE, ROWS = 800, 3200
 #: Hash buckets of the n-grams; bytes worked on at a time.
 DIM, SLICE = 1 << 12, 1 << 16
 
+#: Classes up to which a decision is taken one versus one; more are first cut into so many groups.
+PAIRWISE, GROUPS = 16, 8
+
 #: Families by language code; a code that isn't listed is a family of its own.
 FAMILIES = {
     "baltic": ("lt", "lv"),
@@ -112,10 +117,52 @@ def _level(x: np.ndarray, names: list[str]) -> Level:
     return Level(classes, pairs, np.array(weights) if weights else np.zeros((0, x.shape[1] + 1)))
 
 
+@dataclass
+class Node:
+    """A decision, and the decisions below those of its classes that stand for several."""
+
+    level: Level
+    below: dict[str, Node]
+
+    def decide(self, x: np.ndarray) -> tuple[str, float]:
+        name, sure = self.level.decide(x)
+        if name not in self.below:
+            return name, sure
+        found, among = self.below[name].decide(x)
+        return found, sure * among
+
+    def machines(self) -> int:
+        return len(self.level.pairs) + sum(n.machines() for n in self.below.values())
+
+
+def _groups(x: np.ndarray, names: np.ndarray) -> dict[str, str]:
+    """The group of each class: classes in order along the direction in which their means differ most, cut evenly."""
+    classes = sorted(set(names.tolist()))
+    means = np.array([x[names == c].mean(axis=0) for c in classes], np.float64)
+    means -= means.mean(axis=0)
+    along = np.sin(np.arange(1, means.shape[1] + 1))
+    for _ in range(30):
+        new = means.T @ (means @ along)
+        length = np.linalg.norm(new)
+        if not length:
+            break
+        along = new / length
+    order = np.lexsort((np.arange(len(classes)), np.round(means @ along, 9)))
+    return {classes[c]: f"group {i * GROUPS // len(classes)}" for i, c in enumerate(order)}
+
+
+def _decision(x: np.ndarray, names: np.ndarray) -> Node:
+    if len(set(names.tolist())) <= PAIRWISE:
+        return Node(_level(x, names.tolist()), {})
+    group = _groups(x, names)
+    mask = np.array([group[n] for n in names])
+    return Node(_level(x, mask.tolist()), {g: _decision(x[mask == g], names[mask == g]) for g in sorted(set(group.values()))})
+
+
 @dataclass
 class Model:
-    family: Level | None
-    languages: dict[str, Level]
+    family: Node | None
+    languages: dict[str, Node]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or self.family is None or not has_letter(text):
@@ -125,16 +172,18 @@ class Model:
         language, among = self.languages[family].decide(x)
         return language, sure * among
 
+    def machines(self) -> int:
+        return sum(n.machines() for n in (*self.languages.values(), *([self.family] if self.family else [])))
+
 
 def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
     """From (features, language). Without rows every text is undetermined."""
     if not rows:
         return Model(None, {})
     x = np.array([f for f, _ in rows])
-    families = [_FAMILY.get(g, g) for _, g in rows]
-    names = np.array([g for _, g in rows])
-    mask = np.array(families)
-    return Model(_level(x, families), {f: _level(x[mask == f], names[mask == f].tolist()) for f in sorted(set(families))})
+    names = np.array([g for _, g in rows], object)
+    mask = np.array([_FAMILY.get(g, g) for g in names], object)
+    return Model(_decision(x, mask), {f: _decision(x[mask == f], names[mask == f]) for f in sorted(set(mask.tolist()))})
 
 
 def fit_texts(rows: list[tuple[str, str]]) -> Model:
@@ -180,8 +229,10 @@ def training_rows(docs: DataFrame) -> list[tuple[np.ndarray, str]]:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of every row; no shuffle.
 
-    Null texts and texts without a letter are ``und`` with score 0. Ids may be null or
-    repeat; other columns are ignored.
+    Null and empty texts, and texts without a letter, are ``und`` with score 0. Texts of any
+    length are read whole, in stretches. Ids may be null or repeat, and repeated rows stay
+    repeated; votes that tie go by the sum of margins. An empty table gives an empty
+    result. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
