@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.positions import number_rows, running_sums
 from ._util import Staging, draw, join_heavy, read, small
 
 MAX_REPEATS = 3
@@ -45,15 +46,21 @@ def _filled(cells: DataFrame, by: list[str], order: list[str], weight: str, size
     """Adds ``unit``: a cell's share of the budget is weight times unit, but at most MAX_REPEATS times its size.
 
     Cells are full in order of the unit at which they are; the unit is what the others
-    leave, over the weights still open. Null where every cell of a group is full.
+    leave, over the weights still open. Null where every cell of a group is full. A group's
+    cells, a handful of weights, meet in a window; without groups, cells of any number
+    are summed range by range.
     """
-    full_at = F.col(size) * float(MAX_REPEATS) / F.col(weight)
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    w = w.orderBy("_full", *order)
-    before = F.coalesce(F.sum(F.col(size) * float(MAX_REPEATS)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum(weight).over(w.rowsBetween(0, W.unboundedFollowing))
-    tried = cells.where(F.col(weight) > 0).withColumn("_full", full_at).withColumn("_unit", (budget - before) / open_)
+    tried = cells.where(F.col(weight) > 0).withColumn("_full", F.col(size) * float(MAX_REPEATS) / F.col(weight)).withColumn("_cap", F.col(size) * float(MAX_REPEATS))
     unit = F.min_by("_unit", "_full").alias("unit")
+    if by:
+        w = W.partitionBy(*by).orderBy("_full", *order)
+        before = F.coalesce(F.sum("_cap").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        tried = tried.withColumn("_unit", (budget - before) / F.sum(weight).over(w.rowsBetween(0, W.unboundedFollowing)))
+    else:
+        tried = running_sums(tried, ["_full", *order], [], {"_caps": "_cap", "_weights": weight})
+        total = tried.agg(F.max("_weights").alias("w")).first().w
+        before, open_ = F.col("_caps") - F.col("_cap"), F.lit(total) - F.col("_weights") + F.col(weight)
+        tried = tried.withColumn("_unit", (budget - before) / open_)
     return tried.where(F.col("_unit") <= F.col("_full")).groupBy(*by).agg(unit)
 
 
@@ -64,12 +71,13 @@ def _key(source: Column) -> Column:
 def targets(cells: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """(key, source_size, target): sources in code-point order, null last, weigh ``weights`` in turn and share all words.
 
-    One row a source meets in a window: as many as there are sources, not documents.
+    Sources are numbered and summed range by range, as there may be one for each web host.
     """
     sizes = cells.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    sizes = sizes.withColumn("at", place).withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("at") % len(weights) + 1).cast("int")))
-    sizes = sizes.withColumn("budget", F.sum("source_size").over(W.partitionBy()).cast("double"))
+    sizes = number_rows(sizes.withColumn("last", F.col("source").isNull()), ["last", "source"], column="at")
+    total = sizes.agg(F.sum("source_size").alias("n")).first().n
+    sizes = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("at") % len(weights) + 1).cast("int")))
+    sizes = sizes.withColumn("budget", F.lit(float(total or 0)))
     unit = _filled(sizes, [], ["at"], "weight", "source_size", F.col("budget")).first()
     share = F.lit(unit.unit) * F.col("weight") if unit and unit.unit is not None else F.lit(float("inf"))
     return sizes.select("key", "source_size", F.least(F.col("source_size") * float(MAX_REPEATS), share).alias("target"))
