@@ -79,3 +79,16 @@ def test_views(spark):
     with pytest.raises(KeyError):
         c["w"]
     assert [r.name for r in O.DEFAULT_VIEWS.table(spark).collect()] == ["device_features", "session_features", "speaker_features"]
+
+
+def test_feast_module_declares_every_view():
+    import ast
+
+    text = O.feast_text(O.DEFAULT_VIEWS, "data", "demo")
+    calls = {n.targets[0].id: n.value for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Assign)}
+    assert set(calls) == {"session", "speaker", "device", *O.DEFAULT_VIEWS}
+    for name, v in O.DEFAULT_VIEWS.items():
+        held = {k.arg: k.value for k in calls[name].keywords}
+        fields = [[k.value for k in f.keywords] for f in held["schema"].elts]
+        assert [f[0].value for f in fields] == v.columns.names and held["ttl"].keywords[0].value.value == v.ttl_s
+        assert held["source"].keywords[0].value.value == f"data/{name}.parquet"

@@ -11,6 +11,9 @@ from .positions import free_name, number_rows
 # Allowed moves between stages, and the kinds of a policy.
 TRANSITIONS = {"candidate": ("staging", "retired"), "staging": ("production", "retired"), "production": ("retired",), "retired": ()}
 FALLBACKS = ("degrade", "cloud", "refuse")
+# What each export target can quantize to, and the packages that its conversion needs.
+EXPORT_METHODS = {"onnx": ("int8", "none"), "gguf": ("q4_k_m", "int8", "none"), "mlx": ("int4", "int8", "none")}
+EXPORT_NEEDS = {"onnx": ("optimum", "onnx"), "gguf": ("llama_cpp", "gguf"), "mlx": ("mlx_lm",)}
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, content: str, *keep: str) -> DataFrame:
@@ -183,3 +186,46 @@ def to_tags(metrics: Column, prefix: str, **lineage: Column) -> Column:
 def metrics_from_tags(tags: Column) -> Column:
     own = F.map_filter(tags, lambda k, v: k.startswith("metric."))
     return F.transform_values(F.transform_keys(own, lambda k, v: F.substring(k, F.lit(8), F.length(k))), lambda k, v: v.cast("double"))
+
+
+def export_steps(plans: DataFrame) -> DataFrame:
+    """Adds problems, steps (name, requires) and files to export plans; nothing is exported.
+
+    A plan has base_model, target, out_dir, adapter_path, merge_adapter and method; a null
+    method is none, a null merge_adapter true. A plan with problems has no steps or files.
+    """
+    target, method = F.col("target"), F.coalesce("method", F.lit("none"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    every = sorted({m for ms in EXPORT_METHODS.values() for m in ms})
+    known = F.coalesce(target.isin(*EXPORT_METHODS), F.lit(False))
+    fits = F.lit(False)
+    for t, methods in EXPORT_METHODS.items():
+        fits = fits | (target.eqNullSafe(t) & method.isin(*methods))
+    problems = F.array(
+        F.when(empty("base_model"), "no base model"), F.when(~known, "unknown target"), F.when(~method.isin(*every), "unknown quantization"),
+        F.when(known & method.isin(*every) & ~fits, "quantization not for this target"), F.when(empty("out_dir"), "no output folder"),
+    )
+    step = lambda name, needs=(): F.struct((name if isinstance(name, Column) else F.lit(name)).alias("name"), F.array(*[F.lit(n) for n in needs]).cast("array<string>").alias("requires"))
+    merge = ~empty("adapter_path") & F.coalesce("merge_adapter", F.lit(True))
+    is_ = lambda t: target == t
+    quantized = method != "none"
+    steps = F.array(
+        step("validate"),
+        F.when(merge, step("merge_adapter", ("peft", "transformers"))),
+        *[F.when(is_(t), step(f"convert_{t}", needs)) for t, needs in EXPORT_NEEDS.items()],
+        F.when(is_("onnx") & quantized, step("quantize_int8", ("onnxruntime",))),
+        F.when(is_("gguf") & quantized, step(F.concat(F.lit("quantize_"), method), ("llama_cpp",))),
+        step("write_manifest"),
+    )
+    own = {
+        "onnx": [F.lit("model.onnx"), F.lit("config.json"), F.lit("tokenizer.json"), F.when(quantized, "model-int8.onnx")],
+        "gguf": [F.lit("model-f16.gguf"), F.when(quantized, F.concat(F.lit("model-"), method, F.lit(".gguf")))],
+        "mlx": [F.lit("weights.safetensors"), F.lit("config.json"), F.lit("tokenizer.json")],
+    }
+    files = F.lit(None).cast("array<string>")
+    for t, names in own.items():
+        files = F.when(is_(t), F.array(*names)).otherwise(files)
+    there = lambda a: F.filter(a, lambda x: x.isNotNull())
+    ok = F.size("problems") == 0
+    out = plans.withColumn("problems", there(problems))
+    return out.withColumn("steps", F.when(ok, there(steps)).otherwise(F.slice(there(steps), 1, 0))).withColumn("files", F.when(ok, there(files)).otherwise(F.array().cast("array<string>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import speech as V
 from ..functions import text as X
 from ..functions import udfs as U
 from ..operators import corpus as C
@@ -610,3 +611,46 @@ def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = load(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_partkey", F.lit(".bin")).alias("path"), F.sha2("p_name", 256).alias("sha256"), F.col("p_size").cast("long").alias("size"))
     S.write_manifest(files, path)
     return S.read_manifest(spark, path)
+
+
+_EXPORT = """
+p AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'onnx' WHEN 1 THEN 'gguf' WHEN 2 THEN 'mlx' ELSE 'tflite' END AS target, CASE s_suppkey % 5 WHEN 0 THEN 'int8' WHEN 1 THEN 'int4' WHEN 2 THEN 'q4_k_m' WHEN 3 THEN 'none' END AS m,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'adapters/' || s_suppkey END AS adapter, s_suppkey % 6 <> 0 AS merged, s_name AS base, CASE WHEN s_suppkey % 7 > 0 THEN 'out/' || s_suppkey END AS out_dir FROM supplier),
+q AS (SELECT *, coalesce(m, 'none') AS method FROM p),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN target = 'tflite' THEN 'unknown target' END, CASE WHEN (target, method) IN (('onnx', 'int4'), ('onnx', 'q4_k_m'), ('gguf', 'int4'), ('mlx', 'q4_k_m')) THEN 'quantization not for this target' END, CASE WHEN out_dir IS NULL THEN 'no output folder' END], lambda x: x IS NOT NULL), ',') AS problems FROM q)
+"""
+
+
+@query(
+    "WITH "
+    + _EXPORT
+    + """ SELECT s_suppkey, problems, CASE WHEN problems <> '' THEN '' ELSE array_to_string(list_filter(['validate()', CASE WHEN adapter IS NOT NULL AND merged THEN 'merge_adapter(peft+transformers)' END,
+CASE target WHEN 'onnx' THEN 'convert_onnx(optimum+onnx)' WHEN 'gguf' THEN 'convert_gguf(llama_cpp+gguf)' ELSE 'convert_mlx(mlx_lm)' END, CASE WHEN target = 'onnx' AND method = 'int8' THEN 'quantize_int8(onnxruntime)' WHEN target = 'gguf' AND method <> 'none' THEN 'quantize_' || method || '(llama_cpp)' END, 'write_manifest()'], lambda x: x IS NOT NULL), ' ') END AS steps,
+CASE WHEN problems <> '' THEN '' ELSE CASE target WHEN 'onnx' THEN 'model.onnx config.json tokenizer.json' || CASE WHEN method = 'int8' THEN ' model-int8.onnx' ELSE '' END WHEN 'gguf' THEN 'model-f16.gguf' || CASE WHEN method <> 'none' THEN ' model-' || method || '.gguf' ELSE '' END ELSE 'weights.safetensors config.json tokenizer.json' END END AS files FROM r"""
+)
+def export_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' models with a plan to export each: its problems, or its steps and files."""
+    k = F.col("s_suppkey")
+    pick = lambda by, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % by + 1).cast("int"))
+    plans = load(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_name").alias("base_model"), pick(4, "onnx", "gguf", "mlx", "tflite").alias("target"), pick(5, "int8", "int4", "q4_k_m", "none", None).alias("method"),
+        F.when(k % 3 == 0, F.concat(F.lit("adapters/"), k.cast("string"))).alias("adapter_path"), (k % 6 != 0).alias("merge_adapter"), F.when(k % 7 > 0, F.concat(F.lit("out/"), k.cast("string"))).alias("out_dir"),
+    )
+    shown = F.transform("steps", lambda s: F.concat(s["name"], F.lit("("), F.array_join(s["requires"], "+"), F.lit(")")))
+    return G.export_steps(plans).select("s_suppkey", F.array_join("problems", ",").alias("problems"), F.array_join(shown, " ").alias("steps"), F.array_join("files", " ").alias("files"))
+
+
+@query("SELECT doc_id, 44 + 2 * n_chars AS bytes, round(n_chars / 8000.0::DOUBLE, 6) AS duration_s FROM documents")
+def wav_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A silent clip as long as each document has characters, and its duration as read from the clip."""
+    d = load(spark, sf_dir, "documents").select("doc_id", V.silence(F.col("n_chars"), 8000).alias("clip"))
+    return d.select("doc_id", F.octet_length("clip").cast("bigint").alias("bytes"), F.round(U.wav_duration_s("clip"), 6).alias("duration_s"))
+
+
+@query("SELECT role AS category, count(*) AS n, 0.0::DOUBLE AS wer, 1.0::DOUBLE AS exact FROM conversations GROUP BY role")
+def stub_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns spoken and heard by stand-ins: no errors, in any category."""
+    c = load(spark, sf_dir, "conversations").select(F.col("role").alias("category"), F.col("text").alias("ref"), V.heard(V.spoken(F.col("text"))).alias("hyp"))
+    scored = E.align(c)
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return scored.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum(errors) / F.sum("n_ref"), 6).alias("wer"), F.round(F.avg(F.col("exact").cast("double")), 6).alias("exact"))
