@@ -43,6 +43,8 @@ BRANCH_IMPORTANCE, MARKED, MAIN = 0.1, 0.25, 2.0
 SHARED = 0.5
 #: Share of a host's pages on which a block is frequent, and of a page's text that is too little to identify it.
 FREQUENT, OWN = 0.5, 0.1
+#: Length, against an article's, up to which unmarked blocks beside it are a stray line on a host without a tree.
+STRAY = 0.1
 #: Entries of all hosts' lists up to which their table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BRANCHES = 500_000
 
@@ -341,8 +343,8 @@ class Site:
 def main_text(html: str | None, site: Site | None = None, marks: bool = True) -> str:
     """The page's blocks without the site's unimportant branches and contents, in order.
 
-    Without a tree the marks decide; beside an article, loose text that is no longer than it
-    goes too.
+    Without a tree the marks decide. Unmarked blocks beside an article stay, unless all of
+    them are a stray line next to it; loose text goes if it is no longer than the article.
     """
     page = parse(html or "", marks)
     gone = [False]
@@ -353,9 +355,9 @@ def main_text(html: str | None, site: Site | None = None, marks: bool = True) ->
     blocks = [(style, text, main) for node, style, text, main in page.blocks if not gone[node]]
     if not site:
         inside = sum(len(text) for _, text, main in blocks if main)
-        stray = [not main and style in page.loose for style, _, main in blocks]
-        alone = inside >= sum(len(text) for (_, text, _), x in zip(blocks, stray, strict=True) if x)
-        return " ".join(text for (_, text, _), x in zip(blocks, stray, strict=True) if not (x and inside and alone))
+        beside = {loose: sum(len(text) for style, text, main in blocks if not main and (style in page.loose) == loose) for loose in (True, False)}
+        gone_kinds = {loose for loose in beside if inside and beside[loose] <= inside * (1.0 if loose else STRAY)}
+        return " ".join(text for style, text, main in blocks if main or (style in page.loose) not in gone_kinds)
     lists = (site.removed, site.shared)
     return " ".join(text for style, text, main in blocks if not lists[main] or branch(style, text) not in lists[main])
 
