@@ -64,7 +64,7 @@ def test_lines_that_are_no_objects(spark, tmp_path):
 
 def test_kafka_reader_over_this_source(spark, tmp_path):
     E.write_events([{"ts": 1.0, "session": "s", "turn": 1, "event": "llm.end", "ms": 2.0}, {"ts": 2.0, "session": "s", "turn": 1, "event": "turn.end"}], str(tmp_path / "topic.jsonl"))
-    spark.dataSource.register(E.JsonLines)
+    E.register(spark)
     rows = S.read_kafka(spark, "none:9092", "topic", bounded=True, fmt="jsonl_events", path=str(tmp_path / "topic.jsonl"))
     assert [(r.event, r.ms) for r in rows.orderBy("ts").collect()] == [("llm.end", 2.0), ("turn.end", None)]
     assert S.read_kafka(spark, "none:9092", "topic", fmt="jsonl_events", path=str(tmp_path / "topic.jsonl")).isStreaming

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import text as X
 from ..functions import vector as V
 from ..functions.grams import count_grams, find_grams
-from ..session import scratch_path
+from ..session import scratch_path, ship_code
 
 # Defaults of the retriever, entity patterns, sentence-initial words that name nothing.
 CHUNK_LINES, OVERLAP = 20, 4
@@ -68,6 +68,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def gram_frequencies(chunks: DataFrame) -> DataFrame:
     """(gram, df, n): chunks that have each gram, of n chunks, in one pass. Grams are counted inside the tasks, before any row of them is made."""
+    ship_code(chunks.sparkSession)
     path = scratch_path(chunks.sparkSession, "gram-counts")
     counted = chunks.select("text").mapInArrow(count_grams, "gram string, n long")
     counted.groupBy("gram").agg(F.sum("n").alias("df")).write.parquet(path)
@@ -89,6 +90,7 @@ def rare_postings(chunks: DataFrame, queries: DataFrame, max_df: int = MAX_DF, f
     BROADCAST_GRAMS are joined by a shuffle.
     """
     spark = chunks.sparkSession
+    ship_code(spark)
     path = scratch_path(spark, "gram-hits")
     asked = queries.select("query_id", F.explode(F.array_distinct(X.grams(F.col("text")))).alias("gram")).where(X.informative(F.col("gram")))
     asked.write.parquet(f"{path}/asked")

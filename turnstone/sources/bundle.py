@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import registry as G
+from ..session import ship_code
 from .store import Store
 
 #: Bytes of a file held at a time.
@@ -58,6 +59,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
             rows = [(p, *_put(target, f"{base}/{p}", iter([c or b""]))) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, _ARROW.types)], schema=_ARROW)
 
+    ship_code(files.sparkSession)
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, FILE)
 
 
@@ -68,6 +70,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def _walk(spark: SparkSession, root: str, copy_to: str | None) -> DataFrame:
     """The folder's files, hashed, and copied if asked. Tasks list what is below its entries; contents never pass Spark's rows."""
+    ship_code(spark)
     entries = spark.createDataFrame([(n,) for n in Store(spark, root).names()], "path string")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

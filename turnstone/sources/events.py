@@ -1,6 +1,6 @@
 """A source of JSON-line events of its own: batch scans in byte ranges, and streams with offsets.
 
-``spark.dataSource.register(JsonLines)``, then ``format("jsonl_events")`` with the options
+``register(spark)``, then ``format("jsonl_events")`` with the options
 ``path`` (a folder or file that every executor can reach), ``per_batch`` (bytes of a
 stream's batch), ``max_messages`` (ends the scan after so many lines) and ``objects_only``.
 Rows are (file, value); see ``event_rows`` for columns.
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -168,10 +170,16 @@ class JsonLines(DataSource):
         return _Stream(dict(self.options))
 
 
-def read_events(spark: SparkSession, path: str, schema: str, streaming: bool = False, **options: object) -> DataFrame:
-    """The events of JSON-line files as columns, from this source; a stream has as many batches as ``per_batch`` bytes make."""
+def register(spark: SparkSession) -> None:
+    """Makes the source known to a session. Its code travels with it: the processes that plan a scan have no package of ours."""
     ship_code(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(JsonLines)
+
+
+def read_events(spark: SparkSession, path: str, schema: str, streaming: bool = False, **options: object) -> DataFrame:
+    """The events of JSON-line files as columns, from this source; a stream has as many batches as ``per_batch`` bytes make."""
+    register(spark)
     reader = (spark.readStream if streaming else spark.read).format("jsonl_events").option("path", path)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
