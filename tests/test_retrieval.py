@@ -23,10 +23,10 @@ def test_chunks(spark):
 
 
 def test_keyword_and_hybrid(spark):
-    texts = ["Gate A checks the alarm of the north door."] + [f"Distractor {w} talks about weather and music." for w in ("one", "two", "three", "four", "five")]
+    texts = ["Dock 7B weighs the crates of the morning ferry."] + [f"Notice {w} is on paint and brushes." for w in ("one", "two", "three", "four", "five")]
     embed = hashing_embedder(64)
     c = R.chunk_lines(docs(spark, *texts)).withColumn("embedding", embed("text"))
-    q = spark.createDataFrame([(0, "what does Gate A check"), (1, "zebra quantum"), (2, "  ")], "query_id int, text string").withColumn("embedding", embed("text"))
+    q = spark.createDataFrame([(0, "what does Dock 7B weigh"), (1, "violet comet"), (2, "  ")], "query_id int, text string").withColumn("embedding", embed("text"))
     hits = R.keyword_search(c, q).collect()
     assert {(r.query_id, r.chunk_id) for r in hits} == {(0, "0:1-1")}
     got = R.hybrid_retrieve(c, R.mentions(c), q).orderBy("query_id", "rank").collect()
@@ -34,7 +34,7 @@ def test_keyword_and_hybrid(spark):
     assert first.chunk_id == "0:1-1" and first.path == "fused"
     assert not [r for r in got if r.query_id == 2]
     pack = R.context_pack(R.keyword_search(c, q, 1).join(c, "chunk_id"), 40).first().context
-    assert pack.startswith("From 0, lines 1 to 1.\nGate A") and len(pack) <= 40
+    assert pack.startswith("From 0, lines 1 to 1.\nDock 7B") and len(pack) <= 40
 
 
 def test_rrf(spark):
@@ -68,10 +68,10 @@ def test_vectors_in_blocks_of_queries(spark, monkeypatch):
 
 
 def test_entities_and_graph(spark):
-    c = R.chunk_lines(docs(spark, "The Gate A test calls `check_wer` in pkg.eval for WER. Then gate a again: GateHouse.", "check_wer and WER"))
+    c = R.chunk_lines(docs(spark, "The Pier Q crew runs `load_map` in nav.core for GPS. Then pier q again: PierMaster.", "load_map and GPS"))
     m = R.mentions(c)
     names = {r.name for r in m.where("chunk_id like '0%'").collect()}
-    assert {"Gate A", "WER", "check_wer", "pkg.eval", "GateHouse"} <= names and "The" not in names and "Then" not in names
+    assert {"Pier Q", "GPS", "load_map", "nav.core", "PierMaster"} <= names and "The" not in names and "Then" not in names
     e = R.graph_edges(m)
     n = m.where("chunk_id like '0%'").count()
     assert e.where("rel = 'cooccurs'").count() == n * (n - 1) // 2
