@@ -150,3 +150,16 @@ def test_grams_inside_tasks_equal_the_column_function(spark, sf_dir, monkeypatch
     quick = {tuple(r) for r in R.rare_postings(c, q).collect()}
     monkeypatch.setattr(R, "BROADCAST_GRAMS", 0)
     assert quick == {tuple(r) for r in R.rare_postings(c, q).collect()} and quick
+
+
+@pytest.mark.parametrize(("text", "key", "n"), [("Ab " * 40000, "ent:ab ab", 119999), ("Ab" * 40000, "ent:abab", 80000), ("a." * 40000 + "a", "ent:a.a.", 80001), ("The " * 40000 + "Ab", "ent:ab", 2)])
+def test_long_runs_of_names_do_not_overflow_the_stack(spark, text, key, n):
+    """One repeat of a pattern's group is no call of its own, however many there are."""
+    found = R.mentions(spark.createDataFrame([("c", text)], "chunk_id string, text string")).collect()
+    assert [(r.key.startswith(key), len(r.name)) for r in found] == [(True, n)]
+
+
+def test_a_name_ends_at_a_word_end(spark):
+    """Words that go on in other letters end the run before them."""
+    found = R.entities(F.lit("Foo Barß Baz qux.yß a.b.cß AbCdé"))
+    assert sorted(spark.range(1).select(found.alias("e")).first().e) == ["Baz", "Foo", "a.b"]
