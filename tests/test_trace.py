@@ -100,3 +100,15 @@ def test_turn_metrics(spark):
     got = {(r.stage, r.le): r.bucket_count for r in T.turn_metrics(t, (10.0, 50.0)).collect()}
     assert got[("stt", 10.0)] == 1 and got[("stt", 50.0)] == 2 and got[("llm", 50.0)] == 0 and got[("llm", math.inf)] == 1
     assert t.select(T.round_stages(F.col("stages")).alias("s")).collect()[1].s == {"stt": 20.0}
+
+
+def test_whole_milliseconds_are_cut_from_the_sum_itself(spark, tmp_path):
+    """4.65 + 14.29 + 2.06 is a little below 21 in doubles, and DuckDB's floor says 20."""
+    import duckdb
+
+    from turnstone import plans
+
+    duckdb.sql("""COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 1 SECOND AS ts, 1::BIGINT AS user_id, 'signup' AS event_type, [4.65, 14.29, 2.06][i]::DOUBLE AS value, '{}' AS props
+        FROM range(1, 4) r(i)) TO '%s/events.parquet'""" % tmp_path)
+    want = duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS FROM '{tmp_path}/events.parquet'") or duckdb.sql(plans.ORACLE["turn_lines"]).fetchall()
+    assert [tuple(r) for r in plans.QUERIES["turn_lines"](spark, str(tmp_path)).collect()] == want == [("1", 1, "listen 3x 20ms (first 4, max 14)")]

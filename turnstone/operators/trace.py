@@ -77,12 +77,12 @@ def approx_stage_percentiles(trace: DataFrame, ps: Sequence[float] = (50, 95), a
     return stage_rows(trace).groupBy("stage").agg(*[F.percentile_approx("ms", p / 100.0, accuracy).alias(f"p{p:g}") for p in ps], F.count("*").alias("n"))
 
 
-def turn_summary(trace: DataFrame, seq: str = "_seq") -> DataFrame:
-    """Count, total, first and largest duration of each stage of a turn, and the stage's place in it."""
+def turn_summary(trace: DataFrame, seq: str = "_seq", digits: int | None = 3) -> DataFrame:
+    """Count, total (rounded to ``digits``, if given), first and largest duration of each stage of a turn, and the stage's place in it."""
     session, turn = turn_keys()
     rows = stage_rows(trace).select(session, turn, "stage", "ms", F.col(seq).alias("_at"))
     by = rows.groupBy("session", "turn", "stage").agg(
-        F.count("*").alias("n"), F.bround(F.sum("ms"), 3).alias("total_ms"), F.min_by("ms", "_at").alias("first_ms"), F.max("ms").alias("max_ms"), F.min("_at").alias("first_seq")
+        F.count("*").alias("n"), (F.sum("ms") if digits is None else F.bround(F.sum("ms"), digits)).alias("total_ms"), F.min_by("ms", "_at").alias("first_ms"), F.max("ms").alias("max_ms"), F.min("_at").alias("first_seq")
     )
     return by
 

@@ -34,7 +34,8 @@ FROM g GROUP BY session, turn"""
 )
 def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn summaries as one line each, in whole milliseconds."""
-    s = T.turn_summary(trace(spark, sf_dir))
+    # Whole milliseconds are cut from the sum itself: a rounded one may have passed the next of them.
+    s = T.turn_summary(trace(spark, sf_dir), digits=None)
     whole = [F.floor(c).cast("double").alias(c) for c in ("total_ms", "first_ms", "max_ms")]
     return T.format_summary(s.select("session", "turn", "stage", "n", "first_seq", *whole))
 
