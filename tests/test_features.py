@@ -92,3 +92,20 @@ def test_feast_module_declares_every_view():
         fields = [[k.value for k in f.keywords] for f in held["schema"].elts]
         assert [f[0].value for f in fields] == v.columns.names and held["ttl"].keywords[0].value.value == v.ttl_s
         assert held["source"].keywords[0].value.value == f"data/{name}.parquet"
+
+
+def test_trailing_percentile_slides_as_the_window_sums(spark):
+    """Ties, nulls, NaN, times on the edges of buckets; no window holds a percentile, which it would sum up anew for each row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    data = [(rng.choice("ab"), float(rng.randint(-30, 300)) / 2, rng.choice([None, float("nan"), -0.5, *range(9)]), i) for i in range(600)]
+    rows = spark.createDataFrame([(k, t, None if v is None else float(v), i) for k, t, v, i in data], "key string, at double, v double, i int")
+    got = O.trailing_percentile(rows, "key", "at", "v", 0.95, 10, "p")
+    want = rows.withColumn("p", F.percentile("v", 0.95).over(O.trailing("key", "at", 10)))
+    text = lambda df: [(r.i, str(r.p)) for r in df.orderBy("i").collect()]
+    assert text(got) == text(want)
+    made = O.device_features(rows.select(F.col("key").alias("device"), F.col("at").alias("event_ts"), F.lit("1").alias("bundle_version"), F.col("v").alias("ttfa_ms")))
+    assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
