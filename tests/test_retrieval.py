@@ -163,3 +163,11 @@ def test_a_name_ends_at_a_word_end(spark):
     """Words that go on in other letters end the run before them."""
     found = R.entities(F.lit("Foo Barß Baz qux.yß a.b.cß AbCdé"))
     assert sorted(spark.range(1).select(found.alias("e")).first().e) == ["Baz", "Foo", "a.b"]
+
+
+def test_labels_are_ranked_once_not_for_each_query(spark, sf_dir):
+    """A query joins the first vectors of its label, not all of them."""
+    from turnstone import plans
+
+    plan = plans.QUERIES["rrf_fuse"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(label" in plan
