@@ -169,3 +169,13 @@ def test_hybrid_retrieval(spark, sf_dir, chunks):
         close += mine == stays
         assert len(mine) == len(stays)
     assert close >= 0.95 * len(asked)
+
+
+def test_operations_are_made_slice_by_slice():
+    import pandas as pd
+
+    ref = [["a", "b", str(i)] for i in range(1000)] + [None]
+    hyp = [["a", str(i), "c"] for i in range(1000)] + [["x"]]
+    parts = list(U.alignment_ops.func(iter([(pd.Series(ref), pd.Series(hyp))])))
+    assert max(map(len, parts)) <= U.SLICE_ROWS
+    assert [[tuple(o.values()) for o in ops] for p in parts for ops in p] == [U.alignment(r or [], h) for r, h in zip(ref, hyp)]
