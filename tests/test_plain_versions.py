@@ -171,6 +171,16 @@ def test_hybrid_retrieval(spark, sf_dir, chunks):
     assert close >= 0.95 * len(asked)
 
 
+def test_embeddings_are_made_slice_by_slice():
+    """However many rows Spark sends at once, few are worked on and sent back at once."""
+    import pandas as pd
+
+    texts = [f"word{i} other{i % 7}" for i in range(1000)] + [None, "x " * U.SLICE_CHARS, "last"]
+    parts = list(U.hashing_embedder(16).func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert max(map(len, parts)) <= U.SLICE_ROWS and [len(p) for p in parts[-2:]] == [1, 1]
+    assert np.array_equal(np.array([e for p in parts for e in p]), U.embed_batch([t or "" for t in texts], 16))
+
+
 def test_operations_are_made_slice_by_slice():
     import pandas as pd
 
