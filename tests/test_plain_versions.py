@@ -189,3 +189,17 @@ def test_operations_are_made_slice_by_slice():
     parts = list(U.alignment_ops.func(iter([(pd.Series(ref), pd.Series(hyp))])))
     assert max(map(len, parts)) <= U.SLICE_ROWS
     assert [[tuple(o.values()) for o in ops] for p in parts for ops in p] == [U.alignment(r or [], h) for r, h in zip(ref, hyp)]
+
+
+def test_grams_are_found_slice_by_slice():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from turnstone.functions import grams
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"a{i} b" for i in range(1000)])], names=["id", "text"])
+    parts = list(grams.find_grams(SimpleNamespace(value=frozenset(["a7 b", "a999"])))(iter([batch])))
+    assert max(len(set(p.column(0).to_pylist())) for p in parts) <= grams.SLICE_ROWS
+    found = [x for p in parts for x in zip(p.column(0).to_pylist(), p.column(1).to_pylist())]
+    assert [x for x in found if x[1]] == [(7, "a7 b"), (999, "a999")] and len(found) == 1002
