@@ -44,3 +44,12 @@ def test_alerts_hold_before_they_fire(spark):
     got = sorted(tuple(r) for r in A.alert_intervals(df, 60, {"slow": 150, "fast": 0}, until=600).collect())
     assert got == [("fast", 0, 0, 60, 1), ("slow", 0, 180, 240, 4), ("slow", 300, None, 420, 2), ("slow", 600, None, None, 1)]
     assert A.alert_intervals(df.limit(0), 60, {"slow": 1}).count() == 0
+
+
+def test_spans_are_joined_with_nothing_but_their_ranges(spark):
+    """Parents and children's times come in one pass each; what was placed is read once."""
+    from turnstone.operators import spans as N
+
+    rows = spark.createDataFrame([("s", 1, "a.start", "x", 1, 0.0, None), ("s", 1, "a.end", "x", 2, 1.0, None)], "session string, turn int, event string, span string, _seq int, ts double, error string")
+    plan = N.spans(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("parquet") == 2

@@ -41,14 +41,19 @@ def spans(rows: DataFrame) -> DataFrame:
     # An unclosed span opens nothing: it lies one below what is open around it.
     placed = deep.withColumn("level", F.col("depth") + F.when(F.col("closed"), 0).otherwise(1)).drop("depth", "at", "step")
 
-    # The parent is the last span that closes, one level up, to have started before.
-    up = placed.where("closed").select(*KEY, F.col("level").alias("at_level"), "a", F.col("span").alias("held"), F.lit(None).cast("string").alias("asking"))
-    down = placed.select(*KEY, (F.col("level") - 1).alias("at_level"), "a", F.lit(None).cast("string").alias("held"), F.col("span").alias("asking"))
+    # The parent is the last span that closes, one level up, to have started before. Each span asks one level up and,
+    # if it closes, stands at its own; rows are read once and carry their columns along, so nothing is joined back.
+    place = lambda level, asks: F.struct(level.alias("at_level"), F.lit(asks).alias("asks"))
+    both = F.filter(F.array(place(F.col("level") - 1, True), F.when(F.col("closed"), place(F.col("level"), False))), lambda p: p.isNotNull())
     before = W.partitionBy(*KEY, "at_level").orderBy("a").rowsBetween(W.unboundedPreceding, 0)
-    parents = up.unionByName(down).withColumn("parent", F.last("held", ignorenulls=True).over(before)).where("asking is not null and at_level > 0").select(*KEY, F.col("asking").alias("span"), "parent")
-    out = placed.join(parents, [*KEY, "span"], "left")
-    inner = out.where("closed and parent is not null").groupBy(*KEY, F.col("parent").alias("span")).agg(F.sum("ms").alias("inner_ms"))
-    out = out.join(inner, [*KEY, "span"], "left")
+    asked = placed.withColumn("p", F.explode(both)).withColumns({"at_level": F.col("p.at_level"), "asks": F.col("p.asks")}).drop("p")
+    out = asked.withColumn("parent", F.last(F.when(~F.col("asks"), F.col("span")), ignorenulls=True).over(before)).where("asks")
+    # A span's row and its closed children's times meet in one grouping; times are summed up before the shuffle.
+    own = F.struct("stage", "parent", "level", "start_ts", "ms", "error", "closed")
+    node = lambda span, row, ms: F.struct(span.alias("span"), row.alias("own"), ms.alias("inner_ms"))
+    nodes = F.array(node(F.col("span"), own, F.lit(None).cast("double")), F.when(F.col("closed") & F.col("parent").isNotNull(), node(F.col("parent"), F.lit(None), F.col("ms"))))
+    out = out.select(*KEY, F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("n")).groupBy(*KEY, F.col("n.span").alias("span")).agg(F.max("n.own").alias("own"), F.sum("n.inner_ms").alias("inner_ms"))
+    out = out.select(*KEY, "span", "own.*", "inner_ms")
     return out.select(*KEY, "span", "stage", "parent", "level", "start_ts", "ms", (F.col("ms") - F.coalesce("inner_ms", F.lit(0.0))).alias("self_ms"), "error", "closed")
 
 
