@@ -56,7 +56,8 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = _opened(root)
         for batch in batches:
-            rows = [(p, *_put(target, f"{base}/{p}", iter([c or b""]))) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            # One content at a time leaves the batch.
+            rows = [(p, *_put(target, f"{base}/{p}", iter([c.as_py() or b""]))) for p, c in zip(batch.column(0).to_pylist(), batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, _ARROW.types)], schema=_ARROW)
 
     ship_code(files.sparkSession)
