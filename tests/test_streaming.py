@@ -71,3 +71,33 @@ def test_upsert(spark, tmp_path):
     write(mk(("a", 1.0, 1), ("a", 2.0, 2), ("b", 1.0, 3)), 0)
     write(mk(("a", 1.5, 9)), 1)
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "kv/v1")).collect()} == {("a", 9), ("b", 3)}
+
+
+def test_state_has_as_many_partitions_as_the_cores_need(spark):
+    assert int(S.stateful(spark).conf.get("spark.sql.shuffle.partitions")) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_tokens_of_one_time_travel_as_one_row(spark):
+    rows = [("a", 1, i, f"w{i} ", i == 2, 5.0) for i in range(3)] + [("a", 1, 3, None, None, 6.0), ("b", 1, 0, "x", False, None), ("b", 1, None, "y", False, None)]
+    tokens = spark.createDataFrame(rows, "session string, turn long, _seq int, token string, last boolean, ts double").coalesce(1)
+    got = {(r.session, r.ts): (r.seq, r.token, bool(r.last)) for r in S._packed(tokens, ["session", "turn", "ts"]).collect()}
+    assert got == {("a", 5.0): ([0, 1, 2], ["w0 ", "w1 ", "w2 "], True), ("a", 6.0): ([3], [None], False), ("b", None): ([0, None], ["x", "y"], False)}
+
+
+def test_replayed_files_hold_rows_that_follow_each_other(spark, tmp_path):
+    from turnstone.sources.replay import replay
+
+    replay(spark, spark.range(4000).withColumnRenamed("id", "k"), ["k"], 2, str(tmp_path / "r"))
+    spans = spark.read.parquet(str(tmp_path / "r/rows")).groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).collect()
+    assert len(spans) == 2 * spark.sparkContext.defaultParallelism and all(r.b - r.a + 1 == r.n for r in spans)
+
+
+def test_words_are_split_once_a_reply(spark):
+    from turnstone.plans.sources import _reply_tokens
+
+    replies = spark.createDataFrame([(1, 1, " a  b\nc "), (2, 1, "d"), (3, 4, None), (4, 5, "e f")], "conv_id long, turn long, text string")
+    tokens = _reply_tokens(replies)
+    # Beside the explode, nothing but the exploded word is left to work out.
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[: plan.index("Generate")] and "split(" in plan
+    assert [(r.session, r._seq, r.token, r.last) for r in tokens.orderBy("session", "_seq").collect()] == [("1", 0, "a ", False), ("1", 1, "b ", False), ("1", 2, "c ", True), ("2", 0, "d ", False), ("4", 0, "e ", False), ("4", 1, "f ", False)]
