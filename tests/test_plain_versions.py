@@ -1,12 +1,15 @@
 """Queries that SQL cannot express, held against plain versions over whole tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from turnstone import plans
 from turnstone.functions import text as X
 from turnstone.functions import udfs as U
@@ -203,3 +206,35 @@ def test_grams_are_found_slice_by_slice():
     assert max(len(set(p.column(0).to_pylist())) for p in parts) <= grams.SLICE_ROWS
     found = [x for p in parts for x in zip(p.column(0).to_pylist(), p.column(1).to_pylist())]
     assert [x for x in found if x[1]] == [(7, "a7 b"), (999, "a999")] and len(found) == 1002
+
+
+@pytest.mark.parametrize(("piece", "held"), [(1 << 21, 2_000_000), (40, 50), (1, 1)])
+def test_grams_are_counted_piece_by_piece(monkeypatch, piece, held):
+    """Words are numbered and grams counted as arrays: the counts of a plain version, however texts are cut, and each gram once a task while it fits."""
+    import pyarrow as pa
+
+    from turnstone.functions import grams
+
+    monkeypatch.setattr(grams, "PIECE", piece)
+    monkeypatch.setattr(grams, "HELD", held)
+    rng = random.Random(5)
+    texts = [None, "", "İs K9 a_b  a_b"] + ["".join(rng.choice("ab AB_9 -İKé\n") for _ in range(rng.randrange(40))) for _ in range(60)]
+    want = Counter({None: len(texts)})
+    for t in texts:
+        found = re.findall("[a-z0-9_]+", (t or "").lower())
+        want.update({*found, *map(" ".join, zip(found, found[1:]))})
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(["not read", *texts], kind)], names=["text"]).slice(1)
+        parts = list(grams.count_grams(iter([batch.slice(0, 7), batch.slice(7)])))
+        rows = [r for p in parts for r in zip(p.column(0).to_pylist(), p.column(1).to_pylist())]
+        got = Counter()
+        for g, n in rows:
+            got[g] += n
+        assert got == want and (held < 1000 or len(rows) == len(want))
+
+
+def test_lines_by_every_break(spark):
+    """Texts with the line feed alone and with other breaks are split alike."""
+    texts = ["", "\n", "a\nb\n", "a\n\nb", "a\r\nb\rc\n", *[f"x\n{c}y{c}\nz" for c in "\r\x0b\x0c\x1c\x1d\x1e\x85  "], "a\tb\x1fc", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", X.lines(F.col("t")).alias("l")).collect()
+    assert [r.l for r in rows] == [None if r.t is None else re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", r.t) for r in rows]
