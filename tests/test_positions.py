@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstone.operators import corpus as C
+from turnstone.operators import positions
 from turnstone.operators.positions import number_rows, zip_rows
 
 
@@ -61,3 +62,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "k long, id string")
     assert number_rows(none, ["k"]).count() == 0 and C.default_ids(none, "doc", "k").count() == 0
     assert zip_rows(none, none.toDF("a", "b"), ["k"], ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 2, 16])
+def test_the_row_that_follows(spark, monkeypatch, bits):
+    """Across blocks and ranges, within the groups alone, nulls as a value of their own."""
+    monkeypatch.setattr(positions, "BLOCK_BITS", bits)
+    rows = [(k, None if k % 5 == 0 else f"g{k % 3 * (k % 7 > 0)}", f"v{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, g string, v string").repartition(7)
+    got = {r.k: (r.k2, r.v2) for r in positions.following_rows(df, ["k"], ["g"], {"k2": "k", "v2": "v"}).collect()}
+    after = lambda k, g: next(((j, v) for j, h, v in rows if j > k and h == g), (None, None))
+    assert got == {k: after(k, g) for k, g, _ in rows}
+    assert positions.following_rows(df.limit(0), ["k"], ["g"], {"k2": "k"}).count() == 0

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as X
@@ -171,3 +174,29 @@ def test_labels_are_ranked_once_not_for_each_query(spark, sf_dir):
 
     plan = plans.QUERIES["rrf_fuse"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(label" in plan
+
+
+def test_requests_are_read_once_for_all_stages(spark):
+    """A random history equals its replay, and neither reads nor deals the requests anew for each stage."""
+    rng = random.Random(3)
+    rows = [(f"m{rng.randrange(3)}", f"{rng.randrange(4)}", i, rng.choice(["candidate", "staging", "production", "retired", "oops"])) for i in range(300)]
+    stage, want = {}, []
+    for name, version, seq, to in rows:
+        was = stage.get((name, version))
+        if to == "candidate" if was is None else to in G.TRANSITIONS.get(was, ()):
+            for other in [v for (n, v), s in stage.items() if n == name and s == to == "production"]:
+                stage[name, other] = "retired"
+                want.append((name, other, seq, "production", "retired", f"replaced by {version}"))
+            stage[name, version] = to
+            want.append((name, version, seq, was, to, None))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "name string, version string, seq long, to string"
+    requests = spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+    assert sorted(map(str, G.registry_log(requests).collect())) == sorted(str(Row(name=n, version=v, seq=s, **{"from": f}, to=t, reason=r)) for n, v, s, f, t, r in want)
+    assert read.value == len(rows)
