@@ -238,3 +238,21 @@ def test_lines_by_every_break(spark):
     texts = ["", "\n", "a\nb\n", "a\n\nb", "a\r\nb\rc\n", *[f"x\n{c}y{c}\nz" for c in "\r\x0b\x0c\x1c\x1d\x1e\x85  "], "a\tb\x1fc", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", X.lines(F.col("t")).alias("l")).collect()
     assert [r.l for r in rows] == [None if r.t is None else re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", r.t) for r in rows]
+
+
+def test_grams_are_posted_as_they_are_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    from turnstone.functions import grams
+
+    texts = ["a b a b c", None, "", "B a", "..", "x" * 40 + " a b", "Ka İ c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([f"t{i}" for i in range(len(texts))])], names=["text", "id"])
+    want = set()
+    for i, text in enumerate(texts):
+        found = re.findall("[a-z0-9_]+", (text or "").lower())
+        want |= {(g, f"t{i}") for g in [*found, *map(" ".join, zip(found, found[1:]))]}
+    for size in (1, 20, 1 << 22):
+        monkeypatch.setattr(grams, "POSTED", size)
+        monkeypatch.setattr(grams, "ROWS", 3)
+        got = [(r["gram"], i) for p in grams.post_grams(iter([batch.slice(0, 3), batch.slice(3)])) for r in p.to_pylist() for i in r["ids"]]
+        assert len(got) == len(want) and set(got) == want
