@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from test_features import TRACE, trace_rows
 from turnstone.operators import features as O
 from turnstone.operators import trace as T
+from turnstone.plans.sources import _drained
 from turnstone.streaming import sessions as S
 
 
@@ -101,3 +102,28 @@ def test_words_are_split_once_a_reply(spark):
     plan = tokens._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan[: plan.index("Generate")] and "split(" in plan
     assert [(r.session, r._seq, r.token, r.last) for r in tokens.orderBy("session", "_seq").collect()] == [("1", 0, "a ", False), ("1", 1, "b ", False), ("1", 2, "c ", True), ("2", 0, "d ", False), ("4", 0, "e ", False), ("4", 1, "f ", False)]
+
+
+def test_a_stream_is_waited_for_to_its_end(tmp_path):
+    class Query:
+        done = False
+
+        def awaitTermination(self, timeout=None):  # noqa: N802
+            # Too slow for any limit.
+            self.done = timeout is None
+            return self.done
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            pass
+
+    class Stream:
+        query = Query()
+        writeStream = sparkSession = read = property(lambda self: self)  # noqa: N815
+        format = option = trigger = schema = lambda self, *_, **__: self
+        start = lambda self, _: self.query
+        parquet = lambda self, _: "rows of a query that " + ("ended" if self.query.done else "was stopped")
+
+    assert _drained(Stream(), str(tmp_path)) == "rows of a query that ended"
